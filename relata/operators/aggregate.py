@@ -15,9 +15,15 @@ def count_by(df: DataFrame, *keys: str, name: str = "ct") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def cardinality(column: str) -> Column:
-    """Distinct values of a column in a group, null being one of them."""
-    return F.countDistinct(column) + F.coalesce(F.max(flag(F.col(column).isNull())), F.lit(0))
+def cardinality(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
+    """Distinct values of a column per group, null being one of them.
+
+    Two plain aggregations: the values of a hot group are told apart over all tasks before they
+    are counted.
+    """
+    return df.groupBy(*by, column).agg(F.lit(1).alias("__v")).groupBy(*by).agg(
+        F.count("*").alias(name)
+    )
 
 
 def with_share(counts: DataFrame, count: str = "ct", name: str = "freq") -> DataFrame:

@@ -29,6 +29,11 @@ def join_on(
     ).drop(*[F.col(f"r.{b}") for b in keys.values()])
 
 
+def exact(count: str) -> Column:
+    """A count wide enough for products of counts."""
+    return F.col(count).cast("decimal(18,0)")
+
+
 def semi(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left rows with a partner, each once. Only distinct right keys travel."""
     return left.join(right.select(*on).distinct(), list(on), "left_semi")
@@ -49,7 +54,7 @@ def fanout(
     n_left = left.groupBy(*on).agg(F.count("*").alias("nl"))
     n_right = right.groupBy(*on).agg(F.count("*").alias("nr"))
     joined = n_left.join(n_right, list(on)).agg(
-        F.coalesce(F.sum(F.col("nl") * F.col("nr")), F.lit(0)).alias("total")
+        F.coalesce(F.sum(exact("nl") * exact("nr")), F.lit(0)).alias("total")
     )
     sizes = [left.agg(F.count("*").alias("total")), right.agg(F.count("*").alias("total")), joined]
     report = [s.select(F.lit(label).alias("label"), "total") for label, s in zip(labels, sizes)]
@@ -83,9 +88,9 @@ def pair_counts(df: DataFrame, by: Sequence[str], member: str, name: str = "n_pa
     known = df.select(*by, member).dropna()
     per_member = known.groupBy(*by, member).agg(F.count("*").alias("c"))
     sums = per_member.groupBy(*by).agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")
+        F.sum("c").alias("n"), F.sum(exact("c") * exact("c")).alias("same")
     )
-    return sums.select(*by, (F.col("n") * F.col("n") - F.col("same")).alias(name))
+    return sums.select(*by, (exact("n") * exact("n") - F.col("same")).alias(name))
 
 
 def tagged_lines(df: DataFrame, line: str = "value", separator: str = "[|]") -> dict[str, DataFrame]:

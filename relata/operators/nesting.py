@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relata.operators.numbering import attach, positions_in_group
+from relata.operators.numbering import running_totals
 from relata.session import settle
 
 PART_SIZE = 100_000
-BROADCAST_KEYS = 100_000
 
 
 def bags(
@@ -22,45 +21,81 @@ def bags(
     bag: str = "bag",
     part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """One row per group with the array of its members: ``by..., part, bag``.
+    """One row per group with the array of its members: ``by..., part, n_members, bag``.
 
-    Members are structs of the ``members`` columns, sorted by ``order``. A group larger than
-    ``part_size`` continues in further rows, numbered by ``part``, which put together in that
-    order give the whole group: no row and no task has to hold a group of any size.
+    Members are structs of the ``members`` columns, sorted by ``order`` and then by themselves. A
+    group larger than ``part_size`` continues in further rows, numbered by ``part``, which put
+    together in that order give the whole group: no row and no task has to hold a group of any
+    size. ``n_members`` is the size of the whole group.
 
-    Group sizes are counted first. Groups within the limit take one hash aggregation. Only rows
-    of larger groups are sorted into places, over all tasks.
+    Group sizes are counted first. Groups within the limit take one hash aggregation. Only the
+    rows of larger groups are sorted into places, over all tasks, with equal rows merged.
     """
-    spread = [c for c in members if c not in order]
-    record = F.struct(*order, *spread)
-    needed = list(dict.fromkeys([*by, *order, *members]))
-    rows = df.select(*needed)
-    large = settle(
-        rows.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > part_size).drop("__n")
+    places = [*order, *[m for m in members if m not in order]]
+    rows = df.select(*dict.fromkeys([*by, *places]))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    large = settle(sizes.filter(F.col("__n") > part_size), "large-groups")
+    if large.isEmpty():
+        return _small_bags(rows, by, members, places, bag)
+    small = _matching(rows, large, by, "left_anti")
+    return _small_bags(small, by, members, places, bag).unionByName(
+        _large_bags(_matching(rows, large, by, "left_semi"), by, members, places, bag, part_size)
     )
-    n_large = large.count()
-    if n_large == 0:
-        placed = rows.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        if n_large <= BROADCAST_KEYS:
-            large = F.broadcast(large)
-        split = positions_in_group(
-            _matching(rows, large, by, "left_semi"), by, [F.col(c) for c in order], "__pos"
-        )
-        placed = (
-            _matching(rows, large, by, "left_anti")
-            .withColumn("part", F.lit(0).cast("bigint"))
-            .unionByName(
-                split.withColumn("part", F.expr(f"__pos div {part_size}")).drop("__pos")
-            )
+
+
+def _member(record: Column, members: Sequence[str]) -> Column:
+    return F.struct(*[record[m].alias(m) for m in members])
+
+
+def _small_bags(
+    rows: DataFrame, by: Sequence[str], members: Sequence[str], places: Sequence[str], bag: str
+) -> DataFrame:
+    listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*places))).alias("__list"))
+    return listed.select(
+        *by,
+        F.lit(0).cast("bigint").alias("part"),
+        F.size("__list").cast("bigint").alias("n_members"),
+        F.transform("__list", lambda r: _member(r, members)).alias(bag),
+    )
+
+
+def _large_bags(
+    rows: DataFrame,
+    by: Sequence[str],
+    members: Sequence[str],
+    places: Sequence[str],
+    bag: str,
+    part_size: int,
+) -> DataFrame:
+    """Each distinct member goes to the parts its copies reach, with their number in that part."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__ct"))
+    order = [F.col(p).asc_nulls_first() for p in places]
+    placed = running_totals(counted, by, order, {"__n": F.col("__ct")})
+    reached = F.sequence(
+        F.expr(f"__n_before div {part_size}"), F.expr(f"(__n_before + __ct - 1) div {part_size}")
+    )
+    pieces = placed.select("*", F.explode(reached).alias("part"))
+    start, stop = F.col("part") * part_size, (F.col("part") + 1) * part_size
+    copies = F.least(stop, F.col("__n_before") + F.col("__ct")) - F.greatest(
+        start, F.col("__n_before")
+    )
+    listed = (
+        pieces.withColumn("__copies", copies.cast("int"))
+        .repartition(*by, "part")
+        .groupBy(*by, "part")
+        .agg(
+            F.max("__n_total").alias("n_members"),
+            F.sort_array(F.collect_list(F.struct(*places, "__copies"))).alias("__list"),
         )
-    nested = placed.groupBy(*by, "part").agg(F.sort_array(F.collect_list(record)).alias(bag))
-    return nested.withColumn(
-        bag, F.transform(bag, lambda m: F.struct(*[m[c].alias(c) for c in members]))
     )
+    repeated = F.flatten(
+        F.transform("__list", lambda r: F.array_repeat(_member(r, members), r["__copies"]))
+    )
+    return listed.select(*by, "part", "n_members", repeated.alias(bag))
 
 
 def _matching(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Rows whose group is, or is not, among the keys; null groups count as a group."""
     tagged = keys.select(*[F.col(k).alias("__k_" + k) for k in by])
     condition = F.lit(True)
     for key in by:
@@ -88,7 +123,8 @@ def bag_text(
     name: str = "members",
     part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """Each group's texts joined in order, in parts as in :func:`bags`: ``by..., part, name``.
+    """Each group's texts joined in order, in parts as in :func:`bags`:
+    ``by..., part, n_members, name``.
 
     ``order`` may be descending by giving negated numbers; it must not tie between texts that
     differ.
@@ -99,7 +135,7 @@ def bag_text(
     places = [f"__o{i}" for i in range(len(order))]
     nested = bags(keyed, by, ["__text"], places, "__bag", part_size)
     return nested.select(
-        *by, "part", F.array_join(F.transform("__bag", lambda m: m["__text"]), separator).alias(name)
+        *by, "part", "n_members", F.array_join(F.transform("__bag", lambda m: m["__text"]), separator).alias(name)
     )
 
 

@@ -15,20 +15,13 @@ from pyspark.sql import functions as F
 from relata.session import settle
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition under which null keys match each other."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+_BLOCK = 1_000_000  # copies of one row that a single task writes out
 
 
 def attach(
     rows: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Add the columns of ``extra``, which has one row per key, to ``rows``."""
+    """Join ``extra``, which has one row per key, to ``rows``. Null keys match each other."""
     tag = "__k_"
     right = extra.select(
         *[F.col(k).alias(tag + k) for k in keys],
@@ -46,10 +39,11 @@ def number_rows(
     """Consecutive numbers from ``start`` in the given order, or in any order if none is given.
 
     One range shuffle, then a stored copy. The number is the place within the partition plus the
-    rows of earlier partitions, of which there is one figure per partition.
+    rows of earlier partitions, of which there is one figure per partition. Rows that tie in the
+    whole order stay in one partition: end the order with a key, or see :func:`number_copies`.
     """
     laid = df.orderBy(*order) if order else df
-    laid = settle(laid.withColumn("__place", F.monotonically_increasing_id()))
+    laid = settle(laid.withColumn("__place", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__place", _LOCAL_BITS)
     local = F.col("__place").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     sizes = laid.groupBy(part.alias("__part")).agg(F.max(local).alias("__last"))
@@ -67,16 +61,27 @@ def number_rows(
     )
 
 
-def positions_in_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position"
+def number_copies(
+    df: DataFrame, order: Sequence[Column], name: str = "row_no", start: int = 1
 ) -> DataFrame:
-    """Place of each row in its group, from 0."""
-    numbered = number_rows(df, [*map(F.col, by), *order], "__no", 0)
-    starts = numbered.groupBy(*by).agg(F.min("__no").alias("__start"))
-    return (
-        attach(numbered, starts, by)
-        .withColumn(name, F.col("__no") - F.col("__start"))
-        .drop("__no", "__start")
+    """Number the rows of a table with many equal rows; ``order`` has to tell unequal ones apart.
+
+    Equal rows are counted first and only one of each is sorted. They are written out again in
+    blocks, which spread over tasks.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__ct"))
+    placed = running_totals(counted, [], order, {"__n": F.col("__ct")})
+    blocks = placed.select(
+        *df.columns,
+        "__ct",
+        "__n_before",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__ct - 1) div {_BLOCK}"))).alias("__block"),
+    )
+    first = F.col("__block") * _BLOCK
+    last = F.least(first + _BLOCK, F.col("__ct")) - 1
+    base = F.col("__n_before") + start
+    return blocks.repartition("__n_before", "__block").select(
+        *df.columns, F.explode(F.sequence(base + first, base + last)).alias(name)
     )
 
 
@@ -86,38 +91,43 @@ def running_totals(
     """For each amount: ``<name>_before``, its total over earlier rows of the group, and
     ``<name>_total``, its total over the group.
 
-    Rows of a group need distinct order values. Within a partition a window adds up; between
-    partitions one row per group and partition is carried.
+    Rows of a group need distinct order values. A window adds up within each partition. What is
+    carried over concerns only groups that lie in several partitions; as each partition continues
+    at most one group from the partition before it, these are at most two rows per partition.
     """
     named = df.select("*", *[expr.alias("__a_" + n) for n, expr in amounts.items()])
-    laid = settle(
-        named.orderBy(*map(F.col, by), *order).withColumn("__part", F.spark_partition_id())
-    )
+    sorted_rows = named.orderBy(*map(F.col, by), *order)
+    laid = settle(sorted_rows.withColumn("__part", F.spark_partition_id()), "totals")
     keys = [*by, "__part"]
-    per_part = laid.groupBy(*keys).agg(
-        *[F.sum("__a_" + n).alias("__s_" + n) for n in amounts]
-    )
-    earlier = (
-        Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # one row per group and partition
+    per_part = laid.groupBy(*keys).agg(*[F.sum("__a_" + n).alias("__s_" + n) for n in amounts])
     whole = Window.partitionBy(*by)
-    carried = per_part.select(
-        *keys,
-        *[F.coalesce(F.sum("__s_" + n).over(earlier), F.lit(0)).alias("__c_" + n) for n in amounts],
-        *[F.sum("__s_" + n).over(whole).alias(n + "_total") for n in amounts],
-    )
-    within = (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    spread = (
+        per_part.select(
+            *keys,
+            F.count("*").over(whole).alias("__parts"),
+            *[F.sum("__s_" + n).over(earlier).alias("__c_" + n) for n in amounts],
+            *[F.sum("__s_" + n).over(whole).alias("__w_" + n) for n in amounts],
+        )
+        .filter("__parts > 1")
+        .drop("__parts")
     )
+    here = Window.partitionBy(*keys)
+    above = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = laid.select(
         "*",
-        *[F.coalesce(F.sum("__a_" + n).over(within), F.lit(0)).alias("__l_" + n) for n in amounts],
+        *[F.sum("__a_" + n).over(above).alias("__l_" + n) for n in amounts],
+        *[F.sum("__a_" + n).over(here).alias("__h_" + n) for n in amounts],
     )
-    joined = attach(local, carried, keys)
-    return joined.select(
+    zero = F.lit(0)
+    return attach(local, F.broadcast(spread), keys, "left").select(
         *df.columns,
-        *[(F.col("__l_" + n) + F.col("__c_" + n)).alias(n + "_before") for n in amounts],
-        *[F.col(n + "_total") for n in amounts],
+        *[
+            (F.coalesce("__l_" + n, zero) + F.coalesce("__c_" + n, zero)).alias(n + "_before")
+            for n in amounts
+        ],
+        *[F.coalesce("__w_" + n, "__h_" + n).alias(n + "_total") for n in amounts],
     )
 
 

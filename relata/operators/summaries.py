@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relata.functions.scalars import shorten
 from relata.operators.numbering import attach, running_totals
+from relata.session import settle
 
 # The quantiles of a numeric and of a text summary.
 EDGES = {"p01": 0.01, "p05": 0.05, "p50": 0.50, "p95": 0.95, "p99": 0.99}
@@ -21,9 +22,12 @@ FULL_EDGES = {
 }
 
 
-def _ranked_values(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+def _value_counts(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    return df.groupBy(*by, value.alias("value")).agg(F.count("*").alias("ct"))
+
+
+def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct values with count and running totals; nulls count nothing in the totals."""
-    counts = df.groupBy(*by, value.alias("value")).agg(F.count("*").alias("ct"))
     known = F.col("value").isNotNull()
     return running_totals(
         counts,
@@ -49,7 +53,7 @@ def quantiles(
     df: DataFrame, value: Column, by: Sequence[str] = (), edges: Mapping[str, float] = EDGES
 ) -> DataFrame:
     """Exact quantiles as columns."""
-    ranked = _ranked_values(df, by, value)
+    ranked = _ranked(_value_counts(df, by, value), by)
     return ranked.groupBy(*by).agg(*[_quantile(p).alias(name) for name, p in edges.items()])
 
 
@@ -85,7 +89,17 @@ def describe_numeric(
 
     The examples are the smallest distinct values. Null is one of the distinct values.
     """
-    ranked = _ranked_values(df, by, value)
+    return _describe(_value_counts(df, by, value), by, edges, n_examples, population)
+
+
+def _describe(
+    counts: DataFrame,
+    by: Sequence[str],
+    edges: Mapping[str, float],
+    n_examples: int,
+    population: bool,
+) -> DataFrame:
+    ranked = _ranked(counts, by)
     example = F.when(
         F.col("value").isNotNull() & (F.col("d_before") < n_examples), F.col("value")
     )
@@ -117,16 +131,16 @@ def describe_text(
     The examples are the smallest distinct texts, shortened.
     """
     text = F.col(column)
-    values = df.groupBy(*by, text).agg(F.count("*").alias("ct"))
-    weighted = values.select(*by, F.length(text).alias("len"), text, "ct")
-    overall = weighted.groupBy(*by).agg(
+    values = settle(df.groupBy(*by, text).agg(F.count("*").alias("ct")), "texts")
+    overall = values.groupBy(*by).agg(
         F.sum("ct").alias("n_recs"),
         F.sum(F.when(text.isNull(), F.col("ct")).otherwise(0)).alias("n_nulls"),
         F.count("*").alias("cardinality"),
         F.min(text).alias("minval"),
         F.max(text).alias("maxval"),
     )
-    lengths = describe_numeric(df, F.length(text), by, edges).select(
+    sizes = values.groupBy(*by, F.length(text).alias("value")).agg(F.sum("ct").alias("ct"))
+    lengths = _describe(sizes, by, edges, 0, True).select(
         *by,
         F.col("min_val").alias("minlen"),
         *edges,

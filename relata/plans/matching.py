@@ -18,6 +18,7 @@ from relata.operators.joins import (
 from relata.operators.nesting import bags, delimited
 from relata.plans import views
 from relata.plans.registry import query
+from relata.session import settle
 
 
 @query(
@@ -376,9 +377,10 @@ def _(source):
       SELECT name, geonameid, population FROM (
         SELECT *, row_number() OVER (PARTITION BY name ORDER BY geonameid) AS rn FROM major_cities) WHERE rn = 1),
     lists AS (
-      SELECT city, part, count(*) AS n_parks, string_agg(CAST(park_id AS VARCHAR), '|' ORDER BY park_id) AS park_ids
-      FROM (SELECT *, (row_number() OVER (PARTITION BY city ORDER BY park_id) - 1) // 100000 AS part FROM main_parks)
-      GROUP BY city, part)
+      SELECT city, part, n_parks, string_agg(CAST(park_id AS VARCHAR), '|' ORDER BY park_id) AS park_ids
+      FROM (SELECT *, (row_number() OVER (PARTITION BY city ORDER BY park_id) - 1) // 100000 AS part,
+                   count(*) OVER (PARTITION BY city) AS n_parks FROM main_parks)
+      GROUP BY city, part, n_parks)
     SELECT coalesce(name, city) AS city, geonameid, population, coalesce(part, 0) AS part,
            coalesce(n_parks, 0) AS n_parks, coalesce(park_ids, '') AS park_ids
     FROM firsts FULL OUTER JOIN lists ON name = city
@@ -390,12 +392,12 @@ def _(source):
     first = views.major_cities(source).groupBy(F.col("name").alias("city")).agg(
         F.min("geonameid").alias("geonameid"), F.min_by("population", "geonameid").alias("population")
     )
-    parks = bags(views.main_parks(source), ["city"], ["park_id"], ["park_id"], "park_ids")
+    parks = bags(settle(views.main_parks(source), "parks"), ["city"], ["park_id"], ["park_id"], "park_ids")
     return first.join(parks, "city", "full_outer").select(
         "city",
         "geonameid",
         "population",
         F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce(F.size("park_ids"), F.lit(0)).cast("bigint").alias("n_parks"),
+        F.coalesce("n_members", F.lit(0)).alias("n_parks"),
         F.coalesce(delimited("park_ids", "|", "park_id"), F.lit("")).alias("park_ids"),
     )

@@ -19,7 +19,7 @@ from relata.operators.numbering import attach
 from relata.operators.ranking import nest_top
 from relata.plans import views
 from relata.plans.registry import query
-from relata.session import fresh_path
+from relata.session import fresh_path, settle
 from relata.sources.text import read_json, write_json
 
 _STAYS = ("park_team_years",)
@@ -30,6 +30,11 @@ def _part(by: str, order: str) -> str:
     return f"(row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1) // {PART_SIZE} AS part"
 
 
+def _stays(source):
+    """Stays, stored once: a bag is built from them after a look at the group sizes."""
+    return settle(views.park_team_years(source), "stays")
+
+
 _ROW_TEXT = (
     "park_id || '|' || team_id || '|' || CAST(year_id AS VARCHAR) || '|' || beg_date || '|' || end_date"
     " || '|' || CAST(n_games AS VARCHAR)"
@@ -39,17 +44,17 @@ _ROW_TEXT = (
 @query(
     "nest_bag_rows",
     f"""
-    SELECT team_id, part, count(*) AS n, string_agg({_ROW_TEXT}, '|' ORDER BY park_id, year_id) AS members
-    FROM (SELECT *, {_part('team_id', 'park_id, year_id')} FROM park_team_years) GROUP BY team_id, part
+    SELECT team_id, part, n_members, string_agg({_ROW_TEXT}, '|' ORDER BY park_id, year_id) AS members
+    FROM (SELECT *, {_part('team_id', 'park_id, year_id')}, count(*) OVER (PARTITION BY team_id) AS n_members
+          FROM park_team_years) GROUP BY team_id, part, n_members
     """,
     _STAYS,
 )
 def _(source):
-    stays = views.park_team_years(source)
     fields = ["park_id", "team_id", "year_id", "beg_date", "end_date", "n_games"]
-    nested = bags(stays, ["team_id"], fields, ["park_id", "year_id"])
+    nested = bags(_stays(source), ["team_id"], fields, ["park_id", "year_id"])
     return nested.select(
-        "team_id", "part", F.size("bag").cast("bigint").alias("n"), delimited("bag", "|", *fields).alias("members")
+        "team_id", "part", "n_members", delimited("bag", "|", *fields).alias("members")
     )
 
 
@@ -62,7 +67,7 @@ def _(source):
     _STAYS,
 )
 def _(source):
-    nested = bags(views.park_team_years(source), ["team_id"], ["park_id", "year_id"], ["park_id", "year_id"])
+    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["park_id", "year_id"])
     return nested.select("team_id", "part", delimited("bag", "|", "park_id", "year_id").alias("pairs"))
 
 
@@ -76,7 +81,7 @@ def _(source):
     _STAYS,
 )
 def _(source):
-    nested = bags(views.park_team_years(source), ["team_id"], ["park_id", "year_id"], ["year_id", "park_id"])
+    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["year_id", "park_id"])
     return nested.select(
         "team_id",
         "part",
@@ -88,7 +93,7 @@ def _(source):
 @query("nest_explode", "SELECT team_id, park_id, year_id, n_games FROM park_team_years", _STAYS)
 def _(source):
     fields = ["park_id", "year_id", "n_games"]
-    nested = bags(views.park_team_years(source), ["team_id"], fields, ["park_id", "year_id"])
+    nested = bags(_stays(source), ["team_id"], fields, ["park_id", "year_id"])
     return unnest(nested, "bag").select("team_id", *fields)
 
 
@@ -129,18 +134,20 @@ def _(source):
 @query(
     "nest_delimited",
     f"""
-    SELECT team_id, year_id, part, count(*) AS n_parks, string_agg(park_id, '^' ORDER BY park_id) AS park_ids
-    FROM (SELECT *, {_part('team_id, year_id', 'park_id')} FROM park_team_years) GROUP BY team_id, year_id, part
+    SELECT team_id, year_id, part, n_parks, string_agg(park_id, '^' ORDER BY park_id) AS park_ids
+    FROM (SELECT *, {_part('team_id, year_id', 'park_id')},
+                 count(*) OVER (PARTITION BY team_id, year_id) AS n_parks FROM park_team_years)
+    GROUP BY team_id, year_id, part, n_parks
     """,
     _STAYS,
 )
 def _(source):
-    nested = bags(views.park_team_years(source), ["team_id", "year_id"], ["park_id"], ["park_id"])
+    nested = bags(_stays(source), ["team_id", "year_id"], ["park_id"], ["park_id"])
     return nested.select(
         "team_id",
         "year_id",
         "part",
-        F.size("bag").cast("bigint").alias("n_parks"),
+        F.col("n_members").alias("n_parks"),
         delimited("bag", "^", "park_id").alias("park_ids"),
     )
 
@@ -158,8 +165,8 @@ def _(source):
 def _(source):
     pair = F.concat("park_id", F.lit(":"), F.col("n_games").cast("string"))
     return bag_text(
-        views.park_team_years(source), ["team_id", "year_id"], pair, [-F.col("n_games"), F.col("park_id")], "|", "pk_ngs"
-    )
+        _stays(source), ["team_id", "year_id"], pair, [-F.col("n_games"), F.col("park_id")], "|", "pk_ngs"
+    ).drop("n_members")
 
 
 @query(
@@ -172,8 +179,8 @@ def _(source):
     _STAYS,
 )
 def _(source):
-    pairs = views.park_team_years(source).select("team_id", "park_id").distinct()
-    return bag_text(pairs, ["team_id"], F.col("park_id"), [F.col("park_id")], "|", "parks")
+    pairs = settle(views.park_team_years(source).select("team_id", "park_id").distinct(), "pairs")
+    return bag_text(pairs, ["team_id"], F.col("park_id"), [F.col("park_id")], "|", "parks").drop("n_members")
 
 
 @query(
@@ -188,9 +195,10 @@ def _(source):
 )
 def _(source):
     # of several teams in a year, the first by name
-    yearly = views.seasons(source).groupBy("player_id", "year_id").agg(F.min("team_id").alias("team_id"))
+    firsts = views.seasons(source).groupBy("player_id", "year_id").agg(F.min("team_id").alias("team_id"))
+    yearly = settle(firsts, "yearly")
     step = F.concat_ws("|", "team_id", "year_id")
-    return bag_text(yearly, ["player_id"], step, [F.col("year_id")], "|", "teams")
+    return bag_text(yearly, ["player_id"], step, [F.col("year_id")], "|", "teams").drop("n_members")
 
 
 @query(
@@ -277,7 +285,7 @@ def _(source):
 )
 def _(source):
     by = ["team_id", "year_id"]
-    members = set_changes(views.park_team_years(source), ["team_id"], "park_id", "year_id")
+    members = settle(set_changes(views.park_team_years(source), ["team_id"], "park_id", "year_id"), "members")
     sizes = (
         set_change_counts(members, by)
         .filter("n_first > 0 AND n_second > 0")
@@ -299,29 +307,31 @@ def _(source):
 
 
 _CITY_SQL = f"""
-    SELECT team_id, year_id, city, part, count(*) AS n_parks, CAST(sum(n_games) AS BIGINT) AS n_city_games,
-           max(n_games) AS max_in_city,
-           string_agg(park_id || ':' || CAST(n_games AS VARCHAR), '|' ORDER BY n_games DESC, park_id) AS parks
-    FROM (SELECT *, {_part('team_id, year_id, city', 'n_games DESC, park_id')} FROM park_cities)
-    GROUP BY team_id, year_id, city, part
+    WITH stats AS (
+      SELECT team_id, year_id, city, count(*) AS n_parks, CAST(sum(n_games) AS BIGINT) AS n_city_games,
+             max(n_games) AS max_in_city
+      FROM park_cities GROUP BY team_id, year_id, city),
+    lists AS (
+      SELECT team_id, year_id, city, part,
+             string_agg(park_id || ':' || CAST(n_games AS VARCHAR), '|' ORDER BY n_games DESC, park_id) AS parks
+      FROM (SELECT *, {_part('team_id, year_id, city', 'n_games DESC, park_id')} FROM park_cities)
+      GROUP BY team_id, year_id, city, part)
+    SELECT * FROM stats JOIN lists USING (team_id, year_id, city)
 """
 
 
 def _city_stats(source):
-    """Figures of each team, year and city, with parks by games; a hot city comes in parts."""
+    """Figures of each team, year and city, with its parks by games."""
     by = ["team_id", "year_id", "city"]
-    stays = views.park_cities(source).withColumn("down", -F.col("n_games"))
-    nested = bags(stays, by, ["park_id", "n_games"], ["down", "park_id"])
-    pair = F.transform("bag", lambda m: F.concat(m.park_id, F.lit(":"), m.n_games.cast("string")))
-    games = F.transform("bag", lambda m: m.n_games)
-    return nested.select(
-        *by,
-        "part",
-        F.size("bag").cast("bigint").alias("n_parks"),
-        F.aggregate(games, F.lit(0).cast("bigint"), lambda a, g: a + g).alias("n_city_games"),
-        F.array_max(games).alias("max_in_city"),
-        F.array_join(pair, "|").alias("parks"),
+    stays = settle(views.park_cities(source).select(*by, "park_id", "n_games"), "stays")
+    figures = stays.groupBy(*by).agg(
+        F.count("*").alias("n_parks"),
+        F.sum("n_games").alias("n_city_games"),
+        F.max("n_games").alias("max_in_city"),
     )
+    pair = F.concat("park_id", F.lit(":"), F.col("n_games").cast("string"))
+    parks = bag_text(stays, by, pair, [-F.col("n_games"), F.col("park_id")], "|", "parks")
+    return attach(parks.drop("n_members"), figures, by)
 
 
 @query("park_city_stats", _CITY_SQL, ("park_cities",))
@@ -351,9 +361,10 @@ def _(source):
 )
 def _(source):
     by = ["team_id", "year_id"]
-    stats = views.park_cities(source).groupBy(*by, "city").agg(
+    cities = views.park_cities(source).groupBy(*by, "city").agg(
         F.sum("n_games").alias("n_city_games"), F.max("n_games").alias("max_in_city")
     )
+    stats = settle(cities, "cities")
     totals = stats.groupBy(*by).agg(
         F.sum("n_city_games").alias("n_home_gms"),
         F.max("n_city_games").alias("main_city"),
@@ -361,7 +372,7 @@ def _(source):
         F.count("*").alias("n_cities"),
     )
     pair = F.concat("city", F.lit(":"), F.col("n_city_games").cast("string"))
-    lists = bag_text(stats, by, pair, [-F.col("n_city_games"), F.col("city")], "|", "cities")
+    lists = bag_text(stats, by, pair, [-F.col("n_city_games"), F.col("city")], "|", "cities").drop("n_members")
     report = attach(lists, totals, by).select(
         *by,
         "part",

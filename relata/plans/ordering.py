@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relata.operators.nesting import delimited
-from relata.operators.numbering import number_rows, rank_rows
+from relata.operators.numbering import number_copies, number_rows, rank_rows
 from relata.operators.ranking import holder_of_max, nest_top, shuffle_rows, top, top_per_group
 from relata.plans import views
 from relata.plans.registry import query
@@ -61,7 +61,8 @@ def _(source):
     "SELECT row_number() OVER (ORDER BY p_name) AS row_no, p_name AS value FROM part",
 )
 def _(source):
-    return number_rows(views.table(source, "part").select(F.col("p_name").alias("value")), [F.col("value")])
+    lines = views.table(source, "part").select(F.col("p_name").alias("value"))
+    return number_copies(lines, [F.col("value")])
 
 
 @query(

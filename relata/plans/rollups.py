@@ -419,7 +419,7 @@ def _(source):
     visible = _shares(source).filter("H_bin >= 3")
     percent = F.floor(100 * F.col("freq") + 0.5).cast("double")
     text = F.format_string("%1$3d: %3$4.0f", F.col("H_bin"), F.col("ct"), percent)
-    return hist.as_lines(visible, "year_bin", "H_bin", text)
+    return hist.as_lines(visible, "year_bin", "H_bin", text).drop("n_members")
 
 
 @query(

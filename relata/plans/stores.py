@@ -10,7 +10,7 @@ from relata.operators.rows import split_tagged
 from relata.plans import views
 from relata.plans.matching import tagged_text
 from relata.plans.registry import query
-from relata.session import fresh_path
+from relata.session import fresh_path, settle
 from relata.sources import text
 
 
@@ -79,7 +79,7 @@ def _(source):
 
 @query("sink_nested_roundtrip", "SELECT team_id, park_id, year_id FROM park_team_years", ("park_team_years",))
 def _(source):
-    stays = views.park_team_years(source).withColumn("year", F.col("year_id").cast("bigint"))
+    stays = settle(views.park_team_years(source).withColumn("year", F.col("year_id").cast("bigint")), "stays")
     nested = bags(stays, ["team_id"], ["year", "park_id"], ["year", "park_id"], "park_years")
     path = fresh_path(source[0], "bag-of-park-years")
     text.write_table(nested, path)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio, substring_range
-from relata.operators.aggregate import cardinality
 
 Source = tuple[SparkSession, str]
 
@@ -84,11 +83,18 @@ COUNTED = ["G", "PA", "AB", "HBP", "SH", "BB", "H", "h1B", "h2B", "h3B", "HR", "
 
 
 def career_totals(rows: DataFrame) -> DataFrame:
-    totals = rows.groupBy("player_id").agg(
-        F.count("*").alias("n_seasons"),
-        cardinality("team_id").alias("card_teams"),
-        F.min("year_id").alias("beg_year"),
-        F.max("year_id").alias("end_year"),
+    """Seasons are added up per player and team first, so that teams can be counted as rows."""
+    per_team = rows.groupBy("player_id", "team_id").agg(
+        F.count("*").alias("n"),
+        F.min("year_id").alias("first"),
+        F.max("year_id").alias("last"),
+        *[F.sum(s).alias(s) for s in COUNTED],
+    )
+    totals = per_team.groupBy("player_id").agg(
+        F.sum("n").alias("n_seasons"),
+        F.count("*").alias("card_teams"),
+        F.min("first").alias("beg_year"),
+        F.max("last").alias("end_year"),
         *[F.sum(s).alias(s) for s in COUNTED],
     )
     return (
