@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZONE = r"(?:[zZ]|[+-]\d{2}:?\d{2}|[+-]\d{2})$"
+def instant(text: Column) -> Column:
+    """An ISO-8601 instant; a bare date is its midnight, and without a zone it is taken as UTC."""
 
+    def sign(place: int) -> Column:
+        return F.substring(text, place, 1).isin("+", "-")
 
-def instant(text: Column) -> Column:
-    """An ISO-8601 instant; without a zone it is taken as UTC."""
-    dated = text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$")
-    full = F.when(dated, F.concat(F.trim(text), F.lit("T00:00:00Z"))).otherwise(
-        F.when(F.regexp_replace(text, r"^[^T ]*[T ]", "").rlike(_ZONE), text).otherwise(
-            F.concat(text, F.lit("Z"))
-        )
+    zoned = F.substring(text, -1, 1).isin("Z", "z") | sign(-6) | sign(-5) | sign(-3)
+    full = (
+        F.when(F.length(text) <= 10, F.concat(text, F.lit("T00:00:00Z")))
+        .when(zoned, text)
+        .otherwise(F.concat(text, F.lit("Z")))
     )
     return F.try_to_timestamp(full)
 

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 # The blanks between words, and the word pattern with its leading consonants.
 BLANKS = r"[ \t\n\r\f]+"
 WORD = r"([bcdfghjklmnpqrstvwxz]*)([A-Za-z0-9_']+)"
-# A word border counts letters, digits and underscore of ASCII only.
-BORDER = (
-    r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-)
+# A word begins where a letter, digit or underscore of ASCII follows something else.
+BORDER = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"
 
 
 def tokens(text: Column) -> Column:

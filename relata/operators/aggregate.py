@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import flag
+from relata.operators.numbering import attach
 from relata.session import settle
 
 
@@ -28,7 +29,7 @@ def cardinality(df: DataFrame, by: Sequence[str], column: str, name: str) -> Dat
 
 def with_share(counts: DataFrame, count: str = "ct", name: str = "freq") -> DataFrame:
     """Each count as a share of all. The total is a scalar subquery over the counts."""
-    counts = settle(counts)
+    counts = settle(counts, "counts")
     total = counts.agg(F.sum(count).alias("total")).scalar()
     return counts.withColumn(name, F.try_divide(F.col(count).cast("double"), total))
 
@@ -38,19 +39,12 @@ def share_in_group(
 ) -> DataFrame:
     """How often each value occurs in each group, and its share of the group.
 
-    Counts are built first, so what is grouped again is one row per value.
+    Counts are built and stored first, so what is grouped again is one row per value.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias(count))
+    counts = settle(df.groupBy(*by, value).agg(F.count("*").alias(count)), "counts")
     totals = counts.groupBy(*by).agg(F.sum(count).alias("__total"))
-    tagged = totals.select(*[F.col(k).alias("__" + k) for k in by], "__total")
-    condition = F.lit(True)
-    for key in by:
-        condition = condition & F.col(key).eqNullSafe(F.col("__" + key))
-    return (
-        counts.join(tagged, condition)
-        .withColumn(name, F.col(count).cast("double") / F.col("__total"))
-        .select(*by, value, count, name)
-    )
+    share = F.col(count).cast("double") / F.col("__total")
+    return attach(counts, totals, by).withColumn(name, share).drop("__total")
 
 
 def sums_by_subset(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relata.functions.scalars import round_half_up
 from relata.operators.nesting import PART_SIZE, bag_text
+from relata.operators.numbering import attach
 from relata.session import settle
 
 
@@ -57,7 +58,7 @@ def fill_gaps(df: DataFrame, binned: Column, width: int, name: str = "total") ->
     Bins below 0 are kept as well. The one-row range of bins is read by the driver, and the bins
     between are made by a distributed range.
     """
-    counts = settle(histogram(df, binned, "bin", "n").filter("bin IS NOT NULL"))
+    counts = settle(histogram(df, binned, "bin", "n").filter("bin IS NOT NULL"), "bins")
     reach = counts.agg(F.min("bin").alias("low"), F.max("bin").alias("high")).first()
     if reach.high is None:
         return counts.select("bin", F.col("n").alias(name))
@@ -75,20 +76,20 @@ def with_examples(
     The limit on the row number works on each input partition before the shuffle, so a bin sends
     at most ``n`` rows from each.
     """
+    places = [f"__o{i}" for i in range(len(order))]
+    rows = settle(
+        df.select(bin_, *[o.alias(p) for o, p in zip(order, places)], example.alias("__e")), "binned"
+    )
+    first = F.row_number().over(Window.partitionBy(bin_).orderBy(*places))
     picked = (
-        df.select(bin_, *[o.alias(f"__o{i}") for i, o in enumerate(order)], example.alias("__e"))
-        .withColumn("__rn", F.row_number().over(
-            Window.partitionBy(bin_).orderBy(*[F.col(f"__o{i}") for i in range(len(order))])))
+        rows.withColumn("__rn", first)
         .filter(F.col("__rn") <= n)
         .groupBy(bin_)
         .agg(F.sort_array(F.collect_list(F.struct("__rn", "__e"))).alias("__es"))
-        .select(
-            F.col(bin_).alias("__bin"),
-            F.array_join(F.transform("__es", lambda e: e["__e"]), "|").alias("examples"),
-        )
+        .select(bin_, F.array_join(F.transform("__es", lambda e: e["__e"]), "|").alias("examples"))
     )
-    counts = df.groupBy(bin_).agg(F.count("*").alias("ct"))
-    return counts.join(picked, F.col(bin_).eqNullSafe(F.col("__bin"))).drop("__bin")
+    counts = rows.groupBy(bin_).agg(F.count("*").alias("ct"))
+    return attach(counts, picked, [bin_])
 
 
 def as_lines(

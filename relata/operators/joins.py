@@ -49,16 +49,19 @@ def fanout(
 ) -> DataFrame:
     """Rows of both inputs and of their join, without building the join.
 
-    Rows per key are counted on each side; the products of the counts add up to the join's size.
+    Rows per key are counted on each side. A full outer join of the counts, in which null keys
+    find no partner, gives all three figures: the products of the counts add up to the join.
     """
     n_left = left.groupBy(*on).agg(F.count("*").alias("nl"))
     n_right = right.groupBy(*on).agg(F.count("*").alias("nr"))
-    joined = n_left.join(n_right, list(on)).agg(
-        F.coalesce(F.sum(exact("nl") * exact("nr")), F.lit(0)).alias("total")
+    zero = F.lit(0).cast("decimal(38,0)")
+    sizes = n_left.join(n_right, list(on), "full_outer").agg(
+        *[
+            F.coalesce(F.sum(amount), zero).alias(name)
+            for name, amount in {"l": exact("nl"), "r": exact("nr"), "j": exact("nl") * exact("nr")}.items()
+        ]
     )
-    sizes = [left.agg(F.count("*").alias("total")), right.agg(F.count("*").alias("total")), joined]
-    report = [s.select(F.lit(label).alias("label"), "total") for label, s in zip(labels, sizes)]
-    return report[0].unionByName(report[1]).unionByName(report[2])
+    return _long_form(sizes, dict(zip(labels, ("l", "r", "j"))))
 
 
 def coverage(df: DataFrame, matched: Column, yes: str, no: str) -> DataFrame:
@@ -68,14 +71,15 @@ def coverage(df: DataFrame, matched: Column, yes: str, no: str) -> DataFrame:
         F.count_if(matched).alias("yes"),
         F.count_if(~matched).alias("no"),
     )
-    entries = [("total", "total"), (yes, "yes"), (no, "no")]
-    return counts.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(label).alias("label"), F.col(c).alias("total")) for label, c in entries]
-            )
-        )
-    )
+    return _long_form(counts, {"total": "total", yes: "yes", no: "no"})
+
+
+def _long_form(one_row: DataFrame, labels: Mapping[str, str]) -> DataFrame:
+    """One row of figures as rows of label and total."""
+    entries = [
+        F.struct(F.lit(label).alias("label"), F.col(c).alias("total")) for label, c in labels.items()
+    ]
+    return one_row.select(F.inline(F.array(*entries)))
 
 
 def pair_counts(df: DataFrame, by: Sequence[str], member: str, name: str = "n_pairs") -> DataFrame:

@@ -154,12 +154,16 @@ def set_changes(
     One row per group, step and member of either set, with ``in_first`` and ``in_second``. Rows
     are aligned on group, step and member, so a set of any size spreads over tasks.
     """
-    rows = df.select(*by, step, member)
-    flagged = rows.select("*", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
-        rows.withColumn(step, (F.col(step) - distance).cast(rows.schema[step].dataType)).select(
-            "*", F.lit(0).alias("a"), F.lit(1).alias("b")
+    kind = df.schema[step].dataType
+
+    def seen(at: Column, first: int) -> Column:
+        return F.struct(
+            at.cast(kind).alias(step), F.lit(first).alias("a"), F.lit(1 - first).alias("b")
         )
-    )
+
+    # each row counts for its own step and for the one before, from one scan
+    both = F.inline(F.array(seen(F.col(step), 1), seen(F.col(step) - distance, 0)))
+    flagged = df.select(*by, member, both)
     return flagged.groupBy(*by, step, member).agg(
         (F.max("a") == 1).alias("in_first"), (F.max("b") == 1).alias("in_second")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio
 from relata.operators import sets
+from relata.operators.aggregate import count_by
 from relata.operators.joins import (
     anti,
     coverage,
@@ -227,15 +228,19 @@ def _(source):
     ("park_team_years",),
 )
 def _(source):
-    stays = views.park_team_years(source).select("team_id", "year_id")
+    stays = count_by(views.park_team_years(source), "team_id", "year_id", name="n")
+    counts = settle(stays, "counts")
     year = F.col("year_id")
     return sets.cogroup(
-        stays,
-        stays,
+        counts,
+        counts,
         {"team_id": (F.col("team_id"), F.col("team_id")), "year_id": (year, year - 1)},
-        {},
-        {},
-        [F.count_if("from_a").alias("n_parks"), F.count_if("from_b").alias("n_parks_next")],
+        {"now": F.col("n")},
+        {"next": F.col("n")},
+        [
+            F.coalesce(F.sum("now"), F.lit(0)).alias("n_parks"),
+            F.coalesce(F.sum("next"), F.lit(0)).alias("n_parks_next"),
+        ],
     )
 
 

@@ -10,6 +10,7 @@ from relata.operators.ranking import holder_of_max, nest_top, shuffle_rows, top,
 from relata.plans import views
 from relata.plans.registry import query
 from relata.plans.rollups import EPOCHS_SQL, epochs
+from relata.session import settle
 
 _FIELDS = "player_id, PA_all, OPS_all, OPS_prime, OPS_older, beg_year, n_prime, n_older"
 
@@ -150,7 +151,7 @@ def _(source):
     ("seasons",),
 )
 def _(source):
-    rows = views.seasons(source).select("player_id", "year_id", "team_id", "RBI", "H")
+    rows = settle(views.seasons(source).select("player_id", "year_id", "team_id", "RBI", "H"), "seasons")
     return rank_rows(rows, [("RBI", True), ("H", True), ("player_id", False)])
 
 
@@ -160,7 +161,7 @@ def _(source):
     ("seasons",),
 )
 def _(source):
-    rows = views.seasons(source).select("player_id", "year_id", "team_id", "H")
+    rows = settle(views.seasons(source).select("player_id", "year_id", "team_id", "H"), "seasons")
     return rank_rows(rows, [("H", True)], sparse=None, dense="rank")
 
 

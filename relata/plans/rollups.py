@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relata.functions.scalars import ratio
 from relata.operators import histograms as hist
 from relata.operators.aggregate import (
+    cardinality,
     count_by,
     count_flags,
     share_in_group,
@@ -22,6 +23,7 @@ from relata.operators.summaries import (
 )
 from relata.plans import views
 from relata.plans.registry import query
+from relata.sources.text import spread
 from relata.operators.delays import delay_histogram
 
 
@@ -84,6 +86,19 @@ def _(source):
     )
 
 
+@query(
+    "agg_distinct",
+    """
+    SELECT birth_state, count(DISTINCT birth_city)
+           + CASE WHEN count(*) > count(birth_city) THEN 1 ELSE 0 END AS n_cities
+    FROM people GROUP BY birth_state
+    """,
+    ("people",),
+)
+def _(source):
+    return cardinality(views.people(source), ["birth_state"], "birth_city", "n_cities")
+
+
 @query(
     "agg_two_level",
     """
@@ -430,7 +445,8 @@ def _(source):
     """,
 )
 def _(source):
-    orders, lines = views.table(source, "orders"), views.table(source, "lineitem")
+    orders = views.table(source, "orders").select("o_orderkey", "o_orderdate")
+    lines = spread(views.table(source, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag"))
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     reports = orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
         F.concat_ws(

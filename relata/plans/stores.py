@@ -40,7 +40,7 @@ def _(source):
 
 @query("src_bz2", "SELECT * FROM games", ("games",))
 def _(source):
-    rows = views.games(source)
+    rows = text.spread(views.games(source))
     path = fresh_path(source[0], "games")
     text.write_separated(rows, path, compression="bzip2")
     return text.read_separated(source[0], path, rows.schema)

@@ -8,6 +8,7 @@ from relata.functions.words import pig_latin, tokens
 from relata.operators.aggregate import count_by
 from relata.plans import views
 from relata.plans.registry import query
+from relata.sources.text import spread
 
 
 @query(
@@ -19,7 +20,8 @@ from relata.plans.registry import query
     """,
 )
 def _(source):
-    words = views.table(source, "documents").select(F.explode(tokens(F.col("text"))).alias("word"))
+    texts = spread(views.table(source, "documents").select("text"))
+    words = texts.select(F.explode(tokens(F.col("text"))).alias("word"))
     return count_by(words, "word")
 
 
@@ -37,7 +39,8 @@ def _(source):
     """,
 )
 def _(source):
-    lines = views.table(source, "documents").select(
+    texts = spread(views.table(source, "documents").select("doc_id", "text"))
+    lines = texts.select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), pig_latin(F.col("line")).alias("line"))

@@ -106,3 +106,13 @@ def through_store(df: DataFrame, label: str) -> DataFrame:
     return read_table(df.sparkSession, path)
 
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input came in fewer pieces than there are cores.
+
+    A gzip file or a file of one row group is one piece. Ahead of costly work per row the
+    shuffle pays off; large inputs come in many pieces and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
