@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import shorten
-from relata.operators.numbering import attach, running_totals
+from relata.operators.numbering import running_totals
 from relata.session import settle
 
 # The quantiles of a numeric and of a text summary.
@@ -151,12 +151,21 @@ def describe_text(
     )
     shown = smallest_texts(values.filter(text.isNotNull()), by, column, n_examples)
     return (
-        attach(attach(lengths, overall, by, "left"), shown, by, "left")
+        _one_row(by, lengths, overall, shown)
         .withColumn("examples", F.coalesce("examples", F.lit("")))
         .withColumn("var", F.lit(column))
     )
 
 
+def _one_row(by: Sequence[str], *parts: DataFrame) -> DataFrame:
+    """Merge tables that hold different columns of the same groups."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    figures = [c for c in stacked.columns if c not in by]
+    return stacked.groupBy(*by).agg(*[F.max(c).alias(c) for c in figures])
+
+
 def smallest_texts(values: DataFrame, by: Sequence[str], column: str, n: int) -> DataFrame:
     """The ``n`` smallest texts of each group as one line; ``values`` has each text once."""
     if by:
