@@ -97,6 +97,17 @@ def pair_counts(df: DataFrame, by: Sequence[str], member: str, name: str = "n_pa
     return sums.select(*by, (exact("n") * exact("n") - F.col("same")).alias(name))
 
 
+def partners(df: DataFrame, by: Sequence[str], member: str, chosen: Column) -> DataFrame:
+    """Pairs of each chosen row with the rows of other members in its group, as ``pl1, pl2``.
+
+    For a choice of members only: listing the pairs of all of them grows with the square of the
+    group, and :func:`pair_counts` tells their number without listing them.
+    """
+    picked = df.filter(chosen).select(*by, F.col(member).alias("pl1"))
+    others = df.select(*by, F.col(member).alias("pl2"))
+    return picked.join(others, list(by)).filter("pl1 != pl2").select("pl1", "pl2")
+
+
 def tagged_lines(df: DataFrame, line: str = "value", separator: str = "[|]") -> dict[str, DataFrame]:
     """Tell two record shapes apart by their number of fields.
 

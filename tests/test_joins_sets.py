@@ -12,6 +12,7 @@ from relata.operators.joins import (
     join_on,
     join_tagged,
     pair_counts,
+    partners,
     semi,
     tagged_lines,
 )
@@ -104,6 +105,11 @@ def test_pair_counts_equal_a_self_join(spark):
     assert [(g, int(n)) for g, n in rows(pair_counts(df, ["g"], "m"))] == rows(brute)
 
 
+def test_partners_of_a_chosen_member(spark):
+    df = spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "c"), ("u", "a"), ("u", "a"), (None, "a")], "g string, m string")
+    assert rows(partners(df, ["g"], "m", F.col("m") == "a")) == [("a", "b"), ("a", "c")]
+
+
 def key_sets(spark):
     a = spark.createDataFrame([(v,) for v in ["x", "x", "y", "z", None]], "k string")
     b = spark.createDataFrame([(v,) for v in ["z", "w", "w", "x"]], "k string")
