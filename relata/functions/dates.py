@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 def instant(text: Column) -> Column:
-    """An ISO-8601 instant; a bare date is its midnight, and without a zone it is taken as UTC."""
+    """An ISO-8601 instant; a bare date is its midnight, and without a zone it is taken as UTC.
+
+    The text has to begin with a date: a bare time would be read as one of today.
+    """
 
     def sign(place: int) -> Column:
         return F.substring(text, place, 1).isin("+", "-")
@@ -17,7 +20,7 @@ def instant(text: Column) -> Column:
         .when(zoned, text)
         .otherwise(F.concat(text, F.lit("Z")))
     )
-    return F.try_to_timestamp(full)
+    return F.when(F.substring(text, 5, 1) == "-", F.try_to_timestamp(full))
 
 
 def date_of(year: Column, month: Column | None = None, day: Column | None = None) -> Column:

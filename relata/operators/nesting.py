@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relata.operators.numbering import running_totals
+from relata.operators.numbering import renamed_keys, running_totals
 from relata.session import settle
 
 PART_SIZE = 100_000
@@ -96,22 +96,21 @@ def _large_bags(
 
 def _matching(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Rows whose group is, or is not, among the keys; null groups count as a group."""
-    tagged = keys.select(*[F.col(k).alias("__k_" + k) for k in by])
-    condition = F.lit(True)
-    for key in by:
-        condition = condition & F.col(key).eqNullSafe(F.col("__k_" + key))
-    return rows.join(tagged, condition, how)
+    right, condition, _ = renamed_keys(keys, by)
+    return rows.join(right, condition, how)
 
 
-def delimited(bag: Column | str, separator: str, *fields: str) -> Column:
-    """A bag as text: the fields of every member joined flat, nulls as empty text."""
-    column = F.col(bag) if isinstance(bag, str) else bag
+def flat_text(separator: str, *fields: Column | str) -> Column:
+    """Fields as one text, nulls as empty text, so that every field keeps its place."""
+    columns = [F.col(f) if isinstance(f, str) else f for f in fields]
+    return F.concat_ws(separator, *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
-    def text(member: Column) -> Column:
-        values = [F.coalesce(member[f].cast("string"), F.lit("")) for f in fields]
-        return F.concat_ws(separator, *values)
 
-    return F.array_join(F.transform(column, text), separator)
+def delimited(bag: Column | str, separator: str, *fields: str) -> Column:
+    """A bag as text: the fields of every member joined flat."""
+    column = F.col(bag) if isinstance(bag, str) else bag
+    texts = F.transform(column, lambda m: flat_text(separator, *[m[f] for f in fields]))
+    return F.array_join(texts, separator)
 
 
 def bag_text(
@@ -123,7 +122,7 @@ def bag_text(
     name: str = "members",
     part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """Each group's texts joined in order, in parts as in :func:`bags`:
+    """Each group's texts joined in order, null as empty text, in parts as in :func:`bags`:
     ``by..., part, n_members, name``.
 
     ``order`` may be descending by giving negated numbers; it must not tie between texts that
@@ -135,7 +134,7 @@ def bag_text(
     places = [f"__o{i}" for i in range(len(order))]
     nested = bags(keyed, by, ["__text"], places, "__bag", part_size)
     return nested.select(
-        *by, "part", "n_members", F.array_join(F.transform("__bag", lambda m: m["__text"]), separator).alias(name)
+        *by, "part", "n_members", delimited("__bag", separator, "__text").alias(name)
     )
 
 

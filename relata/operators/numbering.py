@@ -18,19 +18,22 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these
 _BLOCK = 1_000_000  # copies of one row that a single task writes out
 
 
+def renamed_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column, list[str]]:
+    """``df`` with its keys renamed, the condition that joins it to a table with the plain names,
+    null keys matching each other, and the new names."""
+    names = ["__k_" + k for k in keys]
+    condition = F.lit(True)
+    for key, name in zip(keys, names):
+        condition = condition & F.col(key).eqNullSafe(F.col(name))
+    return df.withColumnsRenamed(dict(zip(keys, names))), condition, names
+
+
 def attach(
     rows: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
     """Join ``extra``, which has one row per key, to ``rows``. Null keys match each other."""
-    tag = "__k_"
-    right = extra.select(
-        *[F.col(k).alias(tag + k) for k in keys],
-        *[F.col(c) for c in extra.columns if c not in keys],
-    )
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(tag + key))
-    return rows.join(right, condition, how).drop(*[tag + k for k in keys])
+    right, condition, names = renamed_keys(extra, keys)
+    return rows.join(right, condition, how).drop(*names)
 
 
 def number_rows(

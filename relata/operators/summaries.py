@@ -70,6 +70,10 @@ def quantiles_approx(
     return found.select(*by, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(edges)])
 
 
+def _total(count: Column) -> Column:
+    return F.coalesce(F.sum(count), F.lit(0))
+
+
 def _spread(population: bool) -> Column:
     mean = F.col("s_total").cast("double") / F.nullif(F.col("n_total"), F.lit(0))
     away = F.sum(F.col("ct") * (F.col("value") - mean) * (F.col("value") - mean))
@@ -109,8 +113,8 @@ def _describe(
         F.min("value").alias("min_val"),
         *[_quantile(p).alias(name) for name, p in edges.items()],
         F.max("value").alias("max_val"),
-        F.sum("ct").alias("n_recs"),
-        F.sum(F.when(F.col("value").isNull(), F.col("ct")).otherwise(0)).alias("n_nulls"),
+        _total(F.col("ct")).alias("n_recs"),
+        _total(F.when(F.col("value").isNull(), F.col("ct"))).alias("n_nulls"),
         F.count("*").alias("cardinality"),
         F.sum(F.col("value") * F.col("ct")).alias("sum_val"),
         F.array_join(
@@ -133,8 +137,8 @@ def describe_text(
     text = F.col(column)
     values = settle(df.groupBy(*by, text).agg(F.count("*").alias("ct")), "texts")
     overall = values.groupBy(*by).agg(
-        F.sum("ct").alias("n_recs"),
-        F.sum(F.when(text.isNull(), F.col("ct")).otherwise(0)).alias("n_nulls"),
+        _total(F.col("ct")).alias("n_recs"),
+        _total(F.when(text.isNull(), F.col("ct"))).alias("n_nulls"),
         F.count("*").alias("cardinality"),
         F.min(text).alias("minval"),
         F.max(text).alias("maxval"),

@@ -127,8 +127,9 @@ def _(source):
     "str_report_line",
     """
     SELECT player_id, team_id,
-           printf('%4d', year_id) || chr(9) || rpad(name_first, CAST(greatest(9, length(name_first)) AS INTEGER), ' ') || ' '
-           || rpad(name_last, CAST(greatest(19, length(name_last)) AS INTEGER), ' ') || chr(9) || 'OBP '
+           coalesce(printf('%4d', year_id), 'null') || chr(9)
+           || rpad(coalesce(name_first, 'null'), CAST(greatest(9, coalesce(length(name_first), 4)) AS INTEGER), ' ') || ' '
+           || rpad(coalesce(name_last, 'null'), CAST(greatest(19, coalesce(length(name_last), 4)) AS INTEGER), ' ') || chr(9) || 'OBP '
            || printf('%5.3f', floor(1000 * v + 0.5) / 1000) || ' / '
            || CASE WHEN year_id >= 1998 THEN '.  ' ELSE 'pre' END || ' '
            || CASE WHEN PA >= 5 THEN 'sig' ELSE '.  ' END || chr(9)

@@ -16,7 +16,7 @@ from relata.operators.joins import (
     pair_counts,
     semi,
 )
-from relata.operators.nesting import bags, delimited
+from relata.operators.nesting import bags, delimited, flat_text
 from relata.plans import views
 from relata.plans.registry import query
 from relata.session import settle
@@ -170,9 +170,9 @@ def _(source):
 
 def tagged_text(source):
     """Nations with two fields and customers with three, as lines of one text."""
-    nations = views.table(source, "nation").select(F.concat_ws("|", "n_name", "n_nationkey").alias("value"))
+    nations = views.table(source, "nation").select(flat_text("|", "n_name", "n_nationkey").alias("value"))
     persons = views.table(source, "customer").select(
-        F.concat_ws("|", "c_name", "c_mktsegment", "c_nationkey").alias("value")
+        flat_text("|", "c_name", "c_mktsegment", "c_nationkey").alias("value")
     )
     return nations.unionByName(persons)
 
@@ -180,7 +180,8 @@ def tagged_text(source):
 @query(
     "join_tagged_lines",
     """
-    SELECT CAST(n_nationkey AS VARCHAR) AS code, n_name AS name, c_name AS person, c_mktsegment AS status
+    SELECT CAST(n_nationkey AS VARCHAR) AS code, coalesce(n_name, '') AS name, coalesce(c_name, '') AS person,
+           coalesce(c_mktsegment, '') AS status
     FROM nation JOIN customer ON n_nationkey = c_nationkey
     """,
 )

@@ -11,6 +11,7 @@ from relata.operators.nesting import (
     bag_text,
     bags,
     delimited,
+    flat_text,
     set_change_counts,
     set_changes,
     unnest,
@@ -25,9 +26,28 @@ from relata.sources.text import read_json, write_json
 _STAYS = ("park_team_years",)
 
 
-def _part(by: str, order: str) -> str:
+def _nulls_lowest(order: str) -> str:
+    """An SQL order in which nulls sort lowest."""
+    return ", ".join(
+        f"{item} NULLS LAST" if item.endswith(" DESC") else f"{item} NULLS FIRST"
+        for item in order.split(", ")
+    )
+
+
+def _part(by: str, order: str, size: int = PART_SIZE) -> str:
     """The part a member falls in, by its place in the group."""
-    return f"(row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1) // {PART_SIZE} AS part"
+    return f"(row_number() OVER (PARTITION BY {by} ORDER BY {_nulls_lowest(order)}) - 1) // {size} AS part"
+
+
+def _flat(separator: str, *columns: str) -> str:
+    """Columns as one text, nulls as empty text."""
+    return f" || '{separator}' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+
+
+def _listed(text: str, separator: str, order: str, only: str = "") -> str:
+    """Texts of a group in order."""
+    where = f" FILTER (WHERE {only})" if only else ""
+    return f"coalesce(string_agg({text}, '{separator}' ORDER BY {_nulls_lowest(order)}){where}, '')"
 
 
 def _stays(source):
@@ -35,33 +55,27 @@ def _stays(source):
     return settle(views.park_team_years(source), "stays")
 
 
-_ROW_TEXT = (
-    "park_id || '|' || team_id || '|' || CAST(year_id AS VARCHAR) || '|' || beg_date || '|' || end_date"
-    " || '|' || CAST(n_games AS VARCHAR)"
-)
+_ROW = ("park_id", "team_id", "year_id", "beg_date", "end_date", "n_games")
 
 
 @query(
     "nest_bag_rows",
     f"""
-    SELECT team_id, part, n_members, string_agg({_ROW_TEXT}, '|' ORDER BY park_id, year_id) AS members
+    SELECT team_id, part, n_members, {_listed(_flat('|', *_ROW), '|', 'park_id, year_id')} AS members
     FROM (SELECT *, {_part('team_id', 'park_id, year_id')}, count(*) OVER (PARTITION BY team_id) AS n_members
           FROM park_team_years) GROUP BY team_id, part, n_members
     """,
     _STAYS,
 )
 def _(source):
-    fields = ["park_id", "team_id", "year_id", "beg_date", "end_date", "n_games"]
-    nested = bags(_stays(source), ["team_id"], fields, ["park_id", "year_id"])
-    return nested.select(
-        "team_id", "part", "n_members", delimited("bag", "|", *fields).alias("members")
-    )
+    nested = bags(_stays(source), ["team_id"], _ROW, ["park_id", "year_id"])
+    return nested.select("team_id", "part", "n_members", delimited("bag", "|", *_ROW).alias("members"))
 
 
 @query(
     "nest_bag_pairs",
     f"""
-    SELECT team_id, part, string_agg(park_id || '|' || CAST(year_id AS VARCHAR), '|' ORDER BY park_id, year_id) AS pairs
+    SELECT team_id, part, {_listed(_flat('|', 'park_id', 'year_id'), '|', 'park_id, year_id')} AS pairs
     FROM (SELECT *, {_part('team_id', 'park_id, year_id')} FROM park_team_years) GROUP BY team_id, part
     """,
     _STAYS,
@@ -71,11 +85,27 @@ def _(source):
     return nested.select("team_id", "part", delimited("bag", "|", "park_id", "year_id").alias("pairs"))
 
 
+@query(
+    "nest_bag_parts",
+    f"""
+    SELECT team_id, part, n_members, {_listed(_flat('|', 'park_id', 'year_id'), '|', 'year_id, park_id')} AS pairs
+    FROM (SELECT *, {_part('team_id', 'year_id, park_id', 250)},
+                 count(*) OVER (PARTITION BY team_id) AS n_members FROM park_team_years)
+    GROUP BY team_id, part, n_members
+    """,
+    _STAYS,
+)
+def _(source):
+    # parts small enough for every group to be cut
+    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["year_id", "park_id"], part_size=250)
+    return nested.select("team_id", "part", "n_members", delimited("bag", "|", "park_id", "year_id").alias("pairs"))
+
+
 @query(
     "nest_two_bags",
     f"""
-    SELECT team_id, part, string_agg(park_id, '^' ORDER BY year_id, park_id) AS park_ids,
-           string_agg(CAST(year_id AS VARCHAR), '^' ORDER BY year_id, park_id) AS park_years
+    SELECT team_id, part, {_listed(_flat('', 'park_id'), '^', 'year_id, park_id')} AS park_ids,
+           {_listed(_flat('', 'year_id'), '^', 'year_id, park_id')} AS park_years
     FROM (SELECT *, {_part('team_id', 'year_id, park_id')} FROM park_team_years) GROUP BY team_id, part
     """,
     _STAYS,
@@ -99,13 +129,14 @@ def _(source):
 
 @query(
     "nest_inner_ops",
-    """
+    f"""
     SELECT team_id, year_id, count(*) AS n_distinct,
-           string_agg(CAST(player_id AS VARCHAR), '|' ORDER BY player_id) AS alt_order,
-           coalesce(string_agg(CAST(player_id AS VARCHAR), '|' ORDER BY rn) FILTER (WHERE PA > 20), '') AS still_ordered,
-           string_agg(CAST(PA AS VARCHAR), '|' ORDER BY rn) AS pa_only,
-           string_agg(name_first || ' ' || name_last || ':' || CAST(PA AS VARCHAR), '|' ORDER BY rn) AS pretty
-    FROM (SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC, player_id) AS rn FROM seasons)
+           {_listed(_flat('', 'player_id'), '|', 'player_id')} AS alt_order,
+           {_listed(_flat('', 'player_id'), '|', 'rn', 'PA > 20')} AS still_ordered,
+           {_listed(_flat('', 'PA'), '|', 'rn')} AS pa_only,
+           {_listed("name_first || ' ' || name_last || ':' || CAST(PA AS VARCHAR)", '|', 'rn')} AS pretty
+    FROM (SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC NULLS LAST, player_id NULLS FIRST) AS rn
+          FROM seasons)
     WHERE rn <= 4 GROUP BY team_id, year_id
     """,
     ("seasons",),
@@ -115,7 +146,7 @@ def _(source):
     rows = views.seasons(source).select("team_id", "year_id", *fields)
     order = [F.col("PA").desc(), F.col("player_id")]
     listed = nest_top(rows, ["team_id", "year_id"], 4, order, fields, "players")
-    by_id = F.array_sort("players", lambda a, b: F.when(a.player_id < b.player_id, -1).otherwise(1))
+    by_id = F.sort_array("players")  # structs are ordered by their first field
 
     def pretty(p):
         return F.concat(p.name_first, F.lit(" "), p.name_last, F.lit(":"), p.PA.cast("string"))
@@ -134,7 +165,7 @@ def _(source):
 @query(
     "nest_delimited",
     f"""
-    SELECT team_id, year_id, part, n_parks, string_agg(park_id, '^' ORDER BY park_id) AS park_ids
+    SELECT team_id, year_id, part, n_parks, {_listed(_flat('', 'park_id'), '^', 'park_id')} AS park_ids
     FROM (SELECT *, {_part('team_id, year_id', 'park_id')},
                  count(*) OVER (PARTITION BY team_id, year_id) AS n_parks FROM park_team_years)
     GROUP BY team_id, year_id, part, n_parks
@@ -155,8 +186,7 @@ def _(source):
 @query(
     "nest_kv_string",
     f"""
-    SELECT team_id, year_id, part, string_agg(park_id || ':' || CAST(n_games AS VARCHAR), '|'
-           ORDER BY n_games DESC, park_id) AS pk_ngs
+    SELECT team_id, year_id, part, {_listed("coalesce(park_id || ':' || CAST(n_games AS VARCHAR), '')", '|', 'n_games DESC, park_id')} AS pk_ngs
     FROM (SELECT *, {_part('team_id, year_id', 'n_games DESC, park_id')} FROM park_team_years)
     GROUP BY team_id, year_id, part
     """,
@@ -172,7 +202,7 @@ def _(source):
 @query(
     "nest_distinct_string",
     f"""
-    SELECT team_id, part, string_agg(park_id, '|' ORDER BY park_id) AS parks
+    SELECT team_id, part, {_listed(_flat('', 'park_id'), '|', 'park_id')} AS parks
     FROM (SELECT *, {_part('team_id', 'park_id')} FROM (SELECT DISTINCT team_id, park_id FROM park_team_years))
     GROUP BY team_id, part
     """,
@@ -186,7 +216,7 @@ def _(source):
 @query(
     "nest_sequence",
     f"""
-    SELECT player_id, part, string_agg(team_id || '|' || CAST(year_id AS VARCHAR), '|' ORDER BY year_id) AS teams
+    SELECT player_id, part, {_listed(_flat('|', 'team_id', 'year_id'), '|', 'year_id')} AS teams
     FROM (SELECT *, {_part('player_id', 'year_id')} FROM
             (SELECT player_id, year_id, min(team_id) AS team_id FROM seasons GROUP BY player_id, year_id))
     GROUP BY player_id, part
@@ -197,7 +227,7 @@ def _(source):
     # of several teams in a year, the first by name
     firsts = views.seasons(source).groupBy("player_id", "year_id").agg(F.min("team_id").alias("team_id"))
     yearly = settle(firsts, "yearly")
-    step = F.concat_ws("|", "team_id", "year_id")
+    step = flat_text("|", "team_id", "year_id")
     return bag_text(yearly, ["player_id"], step, [F.col("year_id")], "|", "teams").drop("n_members")
 
 
@@ -259,26 +289,31 @@ def _(source):
     )
 
 
+_PARK = "coalesce(park_id, '')"
+
+
 @query(
     "nest_set_ops",
     f"""
     WITH stays AS (SELECT DISTINCT team_id, year_id, park_id FROM park_team_years),
     members AS (
-      SELECT coalesce(a.team_id, b.team_id) AS team_id, coalesce(a.year_id, b.year_id - 1) AS year_id,
-             coalesce(a.park_id, b.park_id) AS park_id, a.park_id IS NOT NULL AS f, b.park_id IS NOT NULL AS s
-      FROM stays a FULL OUTER JOIN stays b
-        ON a.team_id = b.team_id AND a.year_id = b.year_id - 1 AND a.park_id = b.park_id),
+      SELECT team_id, year_id, park_id, bool_or(f) AS f, bool_or(NOT f) AS s FROM (
+        SELECT team_id, year_id, park_id, TRUE AS f FROM stays
+        UNION ALL SELECT team_id, year_id - 1, park_id, FALSE FROM stays)
+      GROUP BY team_id, year_id, park_id),
     sizes AS (
       SELECT team_id, year_id, count(*) FILTER (WHERE f) AS n_first, count(*) FILTER (WHERE s) AS n_second,
              count(*) FILTER (WHERE f AND s) AS n_stayed,
              CASE WHEN count(*) FILTER (WHERE f <> s) = 0 THEN 1 ELSE 0 END AS is_equal
       FROM members GROUP BY team_id, year_id)
-    SELECT team_id, year_id, part, n_first, n_second, n_stayed, is_equal, string_agg(park_id, '|' ORDER BY park_id) AS either,
-           coalesce(string_agg(park_id, '|' ORDER BY park_id) FILTER (WHERE f AND s), '') AS stayed,
-           coalesce(string_agg(park_id, '|' ORDER BY park_id) FILTER (WHERE f AND NOT s), '') AS departed,
-           coalesce(string_agg(park_id, '|' ORDER BY park_id) FILTER (WHERE NOT f AND s), '') AS arrived,
-           coalesce(string_agg(park_id, '|' ORDER BY park_id) FILTER (WHERE f <> s), '') AS changed
-    FROM (SELECT *, {_part('team_id, year_id', 'park_id')} FROM members) JOIN sizes USING (team_id, year_id)
+    SELECT team_id, year_id, part, n_first, n_second, n_stayed, is_equal, {_listed(_PARK, '|', 'park_id')} AS either,
+           {_listed(_PARK, '|', 'park_id', 'f AND s')} AS stayed,
+           {_listed(_PARK, '|', 'park_id', 'f AND NOT s')} AS departed,
+           {_listed(_PARK, '|', 'park_id', 'NOT f AND s')} AS arrived,
+           {_listed(_PARK, '|', 'park_id', 'f <> s')} AS changed
+    FROM (SELECT m.*, n_first, n_second, n_stayed, is_equal, {_part('m.team_id, m.year_id', 'm.park_id')}
+          FROM members m JOIN sizes z
+            ON m.team_id IS NOT DISTINCT FROM z.team_id AND m.year_id IS NOT DISTINCT FROM z.year_id)
     WHERE n_first > 0 AND n_second > 0 GROUP BY ALL
     """,
     _STAYS,
@@ -313,10 +348,12 @@ _CITY_SQL = f"""
       FROM park_cities GROUP BY team_id, year_id, city),
     lists AS (
       SELECT team_id, year_id, city, part,
-             string_agg(park_id || ':' || CAST(n_games AS VARCHAR), '|' ORDER BY n_games DESC, park_id) AS parks
+             {_listed("coalesce(park_id || ':' || CAST(n_games AS VARCHAR), '')", '|', 'n_games DESC, park_id')} AS parks
       FROM (SELECT *, {_part('team_id, year_id, city', 'n_games DESC, park_id')} FROM park_cities)
       GROUP BY team_id, year_id, city, part)
-    SELECT * FROM stats JOIN lists USING (team_id, year_id, city)
+    SELECT s.*, part, parks FROM stats s JOIN lists l
+      ON s.team_id IS NOT DISTINCT FROM l.team_id AND s.year_id IS NOT DISTINCT FROM l.year_id
+     AND s.city IS NOT DISTINCT FROM l.city
 """
 
 
@@ -350,12 +387,13 @@ def _(source):
              max(max_in_city) AS main_park, count(*) AS n_cities
       FROM stats GROUP BY team_id, year_id),
     lists AS (
-      SELECT team_id, year_id, part, string_agg(city || ':' || CAST(n_city_games AS VARCHAR), '|'
-             ORDER BY n_city_games DESC, city) AS cities
+      SELECT team_id, year_id, part,
+             {_listed("coalesce(city || ':' || CAST(n_city_games AS VARCHAR), '')", '|', 'n_city_games DESC, city')} AS cities
       FROM (SELECT *, {_part('team_id, year_id', 'n_city_games DESC, city')} FROM stats) GROUP BY team_id, year_id, part)
-    SELECT team_id, year_id, part, CASE WHEN year_id >= 1998 THEN 'mod' END AS is_modern, n_home AS n_home_gms,
+    SELECT t.team_id, t.year_id, part, CASE WHEN t.year_id >= 1998 THEN 'mod' END AS is_modern, n_home AS n_home_gms,
            n_home - main_city AS n_farhome_gms, n_home - main_park AS n_althome_games, n_cities, cities
-    FROM totals JOIN lists USING (team_id, year_id)
+    FROM totals t JOIN lists l
+      ON t.team_id IS NOT DISTINCT FROM l.team_id AND t.year_id IS NOT DISTINCT FROM l.year_id
     """,
     ("park_cities",),
 )

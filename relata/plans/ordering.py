@@ -24,12 +24,12 @@ def _sorted(source, *order):
     return number_rows(rows, order)
 
 
-@query("sort_multi", _sorted_sql("n_older DESC, n_prime DESC, player_id"), ("modern",))
+@query("sort_multi", _sorted_sql("n_older DESC, n_prime DESC, player_id NULLS FIRST"), ("modern",))
 def _(source):
     return _sorted(source, F.col("n_older").desc(), F.col("n_prime").desc(), F.col("player_id"))
 
 
-@query("sort_expr", _sorted_sql("OPS_older - OPS_prime DESC NULLS LAST, player_id"), ("modern",))
+@query("sort_expr", _sorted_sql("OPS_older - OPS_prime DESC NULLS LAST, player_id NULLS FIRST"), ("modern",))
 def _(source):
     gain = F.col("OPS_older") - F.col("OPS_prime")
     return _sorted(source, gain.desc_nulls_last(), F.col("player_id"))
@@ -38,8 +38,8 @@ def _(source):
 @query(
     "sort_nulls",
     f"""
-    SELECT *, row_number() OVER (ORDER BY OPS_older IS NOT NULL, OPS_all DESC NULLS LAST, player_id) AS nulls_first_no,
-           row_number() OVER (ORDER BY OPS_older IS NULL, OPS_all DESC NULLS LAST, player_id) AS nulls_last_no
+    SELECT *, row_number() OVER (ORDER BY OPS_older IS NOT NULL, OPS_all DESC NULLS LAST, player_id NULLS FIRST) AS nulls_first_no,
+           row_number() OVER (ORDER BY OPS_older IS NULL, OPS_all DESC NULLS LAST, player_id NULLS FIRST) AS nulls_last_no
     FROM (SELECT {_FIELDS} FROM ({EPOCHS_SQL}))
     """,
     ("modern",),
@@ -51,7 +51,7 @@ def _(source):
     return number_rows(first, [F.col("OPS_older").isNull(), *then], "nulls_last_no")
 
 
-@query("sort_float_top", _sorted_sql("beg_year >= 1998 DESC, n_older DESC, player_id"), ("modern",))
+@query("sort_float_top", _sorted_sql("beg_year >= 1998 DESC NULLS LAST, n_older DESC, player_id NULLS FIRST"), ("modern",))
 def _(source):
     recent = F.col("beg_year") >= 1998
     return _sorted(source, recent.desc(), F.col("n_older").desc(), F.col("player_id"))
@@ -59,7 +59,7 @@ def _(source):
 
 @query(
     "sort_lines",
-    "SELECT row_number() OVER (ORDER BY p_name) AS row_no, p_name AS value FROM part",
+    "SELECT row_number() OVER (ORDER BY p_name NULLS FIRST) AS row_no, p_name AS value FROM part",
 )
 def _(source):
     lines = views.table(source, "part").select(F.col("p_name").alias("value"))
@@ -68,7 +68,7 @@ def _(source):
 
 @query(
     "topk_global",
-    "SELECT player_id, year_id, team_id, H FROM seasons ORDER BY H DESC, player_id, year_id, team_id LIMIT 20",
+    "SELECT player_id, year_id, team_id, H FROM seasons ORDER BY H DESC NULLS LAST, player_id NULLS FIRST, year_id NULLS FIRST, team_id NULLS FIRST LIMIT 20",
     ("seasons",),
 )
 def _(source):
@@ -79,9 +79,10 @@ def _(source):
 @query(
     "topk_per_group",
     """
-    SELECT year_id, count(*) AS n, string_agg(CAST(player_id AS VARCHAR) || '|' || team_id || '|' || CAST(RBI AS VARCHAR), '|'
-           ORDER BY rn DESC) AS top_5
-    FROM (SELECT *, row_number() OVER (PARTITION BY year_id ORDER BY RBI DESC, player_id, team_id) AS rn FROM seasons)
+    SELECT year_id, count(*) AS n, string_agg(coalesce(CAST(player_id AS VARCHAR), '') || '|' || coalesce(team_id, '') || '|'
+             || coalesce(CAST(RBI AS VARCHAR), ''), '|' ORDER BY rn DESC) AS top_5
+    FROM (SELECT *, row_number() OVER (PARTITION BY year_id
+            ORDER BY RBI DESC NULLS LAST, player_id NULLS FIRST, team_id NULLS FIRST) AS rn FROM seasons)
     WHERE rn <= 5 GROUP BY year_id
     """,
     ("seasons",),
@@ -103,7 +104,7 @@ def _(source):
     "topk_team_list",
     """
     SELECT team_id, year_id, rn AS place, player_id, PA FROM (
-      SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC, player_id) AS rn FROM seasons)
+      SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC NULLS LAST, player_id NULLS FIRST) AS rn FROM seasons)
     WHERE rn <= 4
     """,
     ("seasons",),
@@ -119,7 +120,7 @@ def _(source):
     """
     SELECT player_id, year_id, stints, team_id, RBI FROM (
       SELECT player_id, year_id, team_id, RBI, count(*) OVER (PARTITION BY player_id, year_id) AS stints,
-             row_number() OVER (PARTITION BY player_id, year_id ORDER BY RBI DESC, team_id) AS rn FROM seasons)
+             row_number() OVER (PARTITION BY player_id, year_id ORDER BY RBI DESC NULLS LAST, team_id NULLS FIRST) AS rn FROM seasons)
     WHERE rn = 1 AND stints > 1
     """,
     ("seasons",),
@@ -132,7 +133,7 @@ def _(source):
 @query(
     "rank_running",
     """
-    SELECT row_number() OVER (ORDER BY player_id, year_id, team_id) AS row_no, player_id, year_id, team_id, H
+    SELECT row_number() OVER (ORDER BY player_id NULLS FIRST, year_id NULLS FIRST, team_id NULLS FIRST) AS row_no, player_id, year_id, team_id, H
     FROM seasons
     """,
     ("seasons",),
@@ -145,7 +146,7 @@ def _(source):
 @query(
     "rank_sparse",
     """
-    SELECT rank() OVER (ORDER BY RBI DESC, H DESC, player_id) AS rank, player_id, year_id, team_id, RBI, H
+    SELECT rank() OVER (ORDER BY RBI DESC NULLS LAST, H DESC NULLS LAST, player_id NULLS FIRST) AS rank, player_id, year_id, team_id, RBI, H
     FROM seasons
     """,
     ("seasons",),
@@ -157,7 +158,7 @@ def _(source):
 
 @query(
     "rank_dense",
-    "SELECT dense_rank() OVER (ORDER BY H DESC) AS rank, player_id, year_id, team_id, H FROM seasons",
+    "SELECT dense_rank() OVER (ORDER BY H DESC NULLS LAST) AS rank, player_id, year_id, team_id, H FROM seasons",
     ("seasons",),
 )
 def _(source):

@@ -14,6 +14,7 @@ from relata.operators.aggregate import (
     sums_by_subset,
     with_share,
 )
+from relata.operators.nesting import flat_text
 from relata.operators.numbering import number_rows
 from relata.operators.summaries import (
     describe_numeric,
@@ -232,7 +233,7 @@ def _numeric_sql(relation: str, column: str, by: str = "") -> str:
     over = f"PARTITION BY {by}" if by else ""
     edges = _quantile_sql(column, {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
     return f"""
-    SELECT s.*, (SELECT string_agg(CAST(v AS VARCHAR), '^' ORDER BY v) FROM
+    SELECT s.*, (SELECT coalesce(string_agg(CAST(v AS VARCHAR), '^' ORDER BY v), '') FROM
                    (SELECT *, row_number() OVER ({over} ORDER BY v) AS rn FROM
                       (SELECT DISTINCT {key}{column} AS v FROM {relation} WHERE {column} IS NOT NULL)) e
                  {match + ' AND' if match else 'WHERE'} e.rn <= 5) AS some_vals
@@ -275,7 +276,7 @@ def _(source):
            count(*) AS n_recs, count(*) - count(birth_city) AS n_nulls,
            count(DISTINCT birth_city) + CASE WHEN count(*) > count(birth_city) THEN 1 ELSE 0 END AS cardinality,
            min(birth_city) AS minval, max(birth_city) AS maxval,
-           (SELECT string_agg(CASE WHEN length(v) > 15 THEN substr(v, 1, 15) || '…' ELSE v END, '^' ORDER BY v) FROM
+           (SELECT coalesce(string_agg(CASE WHEN length(v) > 15 THEN substr(v, 1, 15) || '…' ELSE v END, '^' ORDER BY v), '') FROM
               (SELECT DISTINCT birth_city AS v FROM people WHERE birth_city IS NOT NULL ORDER BY v LIMIT 5)) AS examples
     FROM people
     """,
@@ -386,14 +387,15 @@ def _(source):
     WITH vals AS (SELECT player_id, name_first, name_last, count(*) AS bin FROM seasons
                   GROUP BY player_id, name_first, name_last)
     SELECT bin, count(*) AS ct,
-           string_agg(name_first || '|' || name_last, '|' ORDER BY player_id) FILTER (WHERE rn <= 3) AS examples
-    FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY player_id) AS rn FROM vals) GROUP BY bin
+           string_agg(coalesce(name_first, '') || '|' || coalesce(name_last, ''), '|' ORDER BY rn)
+             FILTER (WHERE rn <= 3) AS examples
+    FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY player_id NULLS FIRST) AS rn FROM vals) GROUP BY bin
     """,
     ("seasons",),
 )
 def _(source):
     vals = count_by(views.seasons(source), "player_id", "name_first", "name_last", name="bin")
-    example = F.concat_ws("|", "name_first", "name_last")
+    example = flat_text("|", "name_first", "name_last")
     return hist.with_examples(vals, "bin", example, [F.col("player_id")])
 
 
@@ -441,7 +443,8 @@ def _(source):
     "mr_delay_hist",
     """
     SELECT CAST(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 86400.0) AS BIGINT) AS days, count(*) AS ct
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE o_orderdate IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1
     """,
 )
 def _(source):
@@ -449,7 +452,7 @@ def _(source):
     lines = spread(views.table(source, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag"))
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     reports = orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
-        F.concat_ws(
+        flat_text(
             "\t", F.date_format("o_orderdate", iso), F.date_format("l_shipdate", iso), "l_returnflag"
         ).alias("value")
     )

@@ -40,7 +40,7 @@ def _(source):
 
 @query("src_bz2", "SELECT * FROM games", ("games",))
 def _(source):
-    rows = text.spread(views.games(source))
+    rows = views.games(source, costly=True)
     path = fresh_path(source[0], "games")
     text.write_separated(rows, path, compression="bzip2")
     return text.read_separated(source[0], path, rows.schema)
@@ -57,8 +57,10 @@ def _(source):
 @query(
     "src_tagged_lines",
     """
-    SELECT 'dimension' AS shape, n_name AS name, NULL AS status, CAST(n_nationkey AS VARCHAR) AS code FROM nation
-    UNION ALL SELECT 'fact', c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) FROM customer
+    SELECT 'dimension' AS shape, coalesce(n_name, '') AS name, NULL AS status,
+           coalesce(CAST(n_nationkey AS VARCHAR), '') AS code FROM nation
+    UNION ALL SELECT 'fact', coalesce(c_name, ''), coalesce(c_mktsegment, ''), coalesce(CAST(c_nationkey AS VARCHAR), '')
+    FROM customer
     """,
 )
 def _(source):
@@ -108,4 +110,4 @@ def _(source):
     )
     path = fresh_path(source[0], "seasons-by-age")
     text.write_table(tagged, path, by=["bucket"])
-    return text.read_table(source[0], path)
+    return text.read_table(source[0], path, stored=tagged.schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio, substring_range
+from relata.sources.text import spread
 
 Source = tuple[SparkSession, str]
 
@@ -206,9 +207,16 @@ def park_cities(source: Source) -> DataFrame:
     return park_team_years(source).withColumn("city", substring_range(F.col("park_id"), 0, 10))
 
 
-def games(source: Source) -> DataFrame:
-    """A line of an order as a game: the supplier's nation is at home to the customer's."""
-    line = table(source, "lineitem").alias("l")
+def games(source: Source, costly: bool = False) -> DataFrame:
+    """A line of an order as a game: the supplier's nation is at home to the customer's.
+
+    With ``costly`` work to follow on each row, lines of few files are dealt out to all cores.
+    """
+    line = table(source, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate"
+    )
+    if costly:
+        line = spread(line)
     order = table(source, "orders").select("o_orderkey", "o_custkey")
     customer = table(source, "customer").select("c_custkey", "c_nationkey")
     supplier = table(source, "supplier").select("s_suppkey", "s_nationkey")
@@ -217,7 +225,9 @@ def games(source: Source) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("game_id"),
+            F.concat(
+                F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")
+            ).alias("game_id"),
             F.year("l_shipdate").alias("year_id"),
             F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("away_team_id"),
             F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("home_team_id"),
@@ -293,7 +303,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
           SELECT *, CAST(H + BB + HBP AS DOUBLE) / nullif(PA, 0) AS OBP,
                  CAST(h1B + 2 * h2B + 3 * h3B + 4 * HR AS DOUBLE) / nullif(AB, 0) AS SLG
           FROM (
-            SELECT player_id, count(*) AS n_seasons, count(DISTINCT team_id) AS card_teams,
+            SELECT player_id, count(*) AS n_seasons,
+                   count(DISTINCT team_id) + CASE WHEN count(*) > count(team_id) THEN 1 ELSE 0 END AS card_teams,
                    min(year_id) AS beg_year, max(year_id) AS end_year,
         """
         + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTED)

@@ -90,20 +90,27 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Stored columns; a schema renarrows them, as when a nested whole number comes back smaller."""
-    stored = spark.read.parquet(path)
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    stored: StructType | None = None,
+) -> DataFrame:
+    """A stored table. ``stored`` is the schema it was written in, which an empty one may lack in
+    its files; ``schema`` casts it, as when a nested whole number comes back smaller."""
+    reader = spark.read.schema(stored) if stored is not None else spark.read
+    table = reader.parquet(path)
     if schema is None:
-        return stored
+        return table
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return stored.select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+    return table.select(*[F.col(f.name).cast(f.dataType) for f in wanted])
 
 
 def through_store(df: DataFrame, label: str) -> DataFrame:
     """Write to a fresh folder of the shared storage and read back."""
     path = fresh_path(df.sparkSession, label)
     write_table(df, path)
-    return read_table(df.sparkSession, path)
+    return read_table(df.sparkSession, path, stored=df.schema)
 
 
 
