@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relata.operators.numbering import renamed_keys, running_totals
+from relata.operators.numbering import attach, renamed_keys, running_totals
 from relata.session import settle
 
 PART_SIZE = 100_000
@@ -20,27 +20,31 @@ def bags(
     order: Sequence[str],
     bag: str = "bag",
     part_size: int = PART_SIZE,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with the array of its members: ``by..., part, n_members, bag``.
+    """One row per group with the array of its members: ``by..., part, n_members, bag, totals...``.
 
     Members are structs of the ``members`` columns, sorted by ``order`` and then by themselves. A
     group larger than ``part_size`` continues in further rows, numbered by ``part``, which put
     together in that order give the whole group: no row and no task has to hold a group of any
-    size. ``n_members`` is the size of the whole group.
+    size. ``n_members`` is the size of the whole group, ``totals`` are aggregates over it.
 
     Group sizes are counted first. Groups within the limit take one hash aggregation. Only the
     rows of larger groups are sorted into places, over all tasks, with equal rows merged.
     """
+    totals = dict(totals or {})
     places = [*order, *[m for m in members if m not in order]]
-    rows = df.select(*dict.fromkeys([*by, *places]))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
     large = settle(sizes.filter(F.col("__n") > part_size), "large-groups")
     if large.isEmpty():
-        return _small_bags(rows, by, members, places, bag)
-    small = _matching(rows, large, by, "left_anti")
-    return _small_bags(small, by, members, places, bag).unionByName(
-        _large_bags(_matching(rows, large, by, "left_semi"), by, members, places, bag, part_size)
-    )
+        return _small_bags(df, by, members, places, bag, totals)
+    small = _matching(df, large.drop("__n"), by, "left_anti")
+    rest = _matching(df, large.drop("__n"), by, "left_semi")
+    parts = _large_bags(rest.select(*by, *places), by, members, places, bag, part_size)
+    if totals:
+        figures = rest.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+        parts = attach(parts, figures, by)
+    return _small_bags(small, by, members, places, bag, totals).unionByName(parts)
 
 
 def _member(record: Column, members: Sequence[str]) -> Column:
@@ -48,14 +52,23 @@ def _member(record: Column, members: Sequence[str]) -> Column:
 
 
 def _small_bags(
-    rows: DataFrame, by: Sequence[str], members: Sequence[str], places: Sequence[str], bag: str
+    df: DataFrame,
+    by: Sequence[str],
+    members: Sequence[str],
+    places: Sequence[str],
+    bag: str,
+    totals: Mapping[str, Column],
 ) -> DataFrame:
-    listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*places))).alias("__list"))
+    listed = df.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(*places))).alias("__list"),
+        *[c.alias(n) for n, c in totals.items()],
+    )
     return listed.select(
         *by,
         F.lit(0).cast("bigint").alias("part"),
         F.size("__list").cast("bigint").alias("n_members"),
         F.transform("__list", lambda r: _member(r, members)).alias(bag),
+        *totals,
     )
 
 
@@ -79,6 +92,7 @@ def _large_bags(
     copies = F.least(stop, F.col("__n_before") + F.col("__ct")) - F.greatest(
         start, F.col("__n_before")
     )
+    # the parts of one group are dealt out again: their rows may still share a partition
     listed = (
         pieces.withColumn("__copies", copies.cast("int"))
         .repartition(*by, "part")
@@ -121,20 +135,18 @@ def bag_text(
     separator: str,
     name: str = "members",
     part_size: int = PART_SIZE,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Each group's texts joined in order, null as empty text, in parts as in :func:`bags`:
-    ``by..., part, n_members, name``.
+    ``by..., part, n_members, name, totals...``.
 
-    ``order`` may be descending by giving negated numbers; it must not tie between texts that
-    differ.
+    ``order`` may be descending by giving negated numbers.
     """
-    keyed = df.select(
-        *by, *[o.alias(f"__o{i}") for i, o in enumerate(order)], text.alias("__text")
-    )
     places = [f"__o{i}" for i in range(len(order))]
-    nested = bags(keyed, by, ["__text"], places, "__bag", part_size)
+    keyed = df.select("*", *[o.alias(p) for o, p in zip(order, places)], text.alias("__text"))
+    nested = bags(keyed, by, ["__text"], places, "__bag", part_size, totals)
     return nested.select(
-        *by, "part", "n_members", delimited("__bag", separator, "__text").alias(name)
+        *by, "part", "n_members", delimited("__bag", separator, "__text").alias(name), *(totals or {})
     )
 
 
@@ -168,16 +180,21 @@ def set_changes(
     )
 
 
-def set_change_counts(members: DataFrame, by: Sequence[str]) -> DataFrame:
+def set_change_totals() -> dict[str, Column]:
     """Sizes of both sets and of their union, intersection and differences; 1 if equal."""
     first, second = F.col("in_first"), F.col("in_second")
-    return members.groupBy(*by).agg(
-        F.count_if(first).alias("n_first"),
-        F.count_if(second).alias("n_second"),
-        F.count("*").alias("n_either"),
-        F.count_if(first & second).alias("n_stayed"),
-        F.count_if(first & ~second).alias("n_departed"),
-        F.count_if(~first & second).alias("n_arrived"),
-        F.count_if(first != second).alias("n_changed"),
-        (F.count_if(first != second) == 0).cast("int").alias("is_equal"),
-    )
+    return {
+        "n_first": F.count_if(first),
+        "n_second": F.count_if(second),
+        "n_either": F.count("*"),
+        "n_stayed": F.count_if(first & second),
+        "n_departed": F.count_if(first & ~second),
+        "n_arrived": F.count_if(~first & second),
+        "n_changed": F.count_if(first != second),
+        "is_equal": (F.count_if(first != second) == 0).cast("int"),
+    }
+
+
+def set_change_counts(members: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The figures of :func:`set_change_totals` for the members of :func:`set_changes`."""
+    return members.groupBy(*by).agg(*[c.alias(n) for n, c in set_change_totals().items()])

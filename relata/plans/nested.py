@@ -12,11 +12,10 @@ from relata.operators.nesting import (
     bags,
     delimited,
     flat_text,
-    set_change_counts,
+    set_change_totals,
     set_changes,
     unnest,
 )
-from relata.operators.numbering import attach
 from relata.operators.ranking import nest_top
 from relata.plans import views
 from relata.plans.registry import query
@@ -234,19 +233,19 @@ def _(source):
 @query(
     "nest_record",
     """
-    SELECT player_id, to_json(struct_pack(name := 'birth', year := birth_year, month := coalesce(birth_month, 1),
-                                          day := coalesce(birth_day, 1))) AS birth,
-           to_json(struct_pack(name := 'death', year := death_year, month := coalesce(death_month, 1),
-                               day := coalesce(death_day, 1))) AS death,
-           to_json(struct_pack(name := 'debut', year := CAST(substr(beg_date, 1, 4) AS INTEGER),
+    SELECT player_id, CAST(to_json(struct_pack(name := 'birth', year := birth_year, month := coalesce(birth_month, 1),
+                                          day := coalesce(birth_day, 1))) AS VARCHAR) AS birth,
+           CAST(to_json(struct_pack(name := 'death', year := death_year, month := coalesce(death_month, 1),
+                               day := coalesce(death_day, 1))) AS VARCHAR) AS death,
+           CAST(to_json(struct_pack(name := 'debut', year := CAST(substr(beg_date, 1, 4) AS INTEGER),
                                month := CAST(substr(beg_date, 6, 2) AS INTEGER),
-                               day := CAST(substr(beg_date, 9, 2) AS INTEGER))) AS debut,
-           to_json(struct_pack(birth := struct_pack("date" := strftime(try_strptime(CAST(birth_year AS VARCHAR) || '-'
+                               day := CAST(substr(beg_date, 9, 2) AS INTEGER))) AS VARCHAR) AS debut,
+           CAST(to_json(struct_pack(birth := struct_pack("date" := strftime(try_strptime(CAST(birth_year AS VARCHAR) || '-'
                || CAST(coalesce(birth_month, 1) AS VARCHAR) || '-' || CAST(birth_day AS VARCHAR), '%Y-%m-%d'), '%Y-%m-%d'),
                city := birth_city, country := birth_country),
              death := struct_pack("date" := strftime(try_strptime(CAST(death_year AS VARCHAR) || '-'
                || CAST(coalesce(death_month, 1) AS VARCHAR) || '-' || CAST(coalesce(death_day, 1) AS VARCHAR), '%Y-%m-%d'),
-               '%Y-%m-%d'), city := death_city, country := birth_country))) AS places,
+               '%Y-%m-%d'), city := death_city, country := birth_country))) AS VARCHAR) AS places,
            CAST(3 AS BIGINT) AS n_occasions
     FROM people WHERE beg_date IS NOT NULL AND death_year IS NOT NULL
     """,
@@ -321,17 +320,14 @@ _PARK = "coalesce(park_id, '')"
 def _(source):
     by = ["team_id", "year_id"]
     members = settle(set_changes(views.park_team_years(source), ["team_id"], "park_id", "year_id"), "members")
-    sizes = (
-        set_change_counts(members, by)
-        .filter("n_first > 0 AND n_second > 0")
-        .select(*by, "n_first", "n_second", "n_stayed", "is_equal")
+    listed = bags(
+        members, by, ["park_id", "in_first", "in_second"], ["park_id"], totals=set_change_totals()
     )
-    listed = bags(members, by, ["park_id", "in_first", "in_second"], ["park_id"])
 
     def those(keep):
         return delimited(F.filter("bag", keep), "|", "park_id")
 
-    return attach(listed, sizes, by).select(
+    return listed.filter("n_first > 0 AND n_second > 0").select(
         *by, "part", "n_first", "n_second", "n_stayed", "is_equal",
         delimited("bag", "|", "park_id").alias("either"),
         those(lambda m: m.in_first & m.in_second).alias("stayed"),
@@ -361,14 +357,14 @@ def _city_stats(source):
     """Figures of each team, year and city, with its parks by games."""
     by = ["team_id", "year_id", "city"]
     stays = settle(views.park_cities(source).select(*by, "park_id", "n_games"), "stays")
-    figures = stays.groupBy(*by).agg(
-        F.count("*").alias("n_parks"),
-        F.sum("n_games").alias("n_city_games"),
-        F.max("n_games").alias("max_in_city"),
-    )
+    figures = {
+        "n_parks": F.count("*"),
+        "n_city_games": F.sum("n_games"),
+        "max_in_city": F.max("n_games"),
+    }
     pair = F.concat("park_id", F.lit(":"), F.col("n_games").cast("string"))
-    parks = bag_text(stays, by, pair, [-F.col("n_games"), F.col("park_id")], "|", "parks")
-    return attach(parks.drop("n_members"), figures, by)
+    order = [-F.col("n_games"), F.col("park_id")]
+    return bag_text(stays, by, pair, order, "|", "parks", totals=figures).drop("n_members")
 
 
 @query("park_city_stats", _CITY_SQL, ("park_cities",))
@@ -403,15 +399,15 @@ def _(source):
         F.sum("n_games").alias("n_city_games"), F.max("n_games").alias("max_in_city")
     )
     stats = settle(cities, "cities")
-    totals = stats.groupBy(*by).agg(
-        F.sum("n_city_games").alias("n_home_gms"),
-        F.max("n_city_games").alias("main_city"),
-        F.max("max_in_city").alias("main_park"),
-        F.count("*").alias("n_cities"),
-    )
+    totals = {
+        "n_home_gms": F.sum("n_city_games"),
+        "main_city": F.max("n_city_games"),
+        "main_park": F.max("max_in_city"),
+        "n_cities": F.count("*"),
+    }
     pair = F.concat("city", F.lit(":"), F.col("n_city_games").cast("string"))
-    lists = bag_text(stats, by, pair, [-F.col("n_city_games"), F.col("city")], "|", "cities").drop("n_members")
-    report = attach(lists, totals, by).select(
+    order = [-F.col("n_city_games"), F.col("city")]
+    report = bag_text(stats, by, pair, order, "|", "cities", totals=totals).select(
         *by,
         "part",
         F.when(F.col("year_id") >= 1998, "mod").alias("is_modern"),

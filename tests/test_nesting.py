@@ -53,6 +53,17 @@ def test_no_part_exceeds_the_limit_and_unnesting_restores_the_rows(spark):
     assert rows(unnest(nested, "bag").select("g", "o", "m")) == rows(df)
 
 
+@pytest.mark.parametrize("size", [9, 100_000])
+def test_totals_cover_the_whole_group(spark, size):
+    data = member_rows()
+    df = spark.createDataFrame(data, "g string, o int, m string")
+    got = bags(df, ["g"], ["m"], ["m"], part_size=size, totals={"top": F.max("o"), "n": F.count("*")})
+    for row in got.collect():
+        group = [r for r in data if r[0] == row.g]
+        assert (row.n, row.n_members) == (len(group), len(group))
+        assert row.top == max(o for _, o, _ in group if o is not None)
+
+
 def test_schema_of_a_bag(spark):
     df = spark.createDataFrame([("t", "p", 1)], "team_id string, park_id string, year_id bigint")
     nested = bags(df, ["team_id"], ["park_id", "year_id"], ["year_id"])
