@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relata.session import settle
+
 
 def key_condition(left: str, right: str, keys: Mapping[str, str]) -> Column:
     """Equality of differently named keys of two aliased tables."""
@@ -34,14 +36,21 @@ def exact(count: str) -> Column:
     return F.col(count).cast("decimal(18,0)")
 
 
+def _distinct_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Distinct keys, stored. Their size is then known, and if they are few they are broadcast
+    and the other side stays where it is. If not, both sides of the join are plain shuffles, which
+    adaptive execution can split where one key is hot; above an aggregation it would not."""
+    return settle(df.select(*on).distinct(), "keys")
+
+
 def semi(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left rows with a partner, each once. Only distinct right keys travel."""
-    return left.join(right.select(*on).distinct(), list(on), "left_semi")
+    """Left rows with a partner, each once."""
+    return left.join(_distinct_keys(right, on), list(on), "left_semi")
 
 
 def anti(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left rows without a partner; a null key has none."""
-    return left.join(right.select(*on).distinct(), list(on), "left_anti")
+    return left.join(_distinct_keys(right, on), list(on), "left_anti")
 
 
 def fanout(

@@ -20,6 +20,7 @@ from relata.operators.summaries import (
     EDGES,
     FULL_EDGES,
     describe_numeric,
+    describe_numeric_sketched,
     describe_text,
     quantiles,
     quantiles_approx,
@@ -71,6 +72,18 @@ def test_numeric_summary_against_the_values(spark):
         assert row.some_vals == "^".join(map(str, sorted(set(known))[:5]))
 
 
+def test_sketched_summary_is_close_to_the_exact_one(spark):
+    df = spark.createDataFrame(values(), "g string, v int")
+    exact = {r.g: r for r in describe_numeric(df, F.col("v"), ["g"]).collect()}
+    for row in describe_numeric_sketched(df, F.col("v"), ["g"]).collect():
+        want = exact[row.g]
+        for name in ("min_val", "max_val", "n_recs", "n_nulls", "sum_val", *EDGES):
+            assert row[name] == want[name], name
+        assert row.avg_val == pytest.approx(want.avg_val)
+        assert row.stddev_val == pytest.approx(want.stddev_val)
+        assert abs(row.cardinality - want.cardinality) <= 0.15 * want.cardinality
+
+
 def test_sample_deviation_and_fields_without_values(spark):
     df = spark.createDataFrame([(1,), (3,), (None,)], "v int")
     row = describe_numeric(df, F.col("v"), population=False).first()
