@@ -11,12 +11,8 @@ from relata.functions.dates import instant, whole_days
 def _parsed(lines: DataFrame, line: str) -> DataFrame:
     """Days per line; null where a line has fewer than three fields or an unreadable instant."""
     fields = F.split(F.col(line), "\t", 3)
-    return lines.select(
-        line,
-        F.when(
-            F.size(fields) == 3, whole_days(instant(F.get(fields, F.lit(0))), instant(F.get(fields, F.lit(1))))
-        ).alias("days"),
-    )
+    first, second = (instant(F.get(fields, F.lit(i))) for i in (0, 1))
+    return lines.select(line, F.when(F.size(fields) == 3, whole_days(first, second)).alias("days"))
 
 
 def delay_histogram(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -27,7 +27,8 @@ def bags(
     Members are structs of the ``members`` columns, sorted by ``order`` and then by themselves. A
     group larger than ``part_size`` continues in further rows, numbered by ``part``, which put
     together in that order give the whole group: no row and no task has to hold a group of any
-    size. ``n_members`` is the size of the whole group, ``totals`` are aggregates over it.
+    size. ``n_members`` is the size of the whole group, ``totals`` are aggregates over it. Wide
+    members call for smaller parts.
 
     Group sizes are counted first. Groups within the limit take one hash aggregation. Only the
     rows of larger groups are sorted into places, over all tasks, with equal rows merged.

@@ -128,12 +128,15 @@ def _(source):
     """
     SELECT player_id, team_id,
            coalesce(printf('%4d', year_id), 'null') || chr(9)
-           || rpad(coalesce(name_first, 'null'), CAST(greatest(9, coalesce(length(name_first), 4)) AS INTEGER), ' ') || ' '
-           || rpad(coalesce(name_last, 'null'), CAST(greatest(19, coalesce(length(name_last), 4)) AS INTEGER), ' ') || chr(9) || 'OBP '
+           || rpad(coalesce(name_first, 'null'), CAST(greatest(9, coalesce(length(name_first),
+             4)) AS INTEGER), ' ') || ' '
+           || rpad(coalesce(name_last, 'null'), CAST(greatest(19, coalesce(length(name_last),
+             4)) AS INTEGER), ' ') || chr(9) || 'OBP '
            || printf('%5.3f', floor(1000 * v + 0.5) / 1000) || ' / '
            || CASE WHEN year_id >= 1998 THEN '.  ' ELSE 'pre' END || ' '
            || CASE WHEN PA >= 5 THEN 'sig' ELSE '.  ' END || chr(9)
-           || printf('%012.3e', CASE WHEN v = 0 THEN 0.0 ELSE floor(v * pow(10, 3 - e) + 0.5) / pow(10, 3 - e) END)
+           || printf('%012.3e', CASE WHEN v = 0 THEN 0.0 ELSE floor(v * pow(10,
+             3 - e) + 0.5) / pow(10, 3 - e) END)
            AS line
     FROM (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log10(v)) END AS e
           FROM (SELECT *, CAST(H + BB + HBP AS DOUBLE) / PA AS v FROM seasons WHERE PA > 0))
@@ -179,10 +182,12 @@ def _(source):
     "date_convert",
     """
     SELECT player_id, strftime(try_strptime(CAST(birth_year AS VARCHAR) || '-'
-             || CAST(coalesce(birth_month, 1) AS VARCHAR) || '-' || CAST(coalesce(birth_day, 1) AS VARCHAR),
+             || CAST(coalesce(birth_month, 1) AS VARCHAR) || '-' || CAST(coalesce(birth_day,
+               1) AS VARCHAR),
              '%Y-%m-%d'), '%Y-%m-%d') AS birth_dt,
            strftime(try_strptime(CAST(death_year AS VARCHAR) || '-'
-             || CAST(coalesce(death_month, 1) AS VARCHAR) || '-' || CAST(coalesce(death_day, 1) AS VARCHAR),
+             || CAST(coalesce(death_month, 1) AS VARCHAR) || '-' || CAST(coalesce(death_day,
+               1) AS VARCHAR),
              '%Y-%m-%d'), '%Y-%m-%d') AS death_dt,
            CAST(epoch(try_strptime(beg_date, '%Y-%m-%d')) AS BIGINT) AS beg_second,
            strftime(try_strptime(end_date, '%Y-%m-%d'), '%Y-%m-%d') AS end_dt

@@ -45,7 +45,8 @@ def _(source):
     "join_left",
     """
     SELECT c.player_id, c.n_seasons, h.birth_year AS hof_year
-    FROM careers c LEFT JOIN (SELECT * FROM people WHERE acctbal > 9000) h ON c.player_id = h.player_id
+    FROM careers c LEFT JOIN (SELECT * FROM people
+      WHERE acctbal > 9000) h ON c.player_id = h.player_id
     """,
     ("careers", "people"),
 )
@@ -95,7 +96,8 @@ def _(source):
     """
     SELECT l_orderkey AS player_id, p.team_id, p.park_id, p.year_id
     FROM lineitem JOIN park_team_years p
-      ON CAST(l_suppkey AS VARCHAR) = p.team_id AND lpad(CAST(l_partkey AS VARCHAR), 12, '0') = p.park_id
+      ON CAST(l_suppkey AS VARCHAR) = p.team_id AND lpad(CAST(l_partkey AS VARCHAR), 12,
+        '0') = p.park_id
     """,
     ("park_team_years",),
 )
@@ -130,7 +132,8 @@ def _(source):
     "join_semi",
     """
     SELECT player_id, year_id, team_id, H FROM seasons s
-    WHERE EXISTS (SELECT 1 FROM all_stars a WHERE a.player_id = s.player_id AND a.year_id = s.year_id)
+    WHERE EXISTS (SELECT 1 FROM all_stars a WHERE a.player_id = s.player_id
+      AND a.year_id = s.year_id)
     """,
     ("seasons", "all_stars"),
 )
@@ -143,7 +146,8 @@ def _(source):
     "join_anti",
     """
     SELECT player_id, year_id, team_id, H FROM seasons s
-    WHERE NOT EXISTS (SELECT 1 FROM all_stars a WHERE a.player_id = s.player_id AND a.year_id = s.year_id)
+    WHERE NOT EXISTS (SELECT 1 FROM all_stars a WHERE a.player_id = s.player_id
+      AND a.year_id = s.year_id)
     """,
     ("seasons", "all_stars"),
 )
@@ -180,7 +184,8 @@ def tagged_text(source):
 @query(
     "join_tagged_lines",
     """
-    SELECT CAST(n_nationkey AS VARCHAR) AS code, coalesce(n_name, '') AS name, coalesce(c_name, '') AS person,
+    SELECT CAST(n_nationkey AS VARCHAR) AS code, coalesce(n_name, '') AS name, coalesce(c_name,
+      '') AS person,
            coalesce(c_mktsegment, '') AS status
     FROM nation JOIN customer ON n_nationkey = c_nationkey
     """,
@@ -194,8 +199,10 @@ def _(source):
     """
     SELECT coalesce(a.name, b.city) AS city, coalesce(n_cities, 0) AS n_cities, population,
            coalesce(n_parks, 0) AS n_parks, first_park
-    FROM (SELECT name, count(*) AS n_cities, max(population) AS population FROM major_cities GROUP BY name) a
-    FULL OUTER JOIN (SELECT city, count(*) AS n_parks, min(park_id) AS first_park FROM main_parks GROUP BY city) b
+    FROM (SELECT name, count(*) AS n_cities, max(population) AS population
+      FROM major_cities GROUP BY name) a
+    FULL OUTER JOIN (SELECT city, count(*) AS n_parks, min(park_id) AS first_park
+      FROM main_parks GROUP BY city) b
       ON a.name = b.city
     """,
     ("major_cities", "main_parks"),
@@ -268,7 +275,8 @@ def _(source):
 @query(
     "union_symmetrize",
     """
-    SELECT year_id, home_team_id AS team, home_runs_ct AS runs_for, away_runs_ct AS runs_against, 1 AS is_home
+    SELECT year_id, home_team_id AS team, home_runs_ct AS runs_for, away_runs_ct AS runs_against,
+      1 AS is_home
     FROM games
     UNION ALL
     SELECT year_id, away_team_id, away_runs_ct, home_runs_ct, 0 FROM games
@@ -381,10 +389,13 @@ def _(source):
     """
     WITH firsts AS (
       SELECT name, geonameid, population FROM (
-        SELECT *, row_number() OVER (PARTITION BY name ORDER BY geonameid) AS rn FROM major_cities) WHERE rn = 1),
+        SELECT *, row_number() OVER (PARTITION BY name ORDER BY geonameid) AS rn
+          FROM major_cities) WHERE rn = 1),
     lists AS (
-      SELECT city, part, n_parks, string_agg(CAST(park_id AS VARCHAR), '|' ORDER BY park_id) AS park_ids
-      FROM (SELECT *, (row_number() OVER (PARTITION BY city ORDER BY park_id) - 1) // 100000 AS part,
+      SELECT city, part, n_parks, string_agg(CAST(park_id AS VARCHAR), '|'
+        ORDER BY park_id) AS park_ids
+      FROM (SELECT *, (row_number() OVER (PARTITION BY city
+        ORDER BY park_id) - 1) // 100000 AS part,
                    count(*) OVER (PARTITION BY city) AS n_parks FROM main_parks)
       GROUP BY city, part, n_parks)
     SELECT coalesce(name, city) AS city, geonameid, population, coalesce(part, 0) AS part,

@@ -60,8 +60,10 @@ _ROW = ("park_id", "team_id", "year_id", "beg_date", "end_date", "n_games")
 @query(
     "nest_bag_rows",
     f"""
-    SELECT team_id, part, n_members, {_listed(_flat('|', *_ROW), '|', 'park_id, year_id')} AS members
-    FROM (SELECT *, {_part('team_id', 'park_id, year_id')}, count(*) OVER (PARTITION BY team_id) AS n_members
+    SELECT team_id, part, n_members,
+      {_listed(_flat('|', *_ROW), '|', 'park_id, year_id')} AS members
+    FROM (SELECT *, {_part('team_id', 'park_id, year_id')}, count(*)
+      OVER (PARTITION BY team_id) AS n_members
           FROM park_team_years) GROUP BY team_id, part, n_members
     """,
     _STAYS,
@@ -75,7 +77,8 @@ def _(source):
     "nest_bag_pairs",
     f"""
     SELECT team_id, part, {_listed(_flat('|', 'park_id', 'year_id'), '|', 'park_id, year_id')} AS pairs
-    FROM (SELECT *, {_part('team_id', 'park_id, year_id')} FROM park_team_years) GROUP BY team_id, part
+    FROM (SELECT *, {_part('team_id', 'park_id, year_id')} FROM park_team_years) GROUP BY team_id,
+      part
     """,
     _STAYS,
 )
@@ -87,7 +90,8 @@ def _(source):
 @query(
     "nest_bag_parts",
     f"""
-    SELECT team_id, part, n_members, {_listed(_flat('|', 'park_id', 'year_id'), '|', 'year_id, park_id')} AS pairs
+    SELECT team_id, part, n_members,
+      {_listed(_flat('|', 'park_id', 'year_id'), '|', 'year_id, park_id')} AS pairs
     FROM (SELECT *, {_part('team_id', 'year_id, park_id', 250)},
                  count(*) OVER (PARTITION BY team_id) AS n_members FROM park_team_years)
     GROUP BY team_id, part, n_members
@@ -105,7 +109,8 @@ def _(source):
     f"""
     SELECT team_id, part, {_listed(_flat('', 'park_id'), '^', 'year_id, park_id')} AS park_ids,
            {_listed(_flat('', 'year_id'), '^', 'year_id, park_id')} AS park_years
-    FROM (SELECT *, {_part('team_id', 'year_id, park_id')} FROM park_team_years) GROUP BY team_id, part
+    FROM (SELECT *, {_part('team_id', 'year_id, park_id')} FROM park_team_years) GROUP BY team_id,
+      part
     """,
     _STAYS,
 )
@@ -134,7 +139,8 @@ def _(source):
            {_listed(_flat('', 'player_id'), '|', 'rn', 'PA > 20')} AS still_ordered,
            {_listed(_flat('', 'PA'), '|', 'rn')} AS pa_only,
            {_listed("name_first || ' ' || name_last || ':' || CAST(PA AS VARCHAR)", '|', 'rn')} AS pretty
-    FROM (SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC NULLS LAST, player_id NULLS FIRST) AS rn
+    FROM (SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC NULLS LAST,
+      player_id NULLS FIRST) AS rn
           FROM seasons)
     WHERE rn <= 4 GROUP BY team_id, year_id
     """,
@@ -164,7 +170,8 @@ def _(source):
 @query(
     "nest_delimited",
     f"""
-    SELECT team_id, year_id, part, n_parks, {_listed(_flat('', 'park_id'), '^', 'park_id')} AS park_ids
+    SELECT team_id, year_id, part, n_parks,
+      {_listed(_flat('', 'park_id'), '^', 'park_id')} AS park_ids
     FROM (SELECT *, {_part('team_id, year_id', 'park_id')},
                  count(*) OVER (PARTITION BY team_id, year_id) AS n_parks FROM park_team_years)
     GROUP BY team_id, year_id, part, n_parks
@@ -185,7 +192,8 @@ def _(source):
 @query(
     "nest_kv_string",
     f"""
-    SELECT team_id, year_id, part, {_listed("coalesce(park_id || ':' || CAST(n_games AS VARCHAR), '')", '|', 'n_games DESC, park_id')} AS pk_ngs
+    SELECT team_id, year_id, part,
+      {_listed("coalesce(park_id || ':' || CAST(n_games AS VARCHAR), '')", '|', 'n_games DESC, park_id')} AS pk_ngs
     FROM (SELECT *, {_part('team_id, year_id', 'n_games DESC, park_id')} FROM park_team_years)
     GROUP BY team_id, year_id, part
     """,
@@ -202,7 +210,8 @@ def _(source):
     "nest_distinct_string",
     f"""
     SELECT team_id, part, {_listed(_flat('', 'park_id'), '|', 'park_id')} AS parks
-    FROM (SELECT *, {_part('team_id', 'park_id')} FROM (SELECT DISTINCT team_id, park_id FROM park_team_years))
+    FROM (SELECT *, {_part('team_id', 'park_id')} FROM (SELECT DISTINCT team_id, park_id
+      FROM park_team_years))
     GROUP BY team_id, part
     """,
     _STAYS,
@@ -217,7 +226,8 @@ def _(source):
     f"""
     SELECT player_id, part, {_listed(_flat('|', 'team_id', 'year_id'), '|', 'year_id')} AS teams
     FROM (SELECT *, {_part('player_id', 'year_id')} FROM
-            (SELECT player_id, year_id, min(team_id) AS team_id FROM seasons GROUP BY player_id, year_id))
+            (SELECT player_id, year_id, min(team_id) AS team_id FROM seasons GROUP BY player_id,
+              year_id))
     GROUP BY player_id, part
     """,
     ("seasons",),
@@ -233,18 +243,24 @@ def _(source):
 @query(
     "nest_record",
     """
-    SELECT player_id, CAST(to_json(struct_pack(name := 'birth', year := birth_year, month := coalesce(birth_month, 1),
+    SELECT player_id, CAST(to_json(struct_pack(name := 'birth', year := birth_year,
+      month := coalesce(birth_month, 1),
                                           day := coalesce(birth_day, 1))) AS VARCHAR) AS birth,
-           CAST(to_json(struct_pack(name := 'death', year := death_year, month := coalesce(death_month, 1),
+           CAST(to_json(struct_pack(name := 'death', year := death_year,
+             month := coalesce(death_month, 1),
                                day := coalesce(death_day, 1))) AS VARCHAR) AS death,
-           CAST(to_json(struct_pack(name := 'debut', year := CAST(substr(beg_date, 1, 4) AS INTEGER),
+           CAST(to_json(struct_pack(name := 'debut', year := CAST(substr(beg_date, 1,
+             4) AS INTEGER),
                                month := CAST(substr(beg_date, 6, 2) AS INTEGER),
-                               day := CAST(substr(beg_date, 9, 2) AS INTEGER))) AS VARCHAR) AS debut,
+                               day := CAST(substr(beg_date, 9,
+                                 2) AS INTEGER))) AS VARCHAR) AS debut,
            CAST(to_json(struct_pack(birth := struct_pack("date" := strftime(try_strptime(CAST(birth_year AS VARCHAR) || '-'
-               || CAST(coalesce(birth_month, 1) AS VARCHAR) || '-' || CAST(birth_day AS VARCHAR), '%Y-%m-%d'), '%Y-%m-%d'),
+               || CAST(coalesce(birth_month, 1) AS VARCHAR) || '-' || CAST(birth_day AS VARCHAR),
+                 '%Y-%m-%d'), '%Y-%m-%d'),
                city := birth_city, country := birth_country),
              death := struct_pack("date" := strftime(try_strptime(CAST(death_year AS VARCHAR) || '-'
-               || CAST(coalesce(death_month, 1) AS VARCHAR) || '-' || CAST(coalesce(death_day, 1) AS VARCHAR), '%Y-%m-%d'),
+               || CAST(coalesce(death_month, 1) AS VARCHAR) || '-' || CAST(coalesce(death_day,
+                 1) AS VARCHAR), '%Y-%m-%d'),
                '%Y-%m-%d'), city := death_city, country := birth_country))) AS VARCHAR) AS places,
            CAST(3 AS BIGINT) AS n_occasions
     FROM people WHERE beg_date IS NOT NULL AND death_year IS NOT NULL
@@ -301,18 +317,22 @@ _PARK = "coalesce(park_id, '')"
         UNION ALL SELECT team_id, year_id - 1, park_id, FALSE FROM stays)
       GROUP BY team_id, year_id, park_id),
     sizes AS (
-      SELECT team_id, year_id, count(*) FILTER (WHERE f) AS n_first, count(*) FILTER (WHERE s) AS n_second,
+      SELECT team_id, year_id, count(*) FILTER (WHERE f) AS n_first, count(*)
+        FILTER (WHERE s) AS n_second,
              count(*) FILTER (WHERE f AND s) AS n_stayed,
              CASE WHEN count(*) FILTER (WHERE f <> s) = 0 THEN 1 ELSE 0 END AS is_equal
       FROM members GROUP BY team_id, year_id)
-    SELECT team_id, year_id, part, n_first, n_second, n_stayed, is_equal, {_listed(_PARK, '|', 'park_id')} AS either,
+    SELECT team_id, year_id, part, n_first, n_second, n_stayed, is_equal,
+      {_listed(_PARK, '|', 'park_id')} AS either,
            {_listed(_PARK, '|', 'park_id', 'f AND s')} AS stayed,
            {_listed(_PARK, '|', 'park_id', 'f AND NOT s')} AS departed,
            {_listed(_PARK, '|', 'park_id', 'NOT f AND s')} AS arrived,
            {_listed(_PARK, '|', 'park_id', 'f <> s')} AS changed
-    FROM (SELECT m.*, n_first, n_second, n_stayed, is_equal, {_part('m.team_id, m.year_id', 'm.park_id')}
+    FROM (SELECT m.*, n_first, n_second, n_stayed, is_equal,
+      {_part('m.team_id, m.year_id', 'm.park_id')}
           FROM members m JOIN sizes z
-            ON m.team_id IS NOT DISTINCT FROM z.team_id AND m.year_id IS NOT DISTINCT FROM z.year_id)
+            ON m.team_id IS NOT DISTINCT FROM z.team_id AND m.year_id IS NOT DISTINCT
+              FROM z.year_id)
     WHERE n_first > 0 AND n_second > 0 GROUP BY ALL
     """,
     _STAYS,
@@ -339,7 +359,8 @@ def _(source):
 
 _CITY_SQL = f"""
     WITH stats AS (
-      SELECT team_id, year_id, city, count(*) AS n_parks, CAST(sum(n_games) AS BIGINT) AS n_city_games,
+      SELECT team_id, year_id, city, count(*) AS n_parks,
+        CAST(sum(n_games) AS BIGINT) AS n_city_games,
              max(n_games) AS max_in_city
       FROM park_cities GROUP BY team_id, year_id, city),
     lists AS (
@@ -376,18 +397,23 @@ def _(source):
     "park_farhome_json",
     f"""
     WITH stats AS (
-      SELECT team_id, year_id, city, CAST(sum(n_games) AS BIGINT) AS n_city_games, max(n_games) AS max_in_city
+      SELECT team_id, year_id, city, CAST(sum(n_games) AS BIGINT) AS n_city_games,
+        max(n_games) AS max_in_city
       FROM park_cities GROUP BY team_id, year_id, city),
     totals AS (
-      SELECT team_id, year_id, CAST(sum(n_city_games) AS BIGINT) AS n_home, max(n_city_games) AS main_city,
+      SELECT team_id, year_id, CAST(sum(n_city_games) AS BIGINT) AS n_home,
+        max(n_city_games) AS main_city,
              max(max_in_city) AS main_park, count(*) AS n_cities
       FROM stats GROUP BY team_id, year_id),
     lists AS (
       SELECT team_id, year_id, part,
              {_listed("coalesce(city || ':' || CAST(n_city_games AS VARCHAR), '')", '|', 'n_city_games DESC, city')} AS cities
-      FROM (SELECT *, {_part('team_id, year_id', 'n_city_games DESC, city')} FROM stats) GROUP BY team_id, year_id, part)
-    SELECT t.team_id, t.year_id, part, CASE WHEN t.year_id >= 1998 THEN 'mod' END AS is_modern, n_home AS n_home_gms,
-           n_home - main_city AS n_farhome_gms, n_home - main_park AS n_althome_games, n_cities, cities
+      FROM (SELECT *, {_part('team_id, year_id', 'n_city_games DESC, city')} FROM stats)
+        GROUP BY team_id, year_id, part)
+    SELECT t.team_id, t.year_id, part, CASE WHEN t.year_id >= 1998 THEN 'mod' END AS is_modern,
+      n_home AS n_home_gms,
+           n_home - main_city AS n_farhome_gms, n_home - main_park AS n_althome_games, n_cities,
+             cities
     FROM totals t JOIN lists l
       ON t.team_id IS NOT DISTINCT FROM l.team_id AND t.year_id IS NOT DISTINCT FROM l.year_id
     """,

@@ -38,8 +38,10 @@ def _(source):
 @query(
     "sort_nulls",
     f"""
-    SELECT *, row_number() OVER (ORDER BY OPS_older IS NOT NULL, OPS_all DESC NULLS LAST, player_id NULLS FIRST) AS nulls_first_no,
-           row_number() OVER (ORDER BY OPS_older IS NULL, OPS_all DESC NULLS LAST, player_id NULLS FIRST) AS nulls_last_no
+    SELECT *, row_number() OVER (ORDER BY OPS_older IS NOT NULL, OPS_all DESC NULLS LAST,
+      player_id NULLS FIRST) AS nulls_first_no,
+           row_number() OVER (ORDER BY OPS_older IS NULL, OPS_all DESC NULLS LAST,
+             player_id NULLS FIRST) AS nulls_last_no
     FROM (SELECT {_FIELDS} FROM ({EPOCHS_SQL}))
     """,
     ("modern",),
@@ -79,10 +81,12 @@ def _(source):
 @query(
     "topk_per_group",
     """
-    SELECT year_id, count(*) AS n, string_agg(coalesce(CAST(player_id AS VARCHAR), '') || '|' || coalesce(team_id, '') || '|'
+    SELECT year_id, count(*) AS n, string_agg(coalesce(CAST(player_id AS VARCHAR), '') || '|'
+      || coalesce(team_id, '') || '|'
              || coalesce(CAST(RBI AS VARCHAR), ''), '|' ORDER BY rn DESC) AS top_5
     FROM (SELECT *, row_number() OVER (PARTITION BY year_id
-            ORDER BY RBI DESC NULLS LAST, player_id NULLS FIRST, team_id NULLS FIRST) AS rn FROM seasons)
+            ORDER BY RBI DESC NULLS LAST, player_id NULLS FIRST, team_id NULLS FIRST) AS rn
+              FROM seasons)
     WHERE rn <= 5 GROUP BY year_id
     """,
     ("seasons",),
@@ -104,7 +108,8 @@ def _(source):
     "topk_team_list",
     """
     SELECT team_id, year_id, rn AS place, player_id, PA FROM (
-      SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC NULLS LAST, player_id NULLS FIRST) AS rn FROM seasons)
+      SELECT *, row_number() OVER (PARTITION BY team_id, year_id ORDER BY PA DESC NULLS LAST,
+        player_id NULLS FIRST) AS rn FROM seasons)
     WHERE rn <= 4
     """,
     ("seasons",),
@@ -119,8 +124,10 @@ def _(source):
     "argmax_per_group",
     """
     SELECT player_id, year_id, stints, team_id, RBI FROM (
-      SELECT player_id, year_id, team_id, RBI, count(*) OVER (PARTITION BY player_id, year_id) AS stints,
-             row_number() OVER (PARTITION BY player_id, year_id ORDER BY RBI DESC NULLS LAST, team_id NULLS FIRST) AS rn FROM seasons)
+      SELECT player_id, year_id, team_id, RBI, count(*) OVER (PARTITION BY player_id,
+        year_id) AS stints,
+             row_number() OVER (PARTITION BY player_id, year_id ORDER BY RBI DESC NULLS LAST,
+               team_id NULLS FIRST) AS rn FROM seasons)
     WHERE rn = 1 AND stints > 1
     """,
     ("seasons",),
@@ -133,7 +140,8 @@ def _(source):
 @query(
     "rank_running",
     """
-    SELECT row_number() OVER (ORDER BY player_id NULLS FIRST, year_id NULLS FIRST, team_id NULLS FIRST) AS row_no, player_id, year_id, team_id, H
+    SELECT row_number() OVER (ORDER BY player_id NULLS FIRST, year_id NULLS FIRST,
+      team_id NULLS FIRST) AS row_no, player_id, year_id, team_id, H
     FROM seasons
     """,
     ("seasons",),
@@ -146,7 +154,8 @@ def _(source):
 @query(
     "rank_sparse",
     """
-    SELECT rank() OVER (ORDER BY RBI DESC NULLS LAST, H DESC NULLS LAST, player_id NULLS FIRST) AS rank, player_id, year_id, team_id, RBI, H
+    SELECT rank() OVER (ORDER BY RBI DESC NULLS LAST, H DESC NULLS LAST,
+      player_id NULLS FIRST) AS rank, player_id, year_id, team_id, RBI, H
     FROM seasons
     """,
     ("seasons",),

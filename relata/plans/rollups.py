@@ -37,7 +37,8 @@ def _(source):
     "agg_sum_sorted",
     """
     SELECT row_number() OVER (ORDER BY total_pageviews DESC, project_name) AS row_no, * FROM (
-      SELECT project_name, CAST(sum(requests) AS BIGINT) AS total_pageviews, CAST(sum(bytes) AS BIGINT) AS total_bytes
+      SELECT project_name, CAST(sum(requests) AS BIGINT) AS total_pageviews,
+        CAST(sum(bytes) AS BIGINT) AS total_bytes
       FROM pageviews GROUP BY project_name)
     """,
     ("pageviews",),
@@ -57,7 +58,8 @@ def _(source):
 @query(
     "agg_global",
     """
-    SELECT count(*) AS n_players, count(OPS) AS n_known, min(beg_year) AS first_year, max(end_year) AS last_year,
+    SELECT count(*) AS n_players, count(OPS) AS n_known, min(beg_year) AS first_year,
+      max(end_year) AS last_year,
            CAST(sum(HR) AS BIGINT) AS HR, CAST(sum(H) AS DOUBLE) / count(*) AS avg_H FROM careers
     """,
     ("careers",),
@@ -103,7 +105,8 @@ def _(source):
 @query(
     "agg_two_level",
     """
-    SELECT CAST(sum(total_players) AS DOUBLE) / count(*) AS avg_players, max(total_players) AS max_players FROM (
+    SELECT CAST(sum(total_players) AS DOUBLE) / count(*) AS avg_players,
+      max(total_players) AS max_players FROM (
       SELECT team_id, year_id, count(*) AS total_players FROM seasons GROUP BY team_id, year_id)
     """,
     ("seasons",),
@@ -119,7 +122,8 @@ def _(source):
 @query(
     "agg_rel_freq",
     """
-    SELECT HR AS val, count(*) AS ct, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM careers) AS freq
+    SELECT HR AS val, count(*) AS ct, CAST(count(*) AS DOUBLE) / (SELECT count(*)
+      FROM careers) AS freq
     FROM careers GROUP BY HR
     """,
     ("careers",),
@@ -135,7 +139,8 @@ def _(source):
            count(*) FILTER (WHERE H >= 3) AS hi_H, count(*) FILTER (WHERE HR >= 1) AS hi_HR,
            count(*) FILTER (WHERE RBI >= 100) AS hi_RBI,
            count(*) FILTER (WHERE CAST(H + BB + HBP AS DOUBLE) / nullif(PA, 0) >= 0.4) AS hi_OBP,
-           count(*) FILTER (WHERE CAST(h1B + 2 * h2B + 3 * h3B + 4 * HR AS DOUBLE) / nullif(AB, 0) >= 0.5) AS hi_SLG
+           count(*) FILTER (WHERE CAST(h1B + 2 * h2B + 3 * h3B + 4 * HR AS DOUBLE) / nullif(AB,
+             0) >= 0.5) AS hi_SLG
     FROM modern GROUP BY player_id
     """,
     ("modern",),
@@ -235,13 +240,16 @@ def _numeric_sql(relation: str, column: str, by: str = "") -> str:
     return f"""
     SELECT s.*, (SELECT coalesce(string_agg(CAST(v AS VARCHAR), '^' ORDER BY v), '') FROM
                    (SELECT *, row_number() OVER ({over} ORDER BY v) AS rn FROM
-                      (SELECT DISTINCT {key}{column} AS v FROM {relation} WHERE {column} IS NOT NULL)) e
+                      (SELECT DISTINCT {key}{column} AS v FROM {relation}
+                        WHERE {column} IS NOT NULL)) e
                  {match + ' AND' if match else 'WHERE'} e.rn <= 5) AS some_vals
     FROM (SELECT {key}CAST(sum({column}) AS DOUBLE) / count({column}) AS avg_val,
-                 round(stddev_pop({column}), 6) AS stddev_val, CAST(min({column}) AS BIGINT) AS min_val, {edges},
+                 round(stddev_pop({column}), 6) AS stddev_val,
+                   CAST(min({column}) AS BIGINT) AS min_val, {edges},
                  CAST(max({column}) AS BIGINT) AS max_val, count(*) AS n_recs,
                  count(*) - count({column}) AS n_nulls,
-                 count(DISTINCT {column}) + CASE WHEN count(*) > count({column}) THEN 1 ELSE 0 END AS cardinality,
+                 count(DISTINCT {column}) + CASE WHEN count(*) > count({column}) THEN 1
+                   ELSE 0 END AS cardinality,
                  CAST(sum({column}) AS BIGINT) AS sum_val
           FROM {relation} {group}) s
     """
@@ -272,12 +280,16 @@ def _(source):
     )
     + """, max(length(birth_city)) AS maxlen,
            CAST(sum(length(birth_city)) AS DOUBLE) / count(birth_city) AS avglen,
-           round(stddev_pop(length(birth_city)), 6) AS stdvlen, CAST(sum(length(birth_city)) AS BIGINT) AS sumlen,
+           round(stddev_pop(length(birth_city)), 6) AS stdvlen,
+             CAST(sum(length(birth_city)) AS BIGINT) AS sumlen,
            count(*) AS n_recs, count(*) - count(birth_city) AS n_nulls,
-           count(DISTINCT birth_city) + CASE WHEN count(*) > count(birth_city) THEN 1 ELSE 0 END AS cardinality,
+           count(DISTINCT birth_city) + CASE WHEN count(*) > count(birth_city) THEN 1
+             ELSE 0 END AS cardinality,
            min(birth_city) AS minval, max(birth_city) AS maxval,
-           (SELECT coalesce(string_agg(CASE WHEN length(v) > 15 THEN substr(v, 1, 15) || '…' ELSE v END, '^' ORDER BY v), '') FROM
-              (SELECT DISTINCT birth_city AS v FROM people WHERE birth_city IS NOT NULL ORDER BY v LIMIT 5)) AS examples
+           (SELECT coalesce(string_agg(CASE WHEN length(v) > 15 THEN substr(v, 1, 15) || '…'
+             ELSE v END, '^' ORDER BY v), '') FROM
+              (SELECT DISTINCT birth_city AS v FROM people WHERE birth_city IS NOT NULL
+                ORDER BY v LIMIT 5)) AS examples
     FROM people
     """,
     ("people",),
@@ -340,7 +352,8 @@ def _(source):
 @query(
     "hist_log",
     """
-    SELECT CAST(trunc(exp(floor(ln(CASE WHEN requests = 0 THEN 0.001 ELSE CAST(requests AS DOUBLE) END) * 10) / 10.0))
+    SELECT CAST(trunc(exp(floor(ln(CASE WHEN requests = 0 THEN 0.001
+      ELSE CAST(requests AS DOUBLE) END) * 10) / 10.0))
                 AS BIGINT) AS bin, count(*) AS ct
     FROM pageviews GROUP BY 1
     """,
@@ -355,7 +368,8 @@ def _(source):
     """
     SELECT coalesce(b.bin, v.bin) AS bin, coalesce(n, 0) AS ct
     FROM (SELECT 3 * number AS bin FROM range(0, 10000) t(number) WHERE 3 * number <= 150) b
-    FULL OUTER JOIN (SELECT CAST(floor(PA / 3.0) * 3 AS BIGINT) AS bin, count(*) AS n FROM careers GROUP BY 1) v
+    FULL OUTER JOIN (SELECT CAST(floor(PA / 3.0) * 3 AS BIGINT) AS bin, count(*) AS n
+      FROM careers GROUP BY 1) v
       ON b.bin = v.bin
     """,
     ("careers",),
@@ -389,7 +403,8 @@ def _(source):
     SELECT bin, count(*) AS ct,
            string_agg(coalesce(name_first, '') || '|' || coalesce(name_last, ''), '|' ORDER BY rn)
              FILTER (WHERE rn <= 3) AS examples
-    FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY player_id NULLS FIRST) AS rn FROM vals) GROUP BY bin
+    FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY player_id NULLS FIRST) AS rn
+      FROM vals) GROUP BY bin
     """,
     ("seasons",),
 )
@@ -442,7 +457,8 @@ def _(source):
 @query(
     "mr_delay_hist",
     """
-    SELECT CAST(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 86400.0) AS BIGINT) AS days, count(*) AS ct
+    SELECT CAST(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 86400.0) AS BIGINT) AS days,
+      count(*) AS ct
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey
     WHERE o_orderdate IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1
     """,

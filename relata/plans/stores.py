@@ -59,7 +59,8 @@ def _(source):
     """
     SELECT 'dimension' AS shape, coalesce(n_name, '') AS name, NULL AS status,
            coalesce(CAST(n_nationkey AS VARCHAR), '') AS code FROM nation
-    UNION ALL SELECT 'fact', coalesce(c_name, ''), coalesce(c_mktsegment, ''), coalesce(CAST(c_nationkey AS VARCHAR), '')
+    UNION ALL SELECT 'fact', coalesce(c_name, ''), coalesce(c_mktsegment, ''),
+      coalesce(CAST(c_nationkey AS VARCHAR), '')
     FROM customer
     """,
 )

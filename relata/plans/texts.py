@@ -32,8 +32,10 @@ def _(source):
              list_zip(regexp_extract_all(line, '\b([bcdfghjklmnpqrstvwxz]*)([\w'']+)', 1),
                       regexp_extract_all(line, '\b([bcdfghjklmnpqrstvwxz]*)([\w'']+)', 2)),
              lambda p: CASE WHEN regexp_matches(p[2], '^[A-Z]')
-               THEN upper(p[2][1]) || lower(p[2][2:]) || CASE WHEN p[1] = '' THEN 'w' ELSE p[1] END || 'ay'
-               ELSE lower(p[2]) || CASE WHEN p[1] = '' THEN 'w' ELSE p[1] END || 'ay' END), ' ') AS line
+               THEN upper(p[2][1]) || lower(p[2][2:]) || CASE WHEN p[1] = '' THEN 'w'
+                 ELSE p[1] END || 'ay'
+               ELSE lower(p[2]) || CASE WHEN p[1] = '' THEN 'w' ELSE p[1] END || 'ay' END),
+                 ' ') AS line
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                  unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)
     """,

@@ -285,9 +285,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                  CAST(count(*) FILTER (WHERE l_discount = 0) AS BIGINT) AS SH,
                  CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS BB,
                  CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS H,
-                 CAST(count(*) FILTER (WHERE l_quantity >= 10 AND l_quantity < 30) AS BIGINT) AS h1B,
-                 CAST(count(*) FILTER (WHERE l_quantity >= 30 AND l_quantity < 40) AS BIGINT) AS h2B,
-                 CAST(count(*) FILTER (WHERE l_quantity >= 40 AND l_quantity < 45) AS BIGINT) AS h3B,
+                 CAST(count(*) FILTER (WHERE l_quantity >= 10
+                   AND l_quantity < 30) AS BIGINT) AS h1B,
+                 CAST(count(*) FILTER (WHERE l_quantity >= 30
+                   AND l_quantity < 40) AS BIGINT) AS h2B,
+                 CAST(count(*) FILTER (WHERE l_quantity >= 40
+                   AND l_quantity < 45) AS BIGINT) AS h3B,
                  CAST(count(*) FILTER (WHERE l_quantity >= 45) AS BIGINT) AS HR,
                  CAST(sum(l_linenumber) AS BIGINT) AS R,
                  CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS RBI
@@ -304,7 +307,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                  CAST(h1B + 2 * h2B + 3 * h3B + 4 * HR AS DOUBLE) / nullif(AB, 0) AS SLG
           FROM (
             SELECT player_id, count(*) AS n_seasons,
-                   count(DISTINCT team_id) + CASE WHEN count(*) > count(team_id) THEN 1 ELSE 0 END AS card_teams,
+                   count(DISTINCT team_id) + CASE WHEN count(*) > count(team_id) THEN 1
+                     ELSE 0 END AS card_teams,
                    min(year_id) AS beg_year, max(year_id) AS end_year,
         """
         + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTED)
@@ -317,8 +321,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT player_id, birth_year, birth_month, birth_day, birth_city, birth_state,
                birth_country, death_year, death_month, death_day, death_city, name_first,
                name_last, height_in, weight_lb,
-               CASE WHEN player_id % 11 <> 0 THEN CAST(birth_year + 20 AS VARCHAR) || tail END AS beg_date,
-               CASE WHEN player_id % 11 <> 0 THEN CAST(birth_year + 25 AS VARCHAR) || tail END AS end_date,
+               CASE WHEN player_id % 11 <> 0 THEN CAST(birth_year + 20 AS VARCHAR)
+                 || tail END AS beg_date,
+               CASE WHEN player_id % 11 <> 0 THEN CAST(birth_year + 25 AS VARCHAR)
+                 || tail END AS end_date,
                acctbal
         FROM (
           SELECT *, '-' || lpad(CAST(coalesce(birth_month, 1) AS VARCHAR), 2, '0') || '-'
@@ -402,7 +408,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "major_cities": (
         (),
         """
-        SELECT n_name AS name, c_custkey AS geonameid, CAST(trunc(c_acctbal) AS BIGINT) AS population
+        SELECT n_name AS name, c_custkey AS geonameid,
+          CAST(trunc(c_acctbal) AS BIGINT) AS population
         FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9700
         """,
     ),

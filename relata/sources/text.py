@@ -116,10 +116,10 @@ def through_store(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the input came in fewer pieces than there are cores.
+    """Deal rows out to all cores if the scan came in very few pieces.
 
-    A gzip file or a file of one row group is one piece. Ahead of costly work per row the
-    shuffle pays off; large inputs come in many pieces and pass through unchanged.
+    A gzip file or a file of one row group is one piece. Ahead of costly work per row the shuffle
+    pays off if it multiplies the tasks; large inputs come in many pieces and pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
