@@ -70,10 +70,15 @@ class Words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         rows = self.row_of()
         at = np.flatnonzero(rows[:n] == rows[width - 1 :])
+        return self.runs(hashes, at, width), at
+
+    @staticmethod
+    def runs(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """Hash of the ``width`` words from each index in ``at``: a polynomial of their hashes."""
         out = np.zeros(len(at), np.uint64)
         for k in range(width):
-            out = mix(out + hashes[at + k] + U(k + 1))
-        return out, at
+            out = out * U(0x9E3779B97F4A7C15) + hashes[at + k]
+        return mix(out)
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
