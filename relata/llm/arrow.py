@@ -26,8 +26,14 @@ def map_batches(
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """``session.settle``, after which the shuffle files of this step alone are deleted.
+    """``session.settle``, after which Spark deletes the shuffle files of this step.
 
-    The stored table takes their place, so that disk use follows the largest step and not the sum.
+    The stored table takes their place, so disk use follows the largest step and not the sum.
     """
-    return session.settle(df, label)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return session.settle(df, label)
+    finally:
+        conf.set(CLEANUP, before)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relata.llm.arrow import settle
 from relata.llm.registry import query, table
-from relata.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what a word is
 SYMBOLS = "[#*$%&|<>]"  # fixed value: characters that count as symbols
