@@ -1,4 +1,4 @@
 """Importing this module registers the queries of all operators."""
 
-from relata.llm import chat, jaccard, quality, substrings  # noqa: F401
+from relata.llm import chat, jaccard, linechunks, quality, substrings  # noqa: F401
 from relata.llm.registry import ORACLES, QUERIES  # noqa: F401
