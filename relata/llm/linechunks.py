@@ -87,17 +87,18 @@ def _without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     columns = list(zip(*out))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     yield pa.RecordBatch.from_arrays(
-        [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-        names=["doc_id", "n_lines", "n_chunks", "n_removed_lines", "clean_text", "kept_sha256"],
+        [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)], *batch.columns[3:]],
+        names=["doc_id", "n_lines", "n_chunks", "n_removed_lines", "clean_text", "kept_sha256"]
+        + batch.schema.names[3:],
     )
 
 
-def remove_chunks(documents: DataFrame) -> DataFrame:
+def remove_chunks(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``documents`` (doc_id, text) without chunks of lines that occur earlier.
 
     Earlier is by doc_id, then by place in the text; the first occurrence stays. Chunks with fewer
     than two lines that hold a word stay. Returns doc_id, n_lines, n_chunks, n_removed_lines,
-    clean_text and kept_sha256, a row per input row.
+    clean_text, kept_sha256 and the columns named in ``carry``, a row per input row.
 
     A null text is empty, and an empty text is one empty line. Rows without doc_id are returned
     whole and take no part. Rows that repeat a doc_id are taken to hold one text and do not remove
@@ -105,9 +106,11 @@ def remove_chunks(documents: DataFrame) -> DataFrame:
     give no rows.
     """
     texts = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
-    known = texts.where("doc_id IS NOT NULL")
+    known = texts.where("doc_id IS NOT NULL").select("doc_id", "text")
     place = F.struct("doc_id", "number")
     repeated = settle(
         map_batches(known, _chunk_rows(False), "chunk binary, doc_id long, number int")
@@ -135,12 +138,16 @@ def remove_chunks(documents: DataFrame) -> DataFrame:
         .agg(F.collect_set("number").alias("gone")),
         "removed-chunks",
     )
-    return map_batches(
-        texts.join(removed, "doc_id", "left").select("doc_id", "text", "gone"),
+    kinds = dict(texts.dtypes)
+    cleaned = map_batches(
+        texts.join(removed, "doc_id", "left").select(
+            "doc_id", "text", "gone", *[f"carried_{c}" for c in carry]
+        ),
         _without,
         "doc_id long, n_lines long, n_chunks long, n_removed_lines long, clean_text string,"
-        " kept_sha256 string",
+        " kept_sha256 string" + "".join(f", carried_{c} {kinds[f'carried_{c}']}" for c in carry),
     )
+    return cleaned.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
 @query("op7_line_dedup")

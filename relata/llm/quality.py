@@ -100,11 +100,12 @@ def _lines(texts: DataFrame) -> DataFrame:
     )
 
 
-def _prepare(documents: DataFrame) -> DataFrame:
+def _prepare(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     texts = documents.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("host"),
         F.coalesce("text", F.lit("")).alias("text"),
+        *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
     return texts.withColumn("text_key", F.xxhash64("host", "text"))
 
@@ -150,12 +151,13 @@ def quality(
     least_documents: int = 20,
     share: float = 0.4,
     least_left: float = 0.5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Counts, verdict and cleaned text of each row of ``documents`` (doc_id, text, source).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    removed_words, kept and clean_text: the text without its host's frequent lines, its other
-    lines as they were. ``kept`` is false if a rule on the text failed, or if the words left are
+    removed_words, kept, clean_text (the text without its host's frequent lines, its other lines
+    as they were) and the columns named in ``carry``. ``kept`` is false if a rule on the text failed, or if the words left are
     fewer than ``least_left`` of all.
 
     A null or empty text has no words and fails. Rows without a source form one host. A doc_id
@@ -163,7 +165,7 @@ def quality(
     counted. Repeated rows all stay and get one verdict. Other columns are left out. An empty
     table gives no rows.
     """
-    texts = _prepare(documents)
+    texts = _prepare(documents, carry)
     frequent = settle(frequent_lines(documents, least_documents, share), "frequent-lines")
     removed = _removed(texts, frequent).withColumnsRenamed(
         {"doc_id": "removed_id", "text_key": "removed_key"}
@@ -196,6 +198,7 @@ def quality(
         F.when(F.col("places").isNull(), F.col("full_text"))
         .otherwise(F.concat_ws("\n", lines))
         .alias("clean_text"),
+        *[F.col(f"carried_{c}").alias(c) for c in carry],
     )
 
 

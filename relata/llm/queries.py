@@ -1,4 +1,5 @@
 """Importing this module registers the queries of all operators."""
 
-from relata.llm import chat, decontaminate, jaccard, linechunks, quality, substrings  # noqa: F401
+import corpus_pipeline  # noqa: F401
+from relata.llm import chat, decontaminate, jaccard, linechunks, mixing, quality, substrings  # noqa: F401
 from relata.llm.registry import ORACLES, QUERIES  # noqa: F401
