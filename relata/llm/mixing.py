@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relata.llm.arrow import settle
 from relata.llm.registry import query, table
 
 OTHER = "*"  # stands for nulls and for all values that the targets do not list
-SWEEPS = 40
+SWEEPS = 20
+SWEEPS_PER_STEP = 5
 
 Targets = Mapping[str, Mapping[str, float]]
 
@@ -45,95 +46,27 @@ def _category(value: Column, weights: Mapping[str, float]) -> Column:
     return F.when(value.isin(*listed), value).otherwise(F.lit(OTHER)) if listed else F.lit(OTHER)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-
-
-def _margin_targets(cells: Column, dimension: str, weights: Mapping[str, float]) -> Column:
-    """A map from each category that has tokens to its share of all tokens.
+def _share(dimension: str, weights: Mapping[str, float]) -> tuple[Column, Column, Column]:
+    """Of a cell: its part of the given weight, the share left to unlisted values, its target share.
 
     Listed categories without tokens give their share to the others. Unlisted values keep their
     natural share unless ``*`` has a weight.
     """
-    names = list(dict.fromkeys([*weights, OTHER]))
-    total = _sum(F.transform(cells, lambda c: c["tokens"]))
-
-    def mass(name: str) -> Column:
-        mine = F.filter(cells, lambda c: c[dimension] == name)
-        return _sum(F.transform(mine, lambda c: c["tokens"]))
-
-    entries = [
-        F.struct(
-            F.lit(name).alias("name"),
-            mass(name).alias("tokens"),
-            F.lit(float(weights.get(name, 0.0))).alias("weight"),
-        )
-        for name in names
-    ]
-    present = F.filter(F.array(*entries), lambda e: e["tokens"] > 0)
-
-    def shares(present: Column) -> Column:
-        free = (
-            F.lit(0.0)
-            if OTHER in weights
-            else _sum(
-                F.transform(
-                    F.filter(present, lambda e: e["name"] == OTHER), lambda e: e["tokens"] / total
-                )
-            )
-        )
-        whole = _sum(F.transform(present, lambda e: e["weight"]))
-
-        def share(e: Column) -> Column:
-            given = F.when(whole > 0, e["weight"] / whole).otherwise(0.0) * (1 - free)
-            return F.struct(
-                e["name"],
-                F.when((e["name"] == OTHER) & F.lit(OTHER not in weights), free)
-                .otherwise(given)
-                .alias("share"),
-            )
-
-        return F.map_from_entries(F.transform(present, share))
-
-    return _let(present, shares)
-
-
-def _rake(cells: Column, shares: Mapping[str, Column], sweeps: int) -> Column:
-    """``cells`` with ``mass``, a share of all tokens, whose margins are ``shares``."""
-    dimensions = list(shares)
-
-    def scaled(cells: Column, dimension: str) -> Column:
-        def by(margin: Column) -> Column:
-            def one(c: Column) -> Column:
-                factor = F.when(margin[c[dimension]] > 0,
-                                shares[dimension][c[dimension]] / margin[c[dimension]])
-                mass = c["mass"] * F.coalesce(factor, F.lit(0.0))
-                return F.struct(*[c[d].alias(d) for d in dimensions], c["tokens"].alias("tokens"),
-                                mass.alias("mass"))
-
-            return F.transform(cells, one)
-
-        def margin_of(name: Column) -> Column:
-            mine = F.filter(cells, lambda c: c[dimension] == name)
-            return F.struct(name, _sum(F.transform(mine, lambda c: c["mass"])))
-
-        margin = F.map_from_entries(F.transform(F.map_keys(shares[dimension]), margin_of))
-        return _let(margin, by)
-
-    def along(dimension: str):
-        return lambda cells: scaled(cells, dimension)
-
-    def sweep(cells: Column, _: Column) -> Column:
-        for dimension in dimensions:
-            cells = _let(cells, along(dimension))
-        return cells
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), cells, sweep)
+    alike, everything = Window.partitionBy(dimension), Window.partitionBy()
+    given = F.lit(0.0)
+    for name, weight in weights.items():
+        given = F.when(F.col(dimension) == name, float(weight)).otherwise(given)
+    # the cells of a category share its weight by their tokens, so that it counts once
+    mine = given * F.col("tokens") / F.sum("tokens").over(alike)
+    others = F.when(F.col(dimension) == OTHER, F.col("tokens")).otherwise(0.0)
+    free = F.lit(0.0)
+    if OTHER not in weights:
+        free = F.sum(others).over(everything) / F.sum("tokens").over(everything)
+    whole = F.col(f"whole_{dimension}")
+    listed = F.when(whole > 0, given / whole).otherwise(0.0) * (1 - F.col(f"free_{dimension}"))
+    unlisted = F.lit(OTHER not in weights) & (F.col(dimension) == OTHER)
+    share = F.when(unlisted, F.col(f"free_{dimension}")).otherwise(listed)
+    return mine, free, share
 
 
 def calibrate(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataFrame:
@@ -141,49 +74,31 @@ def calibrate(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> DataF
 
     Returns the dimensions, tokens, weight (raked over natural tokens) and probability: the weight
     over the largest one, so that the sample is as large as the targets allow. There are at most as
-    many cells as the targets list combinations, so they fit in one row, where the sweeps run.
+    many cells as the targets list combinations, so they stay in one partition, where the windows
+    of the sweeps need no shuffle; every few sweeps the masses are stored.
     """
-    names = list(targets)
-    listed = cells.where("tokens > 0").agg(
-        F.sort_array(
-            F.collect_list(F.struct(*names, F.col("tokens").cast("double").alias("tokens")))
-        ).alias("cells")
-    )
-    listed = listed.withColumn("all_tokens", _sum(F.transform("cells", lambda c: c["tokens"])))
-    with_mass = F.transform(
-        "cells",
-        lambda c: F.struct(
-            *[c[d].alias(d) for d in names],
-            c["tokens"].alias("tokens"),
-            (c["tokens"] / F.col("all_tokens")).alias("mass"),
-        ),
-    )
-    shared = listed.select(
-        with_mass.alias("cells"),
-        "all_tokens",
-        *[_margin_targets(F.col("cells"), d, targets[d]).alias(f"share_{d}") for d in names],
-    )
-    shares = {d: F.col(f"share_{d}") for d in names}
-    raked = shared.select(_rake(F.col("cells"), shares, sweeps).alias("cells"), "all_tokens")
-    ratio = raked.select(
-        F.transform(
-            "cells",
-            lambda c: F.struct(
-                *[c[d].alias(d) for d in names],
-                c["tokens"].alias("tokens"),
-                (c["mass"] * F.col("all_tokens") / c["tokens"]).alias("weight"),
-            ),
-        ).alias("cells")
-    )
-    largest = F.array_max(F.transform("cells", lambda c: c["weight"]))
-    return ratio.select(largest.alias("largest"), F.explode("cells").alias("c")).select(
-        *[F.col(f"c.{d}") for d in names],
-        "c.tokens",
-        "c.weight",
-        F.when(F.col("largest") > 0, F.col("c.weight") / F.col("largest"))
-        .otherwise(0.0)
-        .alias("probability"),
-    )
+    everything = Window.partitionBy()
+    table_ = cells.where("tokens > 0").withColumn("tokens", F.col("tokens").cast("double"))
+    table_ = table_.coalesce(1)
+    for d in targets:
+        mine, free, share = _share(d, targets[d])
+        table_ = table_.withColumns({f"mine_{d}": mine, f"free_{d}": free})
+        table_ = table_.withColumn(f"whole_{d}", F.sum(f"mine_{d}").over(everything))
+        table_ = table_.withColumn(f"share_{d}", share)
+    table_ = table_.withColumn("mass", F.col("tokens") / F.sum("tokens").over(everything))
+    kept = [*targets, "tokens", *[f"share_{d}" for d in targets], "mass"]
+    table_ = settle(table_.select(*kept), "masses").coalesce(1)
+    for done in range(1, sweeps + 1):
+        for d in targets:
+            margin = F.sum("mass").over(Window.partitionBy(d))
+            scaled = F.col("mass") * F.col(f"share_{d}") / margin
+            table_ = table_.withColumn("mass", F.when(margin > 0, scaled).otherwise(0.0))
+        if done % SWEEPS_PER_STEP == 0:
+            table_ = settle(table_, "masses").coalesce(1)
+    weight = F.col("mass") * F.sum("tokens").over(everything) / F.col("tokens")
+    weighed = table_.withColumn("weight", weight)
+    chance = F.col("weight") / F.max("weight").over(everything)
+    return weighed.select(*targets, "tokens", "weight", chance.alias("probability"))
 
 
 def draw(doc_id: Column, seed: int) -> Column:

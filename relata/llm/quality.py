@@ -146,32 +146,31 @@ def _removed(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     )
 
 
-def quality(
+def judge(
     documents: DataFrame,
     least_documents: int = 20,
     share: float = 0.4,
     least_left: float = 0.5,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Counts, verdict and cleaned text of each row of ``documents`` (doc_id, text, source).
+    """Counts and verdict of each row of ``documents`` (doc_id, text, source).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    removed_words, kept, clean_text (the text without its host's frequent lines, its other lines
-    as they were) and the columns named in ``carry``. ``kept`` is false if a rule on the text failed, or if the words left are
-    fewer than ``least_left`` of all.
+    removed_words, kept, and text_key and places for ``clean``. ``kept`` is false if a rule on the
+    text failed, or if the words left without its host's frequent lines are fewer than
+    ``least_left`` of all.
 
     A null or empty text has no words and fails. Rows without a source form one host. A doc_id
     counts once for a line however often it is repeated; rows without one are judged but not
     counted. Repeated rows all stay and get one verdict. Other columns are left out. An empty
     table gives no rows.
     """
-    texts = _prepare(documents, carry)
+    texts = _prepare(documents)
     frequent = settle(frequent_lines(documents, least_documents, share), "frequent-lines")
     removed = _removed(texts, frequent).withColumnsRenamed(
         {"doc_id": "removed_id", "text_key": "removed_key"}
     )
     joined = (
-        _rules(texts.withColumn("full_text", F.col("text")))
+        _rules(texts)
         .join(
             removed,
             F.col("doc_id").eqNullSafe(F.col("removed_id"))
@@ -182,9 +181,6 @@ def quality(
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    lines = F.filter(
-        F.split("full_text", "\n", -1), lambda _, i: ~F.array_contains(F.col("places"), i)
-    )
     return joined.select(
         "doc_id",
         "n_words",
@@ -195,7 +191,34 @@ def quality(
         failed.alias("base_failed"),
         "removed_words",
         (~failed & (left >= least_left * F.col("n_words"))).alias("kept"),
-        F.when(F.col("places").isNull(), F.col("full_text"))
+        "text_key",
+        "places",
+    )
+
+
+def clean(documents: DataFrame, verdicts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``documents`` that ``judge`` keeps, without their host's frequent lines.
+
+    Returns doc_id, clean_text and the columns named in ``carry``. Other lines are as they were.
+    ``verdicts`` should be stored: a filter would else be pushed into the rules, which then build
+    their arrays again for each of their members.
+    """
+    kept = (
+        verdicts.where("kept")
+        .select("doc_id", "text_key", "places")
+        .dropDuplicates(["doc_id", "text_key"])
+        .withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"})
+    )
+    rows = _prepare(documents, carry).join(
+        kept,
+        F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")),
+    )
+    lines = F.filter(
+        F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("places"), i)
+    )
+    return rows.select(
+        "doc_id",
+        F.when(F.col("places").isNull(), F.col("text"))
         .otherwise(F.concat_ws("\n", lines))
         .alias("clean_text"),
         *[F.col(f"carried_{c}").alias(c) for c in carry],
@@ -250,4 +273,4 @@ FROM judged
 
 @query("op4_quality_rules", SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return quality(table(spark, folder, "documents")).drop("clean_text")
+    return judge(table(spark, folder, "documents")).drop("text_key", "places")
