@@ -1,5 +1,15 @@
 """Importing this module registers the queries of all operators."""
 
 import corpus_pipeline  # noqa: F401
-from relata.llm import chat, decontaminate, jaccard, linechunks, mixing, pages, quality, substrings  # noqa: F401
+from relata.llm import (  # noqa: F401
+    chat,
+    decontaminate,
+    jaccard,
+    linechunks,
+    mixing,
+    pages,
+    quality,
+    sanitise,
+    substrings,
+)
 from relata.llm.registry import ORACLES, QUERIES  # noqa: F401
