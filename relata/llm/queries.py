@@ -2,6 +2,7 @@
 
 import corpus_pipeline  # noqa: F401
 from relata.llm import (  # noqa: F401
+    bilinear,
     chat,
     decontaminate,
     jaccard,
