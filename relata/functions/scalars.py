@@ -39,11 +39,14 @@ def shorten(text: Column, limit: int = 15) -> Column:
 
 
 def matches_fully(text: Column, pattern: str) -> Column:
-    """Whether the whole text matches, a case flag in front being allowed."""
+    """Whether the whole text matches, a case flag in front being allowed.
+
+    A dot stands for any character but a line break, and a line break at the end is text like any.
+    """
     flags = ""
     while pattern.startswith("(?i)"):
         flags, pattern = "(?i)", pattern[4:]
-    return text.rlike(f"{flags}^(?:{pattern})$")
+    return text.rlike(rf"{flags}\A(?:{pattern})\z")
 
 
 def key_digest(*keys: Column, seed: str = "") -> Column:

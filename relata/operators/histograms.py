@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import round_half_up
-from relata.operators.nesting import PART_SIZE, bag_text
+from relata.operators.nesting import bag_text
 from relata.operators.numbering import attach
 from relata.session import settle
 
@@ -93,7 +93,7 @@ def with_examples(
 
 
 def as_lines(
-    shares: DataFrame, by: str, bin_: str, text: Column, part_size: int = PART_SIZE
+    shares: DataFrame, by: str, bin_: str, text: Column, part_size: int
 ) -> DataFrame:
     """One readable line per group from its bins, in order."""
-    return bag_text(shares, [by], text, [F.col(bin_)], "  ", "line", part_size)
+    return bag_text(shares, [by], text, [F.col(bin_)], "  ", part_size=part_size, name="line")

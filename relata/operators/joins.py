@@ -139,3 +139,26 @@ def join_tagged(df: DataFrame, line: str = "value") -> DataFrame:
     """Join the two record shapes of one text on their code."""
     shapes = tagged_lines(df, line)
     return shapes["dimension"].join(shapes["fact"], "code").select("code", "name", "person", "status")
+
+
+def left_salted(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16
+) -> DataFrame:
+    """Left outer join in which one key of ``right`` may hold very many rows.
+
+    Adaptive execution does not split the right side of a left outer join. Its rows are dealt out
+    to ``salts`` salts, matched inside, and left rows without any match are added: each left row
+    is sent ``salts`` times, so use it where the left side is the smaller one. Null keys match
+    nothing. Every left row is matched by its own key, so ``left`` may repeat keys.
+    """
+    salted = right.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
+    spread = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = spread.withColumn("__salt", F.col("__salt").cast("bigint"))
+    matched = spread.join(salted, [*keys, "__salt"]).drop("__salt")
+    unmatched = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    others = [c for c in right.columns if c not in keys]
+    empty = unmatched.select(
+        *[F.col(c) for c in matched.columns if c not in others],
+        *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others],
+    )
+    return matched.unionByName(empty)

@@ -7,73 +7,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relata.operators.numbering import attach, renamed_keys, running_totals
-from relata.session import settle
-
-PART_SIZE = 100_000
-
+from relata.operators.numbering import attach, running_totals
 
 def bags(
     df: DataFrame,
     by: Sequence[str],
     members: Sequence[str],
     order: Sequence[str],
+    *,
+    part_size: int,
     bag: str = "bag",
-    part_size: int = PART_SIZE,
     totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with the array of its members: ``by..., part, n_members, bag, totals...``.
+    """Each group as rows ``by..., part, n_members, bag, totals...`` of up to ``part_size`` members.
 
-    Members are structs of the ``members`` columns, sorted by ``order`` and then by themselves. A
-    group larger than ``part_size`` continues in further rows, numbered by ``part``, which put
-    together in that order give the whole group: no row and no task has to hold a group of any
-    size. ``n_members`` is the size of the whole group, ``totals`` are aggregates over it. Wide
-    members call for smaller parts.
+    Members are structs of the ``members`` columns, sorted by ``order`` and then by themselves. The
+    parts of a group, put together in their order, are the whole group; every part but the last is
+    full. ``n_members`` is the size of the whole group, ``totals`` are aggregates over it.
 
-    Group sizes are counted first. Groups within the limit take one hash aggregation. Only the
-    rows of larger groups are sorted into places, over all tasks, with equal rows merged.
+    Groups of every size take the same way: equal rows are counted, sorted into places over all
+    tasks, and gathered by group and part. No row and no task has to hold a whole group, so choose
+    a part size whose members fit into one row. The sorted places are stored while the plan is
+    built, as their numbers must hold in every later stage.
     """
     totals = dict(totals or {})
-    places = [*order, *[m for m in members if m not in order]]
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    large = settle(sizes.filter(F.col("__n") > part_size), "large-groups")
-    if large.isEmpty():
-        return _small_bags(df, by, members, places, bag, totals)
-    small = _matching(df, large.drop("__n"), by, "left_anti")
-    rest = _matching(df, large.drop("__n"), by, "left_semi")
-    parts = _large_bags(rest.select(*by, *places), by, members, places, bag, part_size)
+    # a member that is a key is the same for the whole group
+    places = [p for p in dict.fromkeys([*order, *members]) if p not in by]
+    parts = _parts(df.select(*by, *places), by, members, places, bag, part_size)
     if totals:
-        figures = rest.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+        figures = df.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
         parts = attach(parts, figures, by)
-    return _small_bags(small, by, members, places, bag, totals).unionByName(parts)
+    return parts
 
 
-def _member(record: Column, members: Sequence[str]) -> Column:
-    return F.struct(*[record[m].alias(m) for m in members])
+def _member(record: Column, members: Sequence[str], by: Sequence[str]) -> Column:
+    return F.struct(*[(F.col(m) if m in by else record[m]).alias(m) for m in members])
 
 
-def _small_bags(
-    df: DataFrame,
-    by: Sequence[str],
-    members: Sequence[str],
-    places: Sequence[str],
-    bag: str,
-    totals: Mapping[str, Column],
-) -> DataFrame:
-    listed = df.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(*places))).alias("__list"),
-        *[c.alias(n) for n, c in totals.items()],
-    )
-    return listed.select(
-        *by,
-        F.lit(0).cast("bigint").alias("part"),
-        F.size("__list").cast("bigint").alias("n_members"),
-        F.transform("__list", lambda r: _member(r, members)).alias(bag),
-        *totals,
-    )
-
-
-def _large_bags(
+def _parts(
     rows: DataFrame,
     by: Sequence[str],
     members: Sequence[str],
@@ -104,17 +75,11 @@ def _large_bags(
         )
     )
     repeated = F.flatten(
-        F.transform("__list", lambda r: F.array_repeat(_member(r, members), r["__copies"]))
+        F.transform("__list", lambda r: F.array_repeat(_member(r, members, by), r["__copies"]))
     )
     return listed.select(*by, "part", "n_members", repeated.alias(bag))
 
 
-def _matching(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """Rows whose group is, or is not, among the keys; null groups count as a group."""
-    right, condition, _ = renamed_keys(keys, by)
-    return rows.join(right, condition, how)
-
-
 def flat_text(separator: str, *fields: Column | str) -> Column:
     """Fields as one text, nulls as empty text, so that every field keeps its place."""
     columns = [F.col(f) if isinstance(f, str) else f for f in fields]
@@ -134,8 +99,9 @@ def bag_text(
     text: Column,
     order: Sequence[Column],
     separator: str,
+    *,
+    part_size: int,
     name: str = "members",
-    part_size: int = PART_SIZE,
     totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Each group's texts joined in order, null as empty text, in parts as in :func:`bags`:
@@ -145,7 +111,9 @@ def bag_text(
     """
     places = [f"__o{i}" for i in range(len(order))]
     keyed = df.select("*", *[o.alias(p) for o, p in zip(order, places)], text.alias("__text"))
-    nested = bags(keyed, by, ["__text"], places, "__bag", part_size, totals)
+    nested = bags(
+        keyed, by, ["__text"], places, part_size=part_size, bag="__bag", totals=totals
+    )
     return nested.select(
         *by, "part", "n_members", delimited("__bag", separator, "__text").alias(name), *(totals or {})
     )

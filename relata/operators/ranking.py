@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import key_digest
-from relata.operators.numbering import number_rows
+from relata.operators.numbering import number_copies
 
 
 def top(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
@@ -70,6 +70,9 @@ def holder_of_max(
 
 def shuffle_rows(df: DataFrame, key: Sequence[str], seed: str, name: str = "row_no") -> DataFrame:
     """Rows in an order that depends on the seed and the key alone, numbered from 1."""
+    # rows that share a key are told apart by their columns, and equal rows go as one
     digest = key_digest(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], seed=seed)
     hashed = df.withColumn("__hash", digest)
-    return number_rows(hashed, [F.col("__hash"), *map(F.col, key)], name).drop("__hash")
+    rest = [c for c in df.columns if c not in key]
+    order = [F.col("__hash"), *[F.col(c).asc_nulls_first() for c in [*key, *rest]]]
+    return number_copies(hashed, order, name).drop("__hash")

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from relata.functions.scalars import shorten
 from relata.operators.numbering import running_totals
@@ -26,19 +27,19 @@ def _value_counts(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
     return df.groupBy(*by, value.alias("value")).agg(F.count("*").alias("ct"))
 
 
-def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def _amount(counts: DataFrame) -> Column:
+    """Value times count; whole numbers as decimals, which do not overflow."""
+    whole = isinstance(counts.schema["value"].dataType, IntegralType)
+    return (F.col("value").cast("decimal(38,0)") if whole else F.col("value")) * F.col("ct")
+
+
+def _ranked(
+    counts: DataFrame, by: Sequence[str], amounts: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Distinct values with count and running totals; nulls count nothing in the totals."""
-    known = F.col("value").isNotNull()
-    return running_totals(
-        counts,
-        by,
-        [F.col("value").asc_nulls_first()],
-        {
-            "n": F.when(known, F.col("ct")).otherwise(0),
-            "d": F.when(known, 1).otherwise(0),
-            "s": F.coalesce(F.col("value") * F.col("ct"), F.lit(0)),
-        },
-    )
+    known = F.when(F.col("value").isNotNull(), F.col("ct")).otherwise(0)
+    order = [F.col("value").asc_nulls_first()]
+    return running_totals(counts, by, order, {"n": known, **(amounts or {})})
 
 
 def _quantile(share: float) -> Column:
@@ -52,7 +53,7 @@ def _quantile(share: float) -> Column:
 def quantiles(
     df: DataFrame, value: Column, by: Sequence[str] = (), edges: Mapping[str, float] = EDGES
 ) -> DataFrame:
-    """Exact quantiles as columns."""
+    """Exact quantiles as columns, of any type that has an order."""
     ranked = _ranked(_value_counts(df, by, value), by)
     return ranked.groupBy(*by).agg(*[_quantile(p).alias(name) for name, p in edges.items()])
 
@@ -103,7 +104,12 @@ def _describe(
     n_examples: int,
     population: bool,
 ) -> DataFrame:
-    ranked = _ranked(counts, by)
+    known = F.col("value").isNotNull()
+    ranked = _ranked(
+        counts,
+        by,
+        {"d": F.when(known, 1).otherwise(0), "s": F.coalesce(_amount(counts), F.lit(0))},
+    )
     example = F.when(
         F.col("value").isNotNull() & (F.col("d_before") < n_examples), F.col("value")
     )
@@ -116,7 +122,7 @@ def _describe(
         _total(F.col("ct")).alias("n_recs"),
         _total(F.when(F.col("value").isNull(), F.col("ct"))).alias("n_nulls"),
         F.count("*").alias("cardinality"),
-        F.sum(F.col("value") * F.col("ct")).alias("sum_val"),
+        F.sum(_amount(counts)).alias("sum_val"),
         F.array_join(
             F.transform(F.sort_array(F.collect_list(example)), lambda v: v.cast("string")), "^"
         ).alias("some_vals"),

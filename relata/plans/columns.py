@@ -127,16 +127,11 @@ def _(source):
     "str_report_line",
     """
     SELECT player_id, team_id,
-           coalesce(printf('%4d', year_id), 'null') || chr(9)
-           || rpad(coalesce(name_first, 'null'), CAST(greatest(9, coalesce(length(name_first),
-             4)) AS INTEGER), ' ') || ' '
-           || rpad(coalesce(name_last, 'null'), CAST(greatest(19, coalesce(length(name_last),
-             4)) AS INTEGER), ' ') || chr(9) || 'OBP '
-           || printf('%5.3f', floor(1000 * v + 0.5) / 1000) || ' / '
-           || CASE WHEN year_id >= 1998 THEN '.  ' ELSE 'pre' END || ' '
-           || CASE WHEN PA >= 5 THEN 'sig' ELSE '.  ' END || chr(9)
-           || printf('%012.3e', CASE WHEN v = 0 THEN 0.0 ELSE floor(v * pow(10,
-             3 - e) + 0.5) / pow(10, 3 - e) END)
+           rpad(coalesce(name_last, 'null'), CAST(greatest(20, coalesce(length(name_last),
+             4)) AS INTEGER), ' ') || '|' || coalesce(printf('%6d', year_id), '  null') || '|'
+           || printf('%8.3f', floor(1000 * v + 0.5) / 1000) || '|'
+           || printf('%.2e', CASE WHEN v = 0 THEN 0.0 ELSE floor(v * pow(10,
+             2 - e) + 0.5) / pow(10, 2 - e) END)
            AS line
     FROM (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log10(v)) END AS e
           FROM (SELECT *, CAST(H + BB + HBP AS DOUBLE) / PA AS v FROM seasons WHERE PA > 0))
@@ -144,14 +139,9 @@ def _(source):
     ("seasons",),
 )
 def _(source):
+    # left-aligned, with a width, and one argument written twice
     line = F.format_string(
-        "%4d\t%-9s %-19s\tOBP %5.3f / %-3s %-3s\t%4$012.3e",
-        F.col("year_id"),
-        F.col("name_first"),
-        F.col("name_last"),
-        views.on_base(),
-        F.when(F.col("year_id") >= 1998, ".").otherwise("pre"),
-        F.when(F.col("PA") >= 5, "sig").otherwise("."),
+        "%2$-20s|%1$6d|%3$8.3f|%3$.2e", F.col("year_id"), F.col("name_last"), views.on_base()
     )
     return views.seasons(source).filter("PA > 0").select("player_id", "team_id", line.alias("line"))
 
@@ -305,14 +295,40 @@ def _(source):
     return hash_sample(rows, "player_id")
 
 
-@query("sample_random")
+@query(
+    "sample_random",
+    "SELECT TRUE AS share_is_near, TRUE AS all_from_table, count(*) AS n_rows FROM customer",
+)
 def _(source):
-    return random_sample(views.table(source, "customer"), 0.10, seed=42)
+    """Whether a tenth of the rows was drawn, within six deviations, each from the table."""
+    customers = views.table(source, "customer").select("c_custkey")
+    drawn = random_sample(customers, 0.10, seed=42).select("c_custkey", F.lit(1).alias("drawn"))
+    rows = customers.withColumn("drawn", F.lit(0)).unionByName(drawn).groupBy("c_custkey").agg(
+        F.sum("drawn").alias("times"), F.count_if(F.col("drawn") == 0).alias("there")
+    )
+    n, taken = F.sum("there"), F.sum("times")
+    return rows.agg(
+        (F.abs(taken - 0.10 * n) <= 6 * F.sqrt(0.09 * n) + 1).alias("share_is_near"),
+        F.bool_and(F.col("times") <= F.col("there")).alias("all_from_table"),
+        n.alias("n_rows"),
+    )
 
 
-@query("limit_any")
+@query(
+    "limit_any",
+    "SELECT least(count(*), 25) AS n_rows, TRUE AS all_from_table FROM orders",
+)
 def _(source):
-    return views.table(source, "orders").limit(25)
+    """How many rows a limit gives, and whether the table has them all."""
+    orders = views.table(source, "orders").select("o_orderkey")
+    some = orders.limit(25).withColumn("taken", F.lit(1))
+    rows = orders.withColumn("taken", F.lit(0)).unionByName(some).groupBy("o_orderkey").agg(
+        F.sum("taken").alias("taken"), F.count_if(F.col("taken") == 0).alias("there")
+    )
+    return rows.agg(
+        F.sum("taken").alias("n_rows"),
+        F.bool_and(F.col("taken") <= F.col("there")).alias("all_from_table"),
+    )
 
 
 @query(

@@ -13,6 +13,7 @@ from relata.operators.joins import (
     fanout,
     join_on,
     join_tagged,
+    left_salted,
     pair_counts,
     semi,
 )
@@ -33,7 +34,8 @@ from relata.session import settle
 )
 def _(source):
     fatness = views.people(source).select("player_id", "name_first", "name_last", "height_in", "weight_lb")
-    hitters = views.careers(source).filter("PA > 30").select("player_id", "SLG")
+    # stored, so that both inputs of the join are plain shuffles and a hot key can be split
+    hitters = settle(views.careers(source).filter("PA > 30").select("player_id", "SLG"), "hitters")
     size = F.col("height_in") * F.col("height_in")
     return fatness.join(hitters, "player_id").select(
         "player_id", "name_first", "name_last", "SLG", "height_in", "weight_lb",
@@ -51,8 +53,9 @@ def _(source):
     ("careers", "people"),
 )
 def _(source):
+    # the filter stands for a second, smaller table
     fame = views.people(source).filter("acctbal > 9000").select("player_id", F.col("birth_year").alias("hof_year"))
-    return views.careers(source).select("player_id", "n_seasons").join(fame, "player_id", "left")
+    return left_salted(views.careers(source).select("player_id", "n_seasons"), fame, ["player_id"])
 
 
 _LOCATED = """
@@ -114,7 +117,7 @@ def _(source):
 @query(
     "join_fanout_report",
     """
-    SELECT 'seasons' AS label, count(*) AS total FROM seasons
+    SELECT 'seasons' AS label, CAST(count(*) AS DECIMAL(38,0)) AS total FROM seasons
     UNION ALL SELECT 'all_stars', count(*) FROM all_stars
     UNION ALL SELECT 'both', count(*) FROM seasons JOIN all_stars USING (player_id, year_id)
     """,
@@ -125,7 +128,7 @@ def _(source):
         views.seasons(source), views.all_stars(source), ["player_id", "year_id"],
         ("seasons", "all_stars", "both"),
     )
-    return report.select("label", F.col("total").cast("bigint").alias("total"))
+    return report.select("label", F.col("total").cast("decimal(38,0)").alias("total"))
 
 
 @query(
@@ -159,7 +162,7 @@ def _(source):
 @query(
     "join_self_pairs",
     """
-    SELECT p1.team_id, p1.year_id, count(*) AS n_pairs
+    SELECT p1.team_id, p1.year_id, CAST(count(*) AS DECIMAL(38,0)) AS n_pairs
     FROM seasons p1 JOIN seasons p2 ON p1.team_id = p2.team_id AND p1.year_id = p2.year_id
     WHERE p1.player_id <> p2.player_id GROUP BY p1.team_id, p1.year_id
     """,
@@ -167,7 +170,7 @@ def _(source):
 )
 def _(source):
     counts = pair_counts(views.seasons(source), ["team_id", "year_id"], "player_id")
-    return counts.select("team_id", "year_id", F.col("n_pairs").cast("bigint").alias("n_pairs")).filter(
+    return counts.select("team_id", "year_id", F.col("n_pairs").cast("decimal(38,0)").alias("n_pairs")).filter(
         "n_pairs > 0"
     )
 
@@ -384,9 +387,7 @@ def _(source):
     )
 
 
-@query(
-    "set_union_keyed",
-    """
+_KEYED_SQL = """
     WITH firsts AS (
       SELECT name, geonameid, population FROM (
         SELECT *, row_number() OVER (PARTITION BY name ORDER BY geonameid) AS rn
@@ -395,21 +396,29 @@ def _(source):
       SELECT city, part, n_parks, string_agg(CAST(park_id AS VARCHAR), '|'
         ORDER BY park_id) AS park_ids
       FROM (SELECT *, (row_number() OVER (PARTITION BY city
-        ORDER BY park_id) - 1) // 100000 AS part,
+        ORDER BY park_id) - 1) // 1000 AS part,
                    count(*) OVER (PARTITION BY city) AS n_parks FROM main_parks)
       GROUP BY city, part, n_parks)
     SELECT coalesce(name, city) AS city, geonameid, population, coalesce(part, 0) AS part,
            coalesce(n_parks, 0) AS n_parks, coalesce(park_ids, '') AS park_ids
     FROM firsts FULL OUTER JOIN lists ON name = city
-    """,
-    _SETS,
-)
-def _(source):
+"""
+
+
+def _keyed(source):
+    """Every city of either set with its first tuple on one side and its members on the other."""
     # the first tuple of each key: the city with the smallest id
     first = views.major_cities(source).groupBy(F.col("name").alias("city")).agg(
         F.min("geonameid").alias("geonameid"), F.min_by("population", "geonameid").alias("population")
     )
-    parks = bags(settle(views.main_parks(source), "parks"), ["city"], ["park_id"], ["park_id"], "park_ids")
+    parks = bags(
+        settle(views.main_parks(source), "parks"),
+        ["city"],
+        ["park_id"],
+        ["park_id"],
+        part_size=1000,
+        bag="park_ids",
+    )
     return first.join(parks, "city", "full_outer").select(
         "city",
         "geonameid",
@@ -418,3 +427,35 @@ def _(source):
         F.coalesce("n_members", F.lit(0)).alias("n_parks"),
         F.coalesce(delimited("park_ids", "|", "park_id"), F.lit("")).alias("park_ids"),
     )
+
+
+_IN_BOTH = "geonameid IS NOT NULL AND n_parks > 0"
+
+
+@query("set_union_keyed", _KEYED_SQL, _SETS)
+def _(source):
+    return _keyed(source)
+
+
+@query("set_intersect_keyed", f"SELECT * FROM ({_KEYED_SQL}) WHERE {_IN_BOTH}", _SETS)
+def _(source):
+    return _keyed(source).filter(_IN_BOTH)
+
+
+@query(
+    "set_minus_keyed",
+    f"""
+    SELECT *, 'cities' AS side FROM ({_KEYED_SQL}) WHERE n_parks = 0
+    UNION ALL SELECT *, 'parks' FROM ({_KEYED_SQL}) WHERE geonameid IS NULL
+    """,
+    _SETS,
+)
+def _(source):
+    """Both differences, put under one another, each row with the side that has its key."""
+    side = F.when(F.col("n_parks") == 0, "cities").otherwise("parks")
+    return _keyed(source).filter("n_parks = 0 OR geonameid IS NULL").withColumn("side", side)
+
+
+@query("set_xor_keyed", f"SELECT * FROM ({_KEYED_SQL}) WHERE NOT ({_IN_BOTH})", _SETS)
+def _(source):
+    return _keyed(source).filter(f"NOT ({_IN_BOTH})")

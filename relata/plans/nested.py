@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from relata.functions.dates import date_of, date_of_text
 from relata.functions.scalars import record, substring_range
 from relata.operators.nesting import (
-    PART_SIZE,
     bag_text,
     bags,
     delimited,
@@ -22,6 +21,9 @@ from relata.plans.registry import query
 from relata.session import fresh_path, settle
 from relata.sources.text import read_json, write_json
 
+#: Members of a part in the queries below; small enough for the largest groups to be cut.
+PART_SIZE = 1000
+
 _STAYS = ("park_team_years",)
 
 
@@ -50,7 +52,7 @@ def _listed(text: str, separator: str, order: str, only: str = "") -> str:
 
 
 def _stays(source):
-    """Stays, stored once: a bag is built from them after a look at the group sizes."""
+    """Stays, stored once, as a bag with totals reads them twice."""
     return settle(views.park_team_years(source), "stays")
 
 
@@ -69,7 +71,7 @@ _ROW = ("park_id", "team_id", "year_id", "beg_date", "end_date", "n_games")
     _STAYS,
 )
 def _(source):
-    nested = bags(_stays(source), ["team_id"], _ROW, ["park_id", "year_id"])
+    nested = bags(_stays(source), ["team_id"], _ROW, ["park_id", "year_id"], part_size=PART_SIZE)
     return nested.select("team_id", "part", "n_members", delimited("bag", "|", *_ROW).alias("members"))
 
 
@@ -83,7 +85,7 @@ def _(source):
     _STAYS,
 )
 def _(source):
-    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["park_id", "year_id"])
+    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["park_id", "year_id"], part_size=PART_SIZE)
     return nested.select("team_id", "part", delimited("bag", "|", "park_id", "year_id").alias("pairs"))
 
 
@@ -115,7 +117,7 @@ def _(source):
     _STAYS,
 )
 def _(source):
-    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["year_id", "park_id"])
+    nested = bags(_stays(source), ["team_id"], ["park_id", "year_id"], ["year_id", "park_id"], part_size=PART_SIZE)
     return nested.select(
         "team_id",
         "part",
@@ -127,7 +129,7 @@ def _(source):
 @query("nest_explode", "SELECT team_id, park_id, year_id, n_games FROM park_team_years", _STAYS)
 def _(source):
     fields = ["park_id", "year_id", "n_games"]
-    nested = bags(_stays(source), ["team_id"], fields, ["park_id", "year_id"])
+    nested = bags(_stays(source), ["team_id"], fields, ["park_id", "year_id"], part_size=PART_SIZE)
     return unnest(nested, "bag").select("team_id", *fields)
 
 
@@ -179,7 +181,7 @@ def _(source):
     _STAYS,
 )
 def _(source):
-    nested = bags(_stays(source), ["team_id", "year_id"], ["park_id"], ["park_id"])
+    nested = bags(_stays(source), ["team_id", "year_id"], ["park_id"], ["park_id"], part_size=PART_SIZE)
     return nested.select(
         "team_id",
         "year_id",
@@ -202,7 +204,13 @@ def _(source):
 def _(source):
     pair = F.concat("park_id", F.lit(":"), F.col("n_games").cast("string"))
     return bag_text(
-        _stays(source), ["team_id", "year_id"], pair, [-F.col("n_games"), F.col("park_id")], "|", "pk_ngs"
+        _stays(source),
+        ["team_id", "year_id"],
+        pair,
+        [-F.col("n_games"), F.col("park_id")],
+        "|",
+        part_size=PART_SIZE,
+        name="pk_ngs",
     ).drop("n_members")
 
 
@@ -218,7 +226,9 @@ def _(source):
 )
 def _(source):
     pairs = settle(views.park_team_years(source).select("team_id", "park_id").distinct(), "pairs")
-    return bag_text(pairs, ["team_id"], F.col("park_id"), [F.col("park_id")], "|", "parks").drop("n_members")
+    return bag_text(
+        pairs, ["team_id"], F.col("park_id"), [F.col("park_id")], "|", part_size=PART_SIZE, name="parks"
+    ).drop("n_members")
 
 
 @query(
@@ -237,7 +247,9 @@ def _(source):
     firsts = views.seasons(source).groupBy("player_id", "year_id").agg(F.min("team_id").alias("team_id"))
     yearly = settle(firsts, "yearly")
     step = flat_text("|", "team_id", "year_id")
-    return bag_text(yearly, ["player_id"], step, [F.col("year_id")], "|", "teams").drop("n_members")
+    return bag_text(
+        yearly, ["player_id"], step, [F.col("year_id")], "|", part_size=PART_SIZE, name="teams"
+    ).drop("n_members")
 
 
 @query(
@@ -254,15 +266,20 @@ def _(source):
                                month := CAST(substr(beg_date, 6, 2) AS INTEGER),
                                day := CAST(substr(beg_date, 9,
                                  2) AS INTEGER))) AS VARCHAR) AS debut,
+           CAST(to_json(struct_pack(name := 'lastg', year := CAST(substr(end_date, 1,
+             4) AS INTEGER),
+                               month := CAST(substr(end_date, 6, 2) AS INTEGER),
+                               day := CAST(substr(end_date, 9,
+                                 2) AS INTEGER))) AS VARCHAR) AS lastg,
            CAST(to_json(struct_pack(birth := struct_pack("date" := strftime(try_strptime(CAST(birth_year AS VARCHAR) || '-'
                || CAST(coalesce(birth_month, 1) AS VARCHAR) || '-' || CAST(birth_day AS VARCHAR),
                  '%Y-%m-%d'), '%Y-%m-%d'),
-               city := birth_city, country := birth_country),
+               city := birth_city, state := birth_state, country := birth_country),
              death := struct_pack("date" := strftime(try_strptime(CAST(death_year AS VARCHAR) || '-'
                || CAST(coalesce(death_month, 1) AS VARCHAR) || '-' || CAST(coalesce(death_day,
                  1) AS VARCHAR), '%Y-%m-%d'),
-               '%Y-%m-%d'), city := death_city, country := birth_country))) AS VARCHAR) AS places,
-           CAST(3 AS BIGINT) AS n_occasions
+               '%Y-%m-%d'), city := death_city, state := death_state, country := death_country))) AS VARCHAR) AS places,
+           CAST(4 AS BIGINT) AS n_occasions
     FROM people WHERE beg_date IS NOT NULL AND death_year IS NOT NULL
     """,
     ("people",),
@@ -279,15 +296,24 @@ def _(source):
 
     def place(when: str):
         day = date_of(F.col(f"{when}_year"), F.col(f"{when}_month"), F.col(f"{when}_day"))
-        return record(date=day.cast("string"), city=F.col(f"{when}_city"), country=F.col("birth_country"))
+        return record(
+            date=day.cast("string"), city=F.col(f"{when}_city"),
+            state=F.col(f"{when}_state"), country=F.col(f"{when}_country"),
+        )
+
+    def spelled(name: str, text: str):
+        def digits(start: int, stop: int):
+            return substring_range(F.col(text), start, stop).try_cast("int")
 
-    def digits(start: int, stop: int):
-        return substring_range(F.col("beg_date"), start, stop).try_cast("int")
+        return record(
+            name=F.lit(name), year=digits(0, 4), month=digits(5, 7), day=digits(8, 10)
+        )
 
     occasions = F.array(
         record(name=F.lit("birth"), **parts("birth")),
         record(name=F.lit("death"), **parts("death")),
-        record(name=F.lit("debut"), year=digits(0, 4), month=digits(5, 7), day=digits(8, 10)),
+        spelled("debut", "beg_date"),
+        spelled("lastg", "end_date"),
     )
     built = views.people(source).filter("beg_date IS NOT NULL AND death_year IS NOT NULL").select(
         "player_id", occasions.alias("occasions"), record(birth=place("birth"), death=place("death")).alias("places")
@@ -297,7 +323,7 @@ def _(source):
         "player_id",
         *[
             F.to_json(F.get("occasions", F.lit(i)), whole).alias(name)
-            for i, name in enumerate(["birth", "death", "debut"])
+            for i, name in enumerate(["birth", "death", "debut", "lastg"])
         ],
         F.to_json("places", whole).alias("places"),
         F.size("occasions").cast("bigint").alias("n_occasions"),
@@ -341,7 +367,12 @@ def _(source):
     by = ["team_id", "year_id"]
     members = settle(set_changes(views.park_team_years(source), ["team_id"], "park_id", "year_id"), "members")
     listed = bags(
-        members, by, ["park_id", "in_first", "in_second"], ["park_id"], totals=set_change_totals()
+        members,
+        by,
+        ["park_id", "in_first", "in_second"],
+        ["park_id"],
+        part_size=PART_SIZE,
+        totals=set_change_totals(),
     )
 
     def those(keep):
@@ -385,7 +416,9 @@ def _city_stats(source):
     }
     pair = F.concat("park_id", F.lit(":"), F.col("n_games").cast("string"))
     order = [-F.col("n_games"), F.col("park_id")]
-    return bag_text(stays, by, pair, order, "|", "parks", totals=figures).drop("n_members")
+    return bag_text(
+        stays, by, pair, order, "|", part_size=PART_SIZE, name="parks", totals=figures
+    ).drop("n_members")
 
 
 @query("park_city_stats", _CITY_SQL, ("park_cities",))
@@ -433,7 +466,9 @@ def _(source):
     }
     pair = F.concat("city", F.lit(":"), F.col("n_city_games").cast("string"))
     order = [-F.col("n_city_games"), F.col("city")]
-    report = bag_text(stats, by, pair, order, "|", "cities", totals=totals).select(
+    report = bag_text(
+        stats, by, pair, order, "|", part_size=PART_SIZE, name="cities", totals=totals
+    ).select(
         *by,
         "part",
         F.when(F.col("year_id") >= 1998, "mod").alias("is_modern"),

@@ -151,6 +151,21 @@ def _(source):
     return number_rows(rows, [F.col("player_id"), F.col("year_id"), F.col("team_id")])
 
 
+@query(
+    "rank_any_order",
+    "SELECT count(*) AS n_rows, CAST(count(*) AS BIGINT) AS n_numbers, 1 AS smallest, count(*) AS largest FROM orders",
+)
+def _(source):
+    """Rows numbered in any order: each number from one to the number of rows, once."""
+    numbered = number_rows(views.table(source, "orders").select("o_orderkey"))
+    return numbered.agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("row_no").alias("n_numbers"),
+        F.min("row_no").cast("int").alias("smallest"),
+        F.max("row_no").alias("largest"),
+    )
+
+
 @query(
     "rank_sparse",
     """

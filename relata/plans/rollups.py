@@ -15,17 +15,18 @@ from relata.operators.aggregate import (
     with_share,
 )
 from relata.operators.nesting import flat_text
-from relata.operators.numbering import number_rows
+from relata.operators.numbering import attach, number_rows
 from relata.operators.summaries import (
+    EDGES,
     describe_numeric,
+    describe_numeric_sketched,
     describe_text,
     quantiles,
     quantiles_approx,
 )
 from relata.plans import views
 from relata.plans.registry import query
-from relata.sources.text import spread
-from relata.operators.delays import delay_histogram
+from relata.operators.delays import bad_lines, delay_histogram
 
 
 @query("agg_count", "SELECT project_name, count(*) AS ct FROM pageviews GROUP BY project_name", ("pageviews",))
@@ -250,7 +251,7 @@ def _numeric_sql(relation: str, column: str, by: str = "") -> str:
                  count(*) - count({column}) AS n_nulls,
                  count(DISTINCT {column}) + CASE WHEN count(*) > count({column}) THEN 1
                    ELSE 0 END AS cardinality,
-                 CAST(sum({column}) AS BIGINT) AS sum_val
+                 CAST(sum({column}) AS DECIMAL(38,0)) AS sum_val
           FROM {relation} {group}) s
     """
 
@@ -296,7 +297,7 @@ def _(source):
 )
 def _(source):
     summary = _rounded(describe_text(views.people(source), "birth_city"))
-    lengths = ["minlen", "maxlen", "p01", "p05", "p10", "p50", "p90", "p95", "p99"]
+    lengths = ["minlen", "maxlen", "sumlen", "p01", "p05", "p10", "p50", "p90", "p95", "p99"]
     return summary.withColumns({c: F.col(c).cast("bigint") for c in lengths})
 
 
@@ -311,10 +312,44 @@ def _(source):
     return quantiles(lines, F.col("l_extendedprice"), ["l_returnflag"])
 
 
-@query("sum_quantiles_approx")
+@query(
+    "sum_quantiles_dates",
+    "SELECT o_orderpriority, "
+    + _quantile_sql("CAST(o_orderdate AS DATE)", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    + " FROM orders GROUP BY o_orderpriority",
+)
 def _(source):
-    lines = views.table(source, "lineitem")
-    return quantiles_approx(lines, F.col("l_extendedprice"), ["l_returnflag"])
+    orders = views.table(source, "orders")
+    edges = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    return quantiles(orders, F.col("o_orderdate").cast("date"), ["o_orderpriority"], edges)
+
+
+@query(
+    "sum_quantiles_approx",
+    """
+    SELECT l_returnflag, TRUE AS p01, TRUE AS p05, TRUE AS p50, TRUE AS p95, TRUE AS p99
+    FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def _(source):
+    """Whether the sketched quantiles are within the promised rank error."""
+    accuracy = 1000
+    price = F.col("l_extendedprice")
+    lines = views.table(source, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = quantiles_approx(lines, price, ["l_returnflag"], accuracy=accuracy)
+    both = attach(lines, found, ["l_returnflag"])
+    ranks = both.groupBy("l_returnflag").agg(
+        F.count("l_extendedprice").alias("n"),
+        *[F.count_if(price < F.col(name)).alias(f"below_{name}") for name in EDGES],
+        *[F.count_if(price <= F.col(name)).alias(f"upto_{name}") for name in EDGES],
+    )
+
+    def near(name: str, share: float):
+        error = F.col("n") / accuracy + 1
+        low, high = F.col(f"below_{name}"), F.col(f"upto_{name}")
+        return (low - error <= share * F.col("n")) & (share * F.col("n") <= high + error)
+
+    return ranks.select("l_returnflag", *[near(n, p).alias(n) for n, p in EDGES.items()])
 
 
 @query("hist_plain", "SELECT birth_month AS val, count(*) AS ct FROM people GROUP BY birth_month", ("people",))
@@ -382,17 +417,17 @@ def _(source):
     "hist_filled",
     """
     WITH binned AS (
-      SELECT CAST(1000 * floor(o_totalprice / 1000.0 + 0.5) AS BIGINT) AS bin, count(*) AS n
-      FROM orders WHERE o_totalprice < 50000 OR o_totalprice > 450000 GROUP BY 1)
+      SELECT CAST(10 * floor(o_totalprice / 10.0 + 0.5) AS BIGINT) AS bin, count(*) AS n
+      FROM orders GROUP BY 1)
     SELECT b.bin, coalesce(n, 0) AS total
-    FROM (SELECT 1000 * number AS bin FROM range(0, 10000) t(number)
-          WHERE 1000 * number <= (SELECT max(bin) FROM binned)) b
+    FROM (SELECT 10 * number AS bin FROM range(0, 1000000) t(number)
+          WHERE 10 * number <= (SELECT max(bin) FROM binned)) b
     LEFT JOIN binned ON b.bin = binned.bin
     """,
 )
 def _(source):
-    tails = views.table(source, "orders").filter("o_totalprice < 50000 OR o_totalprice > 450000")
-    return hist.fill_gaps(tails, hist.round_bin(F.col("o_totalprice"), 1000), 1000)
+    orders = views.table(source, "orders")
+    return hist.fill_gaps(orders, hist.round_bin(F.col("o_totalprice"), 10), 10)
 
 
 @query(
@@ -440,8 +475,8 @@ def _(source):
     "hist_in_group_text",
     f"""
     SELECT year_bin, part, string_agg(txt, '  ' ORDER BY H_bin) AS line FROM (
-      SELECT year_bin, H_bin, printf('%3d: %4.0f', H_bin, floor(100 * freq + 0.5)) AS txt,
-             (row_number() OVER (PARTITION BY year_bin ORDER BY H_bin) - 1) // 100000 AS part
+      SELECT year_bin, H_bin, printf('%d=%.0f%%', H_bin, floor(100 * freq + 0.5)) AS txt,
+             (row_number() OVER (PARTITION BY year_bin ORDER BY H_bin) - 1) // 1000 AS part
       FROM ({_IN_GROUP}) WHERE H_bin >= 3)
     GROUP BY year_bin, part
     """,
@@ -450,8 +485,8 @@ def _(source):
 def _(source):
     visible = _shares(source).filter("H_bin >= 3")
     percent = F.floor(100 * F.col("freq") + 0.5).cast("double")
-    text = F.format_string("%1$3d: %3$4.0f", F.col("H_bin"), F.col("ct"), percent)
-    return hist.as_lines(visible, "year_bin", "H_bin", text).drop("n_members")
+    text = F.format_string("%d=%.0f%%", F.col("H_bin"), percent)
+    return hist.as_lines(visible, "year_bin", "H_bin", text, 1000).drop("n_members")
 
 
 @query(
@@ -464,12 +499,66 @@ def _(source):
     """,
 )
 def _(source):
+    return delay_histogram(_reports(source))
+
+
+@query(
+    "mr_bad_lines",
+    r"""
+    SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END
+      || chr(9) || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') || chr(9) || l_returnflag AS value
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE o_orderkey % 10 = 0
+    """,
+)
+def _(source):
+    reports = _reports(source, F.when(F.col("o_orderkey") % 10 == 0, "unknown"))
+    return bad_lines(reports)
+
+
+@query(
+    "sum_sketched",
+    """
+    SELECT lang, count(*) AS n_recs, count(*) - count(n_chars) AS n_nulls,
+      CAST(min(n_chars) AS BIGINT) AS min_val, CAST(max(n_chars) AS BIGINT) AS max_val,
+      CAST(sum(n_chars) AS BIGINT) AS sum_val, round(avg(n_chars), 6) AS avg_val,
+      TRUE AS close_cardinality, TRUE AS close_median
+    FROM documents GROUP BY lang
+    """,
+)
+def _(source):
+    """The exact figures as they are, of the sketched ones whether they are near."""
+    documents = views.table(source, "documents").select("lang", "n_chars")
+    found = describe_numeric_sketched(documents, F.col("n_chars"), ["lang"], accuracy=1000)
+    exact = documents.groupBy("lang").agg(
+        (F.count_distinct("n_chars") + (F.count_if(F.col("n_chars").isNull()) > 0).cast("int"))
+        .alias("exact")
+    )
+    below = attach(documents, found.select("lang", "p50"), ["lang"]).groupBy("lang").agg(
+        (F.count_if(F.col("n_chars") <= F.col("p50")) / F.count("n_chars")).alias("share")
+    )
+    both = attach(attach(found, exact, ["lang"]), below, ["lang"])
+    return both.select(
+        "lang",
+        "n_recs",
+        "n_nulls",
+        "min_val",
+        "max_val",
+        "sum_val",
+        F.round("avg_val", 6).alias("avg_val"),
+        (F.abs(F.col("cardinality") - F.col("exact")) <= 0.2 * F.col("exact")).alias("close_cardinality"),
+        (F.abs(F.col("share") - 0.5) <= 0.05).alias("close_median"),
+    )
+
+
+def _reports(source, begun=None):
+    """Lines of order date, ship date and flag; ``begun`` takes the place of the date it is known for."""
     orders = views.table(source, "orders").select("o_orderkey", "o_orderdate")
-    lines = spread(views.table(source, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag"))
+    lines = views.table(source, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag")
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    reports = orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
-        flat_text(
-            "\t", F.date_format("o_orderdate", iso), F.date_format("l_shipdate", iso), "l_returnflag"
-        ).alias("value")
+    first = F.date_format("o_orderdate", iso)
+    if begun is not None:
+        first = F.coalesce(begun, first)
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(
+        flat_text("\t", first, F.date_format("l_shipdate", iso), "l_returnflag").alias("value")
     )
-    return delay_histogram(reports)

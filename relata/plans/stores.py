@@ -40,7 +40,7 @@ def _(source):
 
 @query("src_bz2", "SELECT * FROM games", ("games",))
 def _(source):
-    rows = views.games(source, costly=True)
+    rows = views.games(source)
     path = fresh_path(source[0], "games")
     text.write_separated(rows, path, compression="bzip2")
     return text.read_separated(source[0], path, rows.schema)
@@ -83,7 +83,7 @@ def _(source):
 @query("sink_nested_roundtrip", "SELECT team_id, park_id, year_id FROM park_team_years", ("park_team_years",))
 def _(source):
     stays = settle(views.park_team_years(source).withColumn("year", F.col("year_id").cast("bigint")), "stays")
-    nested = bags(stays, ["team_id"], ["year", "park_id"], ["year", "park_id"], "park_years")
+    nested = bags(stays, ["team_id"], ["year", "park_id"], ["year", "park_id"], part_size=1000, bag="park_years")
     path = fresh_path(source[0], "bag-of-park-years")
     text.write_table(nested, path)
     # the years come back as a smaller type than they were written in

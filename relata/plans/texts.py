@@ -8,7 +8,6 @@ from relata.functions.words import pig_latin, tokens
 from relata.operators.aggregate import count_by
 from relata.plans import views
 from relata.plans.registry import query
-from relata.sources.text import spread
 
 
 @query(
@@ -20,7 +19,7 @@ from relata.sources.text import spread
     """,
 )
 def _(source):
-    texts = spread(views.table(source, "documents").select("text"))
+    texts = views.table(source, "documents").select("text")
     words = texts.select(F.explode(tokens(F.col("text"))).alias("word"))
     return count_by(words, "word")
 
@@ -41,7 +40,7 @@ def _(source):
     """,
 )
 def _(source):
-    texts = spread(views.table(source, "documents").select("doc_id", "text"))
+    texts = views.table(source, "documents").select("doc_id", "text")
     lines = texts.select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )

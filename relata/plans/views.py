@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio, substring_range
-from relata.sources.text import spread
 
 Source = tuple[SparkSession, str]
 
@@ -56,9 +55,8 @@ def seasons(source: Source) -> DataFrame:
     )
     stats = ["PA", "AB", "HBP", "SH", "BB", "H", "h1B", "h2B", "h3B", "HR", "R", "RBI"]
     joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
-    # the league is the largest of the status letters F, O, P; as a number it hashes faster
     totals = joined.groupBy("player_id", "year_id", "team_id").agg(
-        F.max(F.ascii("lg_id")).alias("lg"),
+        F.max("lg_id").alias("lg_id"),
         F.count("*").alias("G"),
         *[F.sum(s).alias(s) for s in stats],
     )
@@ -68,7 +66,7 @@ def seasons(source: Source) -> DataFrame:
         F.concat(F.lit("Customer#"), F.col("player_id").cast("string")).alias("name_last"),
         "year_id",
         "team_id",
-        F.chr("lg").alias("lg_id"),
+        "lg_id",
         _int(18 + F.col("player_id") % 15 + (F.col("year_id") - 1995)).alias("age"),
         "G",
         *stats,
@@ -149,6 +147,8 @@ def people(source: Source) -> DataFrame:
         F.when(key % 8 == 0, _int(1 + key % 12)).alias("death_month"),
         F.when(key % 8 == 0, _int(1 + key % 30)).alias("death_day"),
         F.when(key % 4 == 0, F.concat(F.lit("CITY_"), (key % 10).cast("string"))).alias("death_city"),
+        F.when(key % 4 == 0, F.concat(F.lit("S"), (key % 5).cast("string"))).alias("death_state"),
+        F.when(key % 4 == 0, F.concat(F.lit("NATION_"), (key % 25).cast("string"))).alias("death_country"),
         F.col("c_mktsegment").alias("name_first"),
         F.col("c_name").alias("name_last"),
         _int(60 + key % 20).alias("height_in"),
@@ -207,16 +207,11 @@ def park_cities(source: Source) -> DataFrame:
     return park_team_years(source).withColumn("city", substring_range(F.col("park_id"), 0, 10))
 
 
-def games(source: Source, costly: bool = False) -> DataFrame:
-    """A line of an order as a game: the supplier's nation is at home to the customer's.
-
-    With ``costly`` work to follow on each row, lines of few files are dealt out to all cores.
-    """
+def games(source: Source) -> DataFrame:
+    """A line of an order as a game: the supplier's nation is at home to the customer's."""
     line = table(source, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate"
     )
-    if costly:
-        line = spread(line)
     order = table(source, "orders").select("o_orderkey", "o_custkey")
     customer = table(source, "customer").select("c_custkey", "c_nationkey")
     supplier = table(source, "supplier").select("s_suppkey", "s_nationkey")
@@ -319,7 +314,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT player_id, birth_year, birth_month, birth_day, birth_city, birth_state,
-               birth_country, death_year, death_month, death_day, death_city, name_first,
+               birth_country, death_year, death_month, death_day, death_city, death_state,
+               death_country, name_first,
                name_last, height_in, weight_lb,
                CASE WHEN player_id % 11 <> 0 THEN CAST(birth_year + 20 AS VARCHAR)
                  || tail END AS beg_date,
@@ -345,6 +341,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                         THEN CAST(1 + c_custkey % 30 AS INTEGER) END AS death_day,
                    CASE WHEN c_custkey % 4 = 0
                         THEN 'CITY_' || CAST(c_custkey % 10 AS VARCHAR) END AS death_city,
+                   CASE WHEN c_custkey % 4 = 0
+                        THEN 'S' || CAST(c_custkey % 5 AS VARCHAR) END AS death_state,
+                   CASE WHEN c_custkey % 4 = 0
+                        THEN 'NATION_' || CAST(c_custkey % 25 AS VARCHAR) END AS death_country,
                    c_mktsegment AS name_first, c_name AS name_last,
                    CAST(60 + c_custkey % 20 AS INTEGER) AS height_in,
                    CAST(nullif(c_custkey % 200, 0) AS INTEGER) AS weight_lb,

@@ -112,15 +112,3 @@ def through_store(df: DataFrame, label: str) -> DataFrame:
     write_table(df, path)
     return read_table(df.sparkSession, path, stored=df.schema)
 
-
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the scan came in fewer pieces than there are cores.
-
-    A gzip file is one piece, and a file of one row group has its rows in one of its pieces.
-    Ahead of costly work per row the shuffle of such small inputs pays off; large inputs come in
-    many pieces and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

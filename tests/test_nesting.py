@@ -64,9 +64,23 @@ def test_totals_cover_the_whole_group(spark, size):
         assert row.top == max(o for _, o, _ in group if o is not None)
 
 
+def test_small_and_large_groups_take_the_same_way(spark):
+    df = spark.range(300_003).select(
+        F.when(F.col("id") < 3, "few").otherwise("many").alias("g"), F.col("id").alias("m")
+    )
+    nested = bags(df, ["g"], ["m"], ["m"], part_size=50_000)
+    got = {(r.g, r.part): tuple(r)[2:] for r in nested.select(
+        "g", "part", "n_members", F.size("bag"), F.col("bag")[0].m, F.element_at("bag", -1).m
+    ).collect()}
+    assert got.pop(("few", 0)) == (3, 3, 0, 2)
+    assert got == {
+        ("many", k): (300_000, 50_000, 3 + 50_000 * k, 50_002 + 50_000 * k) for k in range(6)
+    }
+
+
 def test_schema_of_a_bag(spark):
     df = spark.createDataFrame([("t", "p", 1)], "team_id string, park_id string, year_id bigint")
-    nested = bags(df, ["team_id"], ["park_id", "year_id"], ["year_id"])
+    nested = bags(df, ["team_id"], ["park_id", "year_id"], ["year_id"], part_size=10)
     assert nested.schema.simpleString() == (
         "struct<team_id:string,part:bigint,n_members:bigint,bag:array<struct<park_id:string,year_id:bigint>>>"
     )
@@ -77,9 +91,9 @@ def test_text_keeps_the_given_order(spark):
         [("t", "A", 3), ("t", "B", 9), ("t", "C", 3), ("u", "D", 1)], "team string, park string, n int"
     )
     pair = F.concat("park", F.lit(":"), F.col("n").cast("string"))
-    got = bag_text(df, ["team"], pair, [-F.col("n"), F.col("park")], "|", "txt")
+    got = bag_text(df, ["team"], pair, [-F.col("n"), F.col("park")], "|", part_size=10, name="txt")
     assert rows(got.select("team", "txt")) == [("t", "B:9|A:3|C:3"), ("u", "D:1")]
-    cut = bag_text(df, ["team"], pair, [-F.col("n"), F.col("park")], "|", "txt", part_size=2)
+    cut = bag_text(df, ["team"], pair, [-F.col("n"), F.col("park")], "|", part_size=2, name="txt")
     assert rows(cut.filter("team = 't'").select("part", "txt")) == [(0, "B:9|A:3"), (1, "C:3")]
 
 
@@ -91,7 +105,7 @@ def test_sequence_of_one_team_per_year(spark):
     ]
     df = spark.createDataFrame(seasons, "player string, team string, year int")
     first = df.groupBy("player", "year").agg(F.min("team").alias("team"))
-    got = bag_text(first, ["player"], F.concat_ws("|", "team", "year"), [F.col("year")], "|", "seq")
+    got = bag_text(first, ["player"], F.concat_ws("|", "team", "year"), [F.col("year")], "|", part_size=10, name="seq")
     assert rows(got.select("player", "seq")) == [
         ("zupcibo01", "BOS|1991|BOS|1992|BOS|1993|CHA|1994"),
         ("zuverge01", "DET|1954|BAL|1955|BAL|1956"),

@@ -66,11 +66,14 @@ def test_column_ranges(spark):
 def test_pattern_has_to_match_the_whole_text(spark):
     names = ["Russ", "Russell", "phillip", "Rus", "Cal Ripken", "joe", "O'Dea", None]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in rows(where_matches(df, "n", "(?i).*(russ|russell|flip|phil+ip).*"))] == [
-        "Russ", "Russell", "phillip",
+    assert [r[0] for r in rows(where_matches(df, "n", "(?i)(rus+(el+)?|ph.*p)"))] == [
+        "Rus", "Russ", "Russell", "phillip",
     ]
     assert [r[0] for r in rows(where_matches(df, "n", "russ|Rus"))] == ["Rus"]
-    assert [r[0] for r in rows(where_matches(df, "n", r"^([^A-Z]|.*[^\w\s]).*"))] == ["O'Dea", "joe", "phillip"]
+    assert [r[0] for r in rows(where_matches(df, "n", r"[a-z]+|.+'.+"))] == ["O'Dea", "joe", "phillip"]
+    lines = spark.createDataFrame([("abc",), ("abc\n",), ("a\nc",)], "n string")
+    assert [r[0] for r in rows(where_matches(lines, "n", "a.c"))] == ["abc"]
+    assert [r[0] for r in rows(where_matches(lines, "n", "abc\\n"))] == ["abc\n"]
 
 
 def test_samples_are_reproducible_parts_of_the_table(spark):

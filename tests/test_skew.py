@@ -7,8 +7,10 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-from relata.operators.joins import anti, join_on, join_tagged, semi
+from relata.operators.joins import anti, join_on, join_tagged, left_salted, semi
 from relata.operators.numbering import attach, rank_rows
+from relata.operators.ranking import shuffle_rows
+from tests.conftest import rows
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -67,3 +69,21 @@ def test_hot_key_is_split(spark, hot, build):
         plan = df._jdf.queryExecution().executedPlan().toString()
     assert "skewed" in plan and "skew=true" in plan
     assert n == build(spark, hot).count()
+
+
+def test_a_left_join_deals_out_the_hot_side(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, l string")
+    right = spark.range(3000).select(F.lit(1).alias("k"), F.col("id").alias("r"))
+    joined = left_salted(left, right, ["k"])
+    assert joined.columns == ["k", "l", "r"]
+    assert rows(joined) == rows(left.join(right, "k", "left"))
+    assert rows(left_salted(left, right.limit(0), ["k"])) == rows(left.join(right.limit(0), "k", "left"))
+
+
+def test_hot_keys_in_a_shuffle_spread(spark):
+    hot = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    done = shuffle_rows(hot, ["k"], "seed")
+    assert sorted(r.row_no for r in done.select("row_no").collect()) == list(range(1, 6001))
+    place = {r.k: r.row_no for r in done.filter("k <> 0").collect()}
+    again = {r.k: r.row_no for r in shuffle_rows(hot.repartition(5), ["k"], "seed").filter("k <> 0").collect()}
+    assert place == again

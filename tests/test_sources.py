@@ -98,13 +98,6 @@ def test_every_declared_schema_parses():
     assert schema("bat_seasons")["HR"].dataType.simpleString() == "int"
 
 
-def test_few_pieces_are_spread_and_many_are_left(spark):
-    few = text.spread(spark.range(0, 100, 1, 1))
-    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 32)
-    assert text.spread(many) is many
-
-
 def test_stored_steps_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_folder(spark) == folder

@@ -162,7 +162,7 @@ def test_shares_of_all_and_of_each_group(spark):
 def test_readable_line_per_group(spark):
     df = spark.createDataFrame([("a", 10, 0.25), ("a", 5, 0.75), ("b", 1, 1.0)], "g string, bin int, f double")
     text = F.format_string("%3d: %4.0f", F.col("bin"), 100 * F.col("f"))
-    got = hist.as_lines(df, "g", "bin", text)
+    got = hist.as_lines(df, "g", "bin", text, 100)
     assert rows(got.select("g", "line")) == [("a", "  5:   75   10:   25"), ("b", "  1:  100")]
 
 
@@ -191,3 +191,18 @@ def test_names_that_occur_once(spark):
     df = spark.createDataFrame(people, "name_first string, name_last string")
     got = first_of_unique(df, F.col("name_first"), "first", ["name_last"])
     assert rows(got) == [("Kristopher", "Negron"), ("Phenomenal", "Smith")]
+
+
+def test_large_numbers_dates_and_texts(spark):
+    big = 9_000_000_000_000_000_000
+    df = spark.createDataFrame(
+        [(big, "2001-02-03", "b"), (big, "2001-02-04", "a"), (big - 1, None, "c")],
+        "n bigint, d string, t string",
+    ).withColumn("d", F.col("d").cast("date"))
+    edges = {"low": 0.01, "half": 0.5, "high": 0.99}
+    assert tuple(quantiles(df, F.col("n"), (), edges).first()) == (big - 1, big, big)
+    assert [str(v) for v in quantiles(df, F.col("d"), (), edges).first()] == [
+        "2001-02-03", "2001-02-03", "2001-02-04",
+    ]
+    assert tuple(quantiles(df, F.col("t"), (), edges).first()) == ("a", "b", "c")
+    assert describe_numeric(df, F.col("n")).first().sum_val == 3 * big - 1
