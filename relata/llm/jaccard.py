@@ -9,7 +9,7 @@ two in one bucket, and only pairs of frequent shingles of one bucket are indexed
 
 Groups that share an index entry are not expanded into pairs. Each is compared with a pivot; then
 pairs that are not connected yet are compared, in small groups all of them, in large ones with
-twice as many pivots in every round, until each group is connected or compared throughout.
+four times as many pivots in every round, until each group is connected or compared throughout.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ PERCENT = 75  # least similarity
 COUNTERS = 1 << 20  # of the sketch that tells frequent shingles from rare ones
 BLOCK = 1 << 12  # counters of one stored row
 FREQUENT = 64  # a counter above twice the mean and this much is that of a frequent shingle
-SMALL = 32  # members of a group whose pairs are compared at once
+SMALL = 128  # members of a group whose pairs are compared at once
 
 U = np.uint64
 
@@ -243,18 +243,20 @@ def _with_both(pairs: DataFrame, facts: DataFrame, names: list[str]) -> DataFram
     return joined.select("a", "b", *[f"{side}_{c}" for c in names for side in "ab"])
 
 
-def _links(pairs: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of ``pairs`` that link."""
+def _links(pairs: DataFrame, index: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of ``pairs`` that link. ``first`` tells which of ``texts`` holds a set."""
     near = settle(
         map_batches(
             _with_both(pairs.distinct(), index, ["n", "bits"]), _near, "a long, b long"
         ),
         "near",
     )
-    involved = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # the stored numbers of few documents reach the texts by broadcast, without a shuffle of these
+    involved = settle(first.join(ends, "key").select("doc_id", "key"), "involved")
     sets = settle(
         map_batches(
-            texts.join(involved, "key").select("text", "key"),
+            texts.join(involved, "doc_id").select("text", "key"),
             _set_rows,
             "key long, shingles binary",
         ),
@@ -268,7 +270,7 @@ def _fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def _all_links(index: DataFrame, texts: DataFrame) -> DataFrame:
+def _all_links(index: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between keys, enough to connect all that are connected."""
     entries = index.select(F.explode("entries").alias("entry"), "key", "n")
     groups = settle(
@@ -281,10 +283,10 @@ def _all_links(index: DataFrame, texts: DataFrame) -> DataFrame:
     members = settle(
         entries.join(groups.hint("shuffle_hash"), "entry").where("key <> pivot.key"), "members"
     )
-    first = members.where(_fits("n", "pivot.n")).select(
+    begun = members.where(_fits("n", "pivot.n")).select(
         F.col("pivot.key").alias("a"), F.col("key").alias("b")
     )
-    links = _links(first, index, texts)
+    links = _links(begun, index, first, texts)
     members = members.select("entry", "key", "n")
     pivots = SMALL
     while True:
@@ -319,12 +321,12 @@ def _all_links(index: DataFrame, texts: DataFrame) -> DataFrame:
             .where(f"label <> p_label AND {_fits('n', 'p_n')}")
             .select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b"))
         )
-        links = settle(links.unionByName(_links(pairs, index, texts)), "all-links")
+        links = settle(links.unionByName(_links(pairs, index, first, texts)), "all-links")
         done = chosen.select("entry", F.col("p_key").alias("key"))
         members = settle(
             members.select("entry", "key", "n").join(done, ["entry", "key"], "left_anti"), "members"
         )
-        pivots *= 2
+        pivots *= 4
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -355,7 +357,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         ),
         "index",
     )
-    labels = settle(components(_all_links(index, chosen)), "labels")
+    labels = settle(components(_all_links(index, first, texts)), "labels")
     smallest = (
         first.join(labels, first.key == labels.node)
         .select(F.col("key"), "label", F.col("doc_id").alias("first_id"))

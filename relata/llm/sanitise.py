@@ -92,7 +92,8 @@ def _span(rank: int, kind: str):
         F.lit(rank).alias("rank"),
         match["end"].alias("end"),
         F.lit(kind).alias("kind"),
-        match["value"].alias("value"),
+        # of the text itself, as the pattern may have seen a joint
+        F.substring("text", match["start"] + 1, match["end"] - match["start"]).alias("value"),
     )
 
 
