@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+import relata
 from relata import session
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as they may not have it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(relata.__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="relata-code-")) / "relata.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for path in sorted(root.rglob("*.py")):
+            packed.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_all(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df`` through ``run``, which gets all Arrow batches of a task."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(
     df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -22,7 +52,7 @@ def map_batches(
             if batch.num_rows:
                 yield from step(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_all(df, run, schema)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

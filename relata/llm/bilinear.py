@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import map_batches, settle
+from relata.llm.arrow import map_all, map_batches, settle
 from relata.llm.registry import query, table
 from relata.llm.wordarrays import Words, slices
 
@@ -269,8 +269,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> Parameters:
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vocabulary, parameters.flat()))
         mine = texts.where(F.col("round") == number).select("text")
-        sent = mine.mapInArrow(_train(shared, number), schema)
-        rows = sent.repartition("block").mapInArrow(_add_up, schema).collect()
+        sent = map_all(mine, _train(shared, number), schema)
+        rows = map_all(sent.repartition("block"), _add_up, schema).collect()
         if rows:
             rows.sort(key=lambda r: r.block)
             mixed = np.concatenate([np.frombuffer(r.sums) / r.weight for r in rows])
@@ -397,7 +397,8 @@ def score_documents(documents: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((vocabulary, parameters.flat()))
     keyed = texts.select("doc_id", "text_key", "text")
     scored = settle(
-        keyed.mapInArrow(
+        map_all(
+            keyed,
             _score(shared),
             "doc_id long, text_key long, n_tokens long, n_known long, base double, score double",
         ),

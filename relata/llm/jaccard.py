@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import map_batches, settle
+from relata.llm.arrow import map_all, map_batches, settle
 from relata.llm.components import components
 from relata.llm.registry import query, table
 from relata.llm.wordarrays import Words, mix, slices
@@ -112,7 +112,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequent(described: DataFrame) -> np.ndarray:
     """A flag per counter: the driver gets the ``COUNTERS`` sums, whatever the input."""
     blocks = described.where("block IS NOT NULL").select("block", "counts")
-    summed = blocks.repartition("block").mapInArrow(_add_up, "block int, counts binary")
+    summed = map_all(blocks.repartition("block"), _add_up, "block int, counts binary")
     sketch = np.zeros(COUNTERS, dtype=np.int64)
     for row in summed.collect():
         sketch[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.int64)
@@ -343,7 +343,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     schema = "block int, doc_id long, n long, key long, counts binary"
-    described = settle(texts.mapInArrow(_describe, schema), "described")
+    described = settle(map_all(texts, _describe, schema), "described")
     sets = described.where("block IS NULL").select("doc_id", "n", "key")
     real = sets.where("doc_id IS NOT NULL AND n > 0")
     first = settle(
