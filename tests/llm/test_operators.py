@@ -122,7 +122,8 @@ def test_hashes_tell_words_apart():
 
 
 def test_items_are_found_in_passages(spark, documents, texts):
-    items = [(1, " ".join(split_words(texts[5])[2:38])), (2, " ".join(f"q{i}" for i in range(20)))]
+    own = next(i for i in texts if i % 3 and len(split_words(texts[i])) > 60)
+    items = [(1, " ".join(split_words(texts[own])[2:38])), (2, " ".join(f"q{i}" for i in range(20)))]
     items = decontaminate.question_and_answer(
         spark.createDataFrame([*items, (3, texts[7] + ". The answer"), (4, None), (None, "x y")],
                               "item_id long, text string"))
@@ -133,10 +134,10 @@ def test_items_are_found_in_passages(spark, documents, texts):
     )
     found = decontaminate.contaminated(hidden, items).collect()
     pairs = {(r.doc_id, r.item_id) for r in found}
-    assert (5, 1) in pairs and (11, 2) in pairs
+    assert (own, 1) in pairs and (11, 2) in pairs
     for doc_id, item_id in pairs:
         if item_id == 1:
-            assert len(set(split_words(texts[doc_id])) & set(split_words(texts[5]))) > 15
+            assert len(set(split_words(texts[doc_id])) & set(split_words(texts[own]))) > 15
     assert {d for d, i in pairs if i == 2} == {11}
     assert all(r.score >= decontaminate.SHARE for r in found)
 
