@@ -456,6 +456,51 @@ def test_repeated_chunks_go(documents, texts):
     assert got[61].clean_text != texts[61] and got[3].n == 7
 
 
+def brute_runs(texts):
+    """Of each text the lines in runs of two or more that stand earlier, by comparing all pairs."""
+    split = {i: (t or "").split("\n") for i, t in texts.items()}
+    gone = {i: set() for i in texts}
+    for i, lines in split.items():
+        for j, others in split.items():
+            if j > i:
+                continue
+            for a in range(len(lines)):
+                for b in range(len(others) if j < i else a):
+                    size = 0
+                    while (
+                        a + size < len(lines)
+                        and b + size < len(others)
+                        and (j < i or b + size < a)
+                        and lines[a + size] == others[b + size]
+                    ):
+                        size += 1
+                    words = [k for k in range(size) if lines[a + k].strip(" \t\n\x0b\x0c\r")]
+                    if len(words) > 1:
+                        gone[i] |= set(range(a + words[0], a + words[-1] + 1))
+        for k in range(1, len(lines)):
+            if k - 1 in gone[i] and not lines[k].strip(" \t\n\x0b\x0c\r"):
+                gone[i].add(k)
+    return {i: "\n".join(t for k, t in enumerate(lines) if k not in gone[i]) for i, lines in split.items()}
+
+
+def test_runs_inside_foreign_lines_go(spark, texts):
+    draw = random.Random(12)
+    shared = [[f"shared {r} {k}" for k in range(draw.choice([2, 3, 5]))] for r in range(8)]
+    mixed = dict(texts)
+    for i in range(100, 180):
+        lines = [f"own {i} {k}" for k in range(draw.randrange(3, 9))]
+        run = draw.choice(shared)
+        run = run if i % 2 else [x for line in run for x in (line, "")]
+        at = draw.randrange(len(lines))
+        mixed[i] = "\n".join(lines[:at] + run + lines[at:])
+    mixed |= {190: "a\na\na", 191: "b\nb\nb\nb\nb", 192: "c\nd\nc\nd\n\n", 193: "\nc\nd\n"}
+    df = spark.createDataFrame(list(mixed.items()), "doc_id long, text string").repartition(3)
+    got = {i: r.clean_text for i, r in by_id(linechunks.remove_runs(df)).items()}
+    assert got == brute_runs(mixed)
+    assert all("own" in got[i] for i in range(100, 180)) and got[193] == ""
+    assert sum("shared" in got[i] for i in range(100, 180)) <= 2 * len(shared)
+
+
 def test_chunks_of_odd_rows(odd, nothing):
     got = linechunks.remove_chunks(odd).collect()
     assert [r.n_removed_lines for r in got] == [0] * 6
