@@ -50,3 +50,17 @@ def test_stages_take_an_empty_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert rows(stage(spark, docs, data)) == []
+
+
+@pytest.mark.parametrize("every", [20, 8])
+def test_boilerplate_in_a_part_of_a_hot_source_goes(spark, every):
+    names = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    body = [" ".join(f"w{names[(i * 7 + k) % 676]}" for k in range(60)) + f" {names[i]}" for i in range(600)]
+    line = "Read more on our site"
+    data = [(i, f"{line}\n{b}" if i % every == 0 else b, "en", "hot", 1) for i, b in enumerate(body)]
+    data += [(1000 + i, f"{line}\n{body[i]}", "en", "other", 1) for i in range(3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(data, schema), "").collect()
+    assert {r.doc_id for r in got} == {d[0] for d in data}
+    assert all(r.text == body[r.doc_id] for r in got if r.doc_id < 1000)
+    assert all(r.text.startswith(line) for r in got if r.doc_id >= 1000)
