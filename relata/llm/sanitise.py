@@ -1,9 +1,10 @@
 """Operator 5: personal data, by patterns and by what terms disclose. Built-in functions only.
 
-Patterns find the protected values. The words around each are its context, and over the whole
-corpus the co-occurrence of value and word tells how much the word gives away: a word discloses a
-value if its pointwise mutual information with it comes near the value's whole information. Words
-that disclose a value are generalised, and those that occur with nothing else are removed.
+Patterns find the protected values. The text of a document that holds one is its context, and over
+the whole corpus the co-occurrence of value and term tells how much the term gives away: a term
+discloses a value if its pointwise mutual information with it comes near the value's whole
+information. In all of a document that holds the value, terms that disclose it are generalised, and
+those that occur with nothing else are removed.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 from relata.llm.arrow import settle
 from relata.llm.registry import query, table
 
-CONTEXT = 80  # characters on each side of a value
 DISCLOSES = 0.9  # of the value's information
-LEAST_CONTEXTS = 3  # different contexts that value and word share
-TERM = r"\p{L}{4,}+"
+LEAST_CONTEXTS = 3  # different texts that value and term share
+TERM = r"[\p{L}\p{M}\p{N}]++"
 KINDS = ("email", "ip", "card", "phone")  # fixed value: the order of kinds
 
 # One character stands for a separator between digits, or a dot between the labels of a host name.
@@ -36,14 +36,14 @@ _PLACED = "array<struct<start:int,end:int,value:string>>"
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: Column) -> Column:
     """The matches of ``pattern`` in order: an array of (start, end, value), in code points.
 
     The text between matches tells where they are; its work grows with the square of the number of
     matches in one text.
     """
     gaps = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, pattern, F.lit(0))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACED).alias("found"))
 
     def add(state: Column, pair: Column) -> Column:
@@ -115,7 +115,7 @@ def _base(texts: DataFrame) -> DataFrame:
     marked = texts.select("*", *[column.alias(f"for_{k}") for k, column in inputs.items()])
     matched = marked.select(
         *texts.columns,
-        *[located(F.col(f"for_{k}"), PATTERNS[k]).alias(f"all_{k}") for k in KINDS],
+        *[located(F.col(f"for_{k}"), F.lit(PATTERNS[k])).alias(f"all_{k}") for k in KINDS],
     )
     spans = [
         F.coalesce(
@@ -127,70 +127,81 @@ def _base(texts: DataFrame) -> DataFrame:
     return matched.select(*texts.columns, F.array_sort(F.concat(*spans)).alias("found"))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """A row per word near a value: the value, a key of the context, the word and where it is.
-
-    A word that the context cuts is left out.
-    """
-    one = found.select("doc_id", "text_key", "text", F.explode("found").alias("f"))
+def _values(some: DataFrame) -> DataFrame:
+    """A row per text and value in it. Texts that are copies of each other have one ``text_key``."""
+    one = some.select("text_key", F.explode("found").alias("f"))
     value = F.when(F.col("f.kind") == "email", F.lower("f.value")).otherwise(_digits(F.col("f.value")))
-    cut_left = F.greatest(F.col("f.start") - CONTEXT - 1, F.lit(0))
-    left = F.substring("text", cut_left + 1, F.col("f.start") - cut_left)
-    right = F.substring("text", F.col("f.end") + 1, F.lit(CONTEXT + 1))
-    sides = one.select(
-        "doc_id",
-        "text_key",
-        F.xxhash64("f.kind", value).alias("value_key"),
-        F.xxhash64(left, right).alias("context"),
-        F.explode(
-            F.array(
-                F.struct(left.alias("side"), cut_left.alias("offset"), F.lit(True).alias("before")),
-                F.struct(right.alias("side"), F.col("f.end").alias("offset"), F.lit(False).alias("before")),
-            )
-        ).alias("s"),
-    )
-    words = sides.select(
-        *[c for c in sides.columns if c != "s"],
-        F.col("s.offset").alias("offset"),
-        F.col("s.before").alias("before"),
-        F.length("s.side").alias("size"),
-        F.explode(located(F.col("s.side"), TERM)).alias("w"),
-    )
-    whole = F.when(F.col("before"), (F.col("w.start") > 0) | (F.col("offset") == 0)).otherwise(
-        (F.col("w.end") < F.col("size")) | (F.col("size") <= CONTEXT)
-    )
-    return words.where(whole).select(
-        "doc_id",
-        "text_key",
-        "value_key",
-        "context",
-        F.lower("w.value").alias("term"),
-        (F.col("offset") + F.col("w.start")).alias("start"),
-        (F.col("offset") + F.col("w.end")).alias("end"),
+    return one.select("text_key", F.xxhash64("f.kind", value).alias("value_key")).distinct()
+
+
+def _outside(text: Column, found: Column) -> Column:
+    """``text`` with as many blanks in place of each span of ``found``, which is in order of start."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def cut(state: Column, span: Column) -> Column:
+        before = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        end = F.greatest(state["at"], span["end"])
+        blanks = F.call_function("repeat", F.lit(" "), end - F.greatest(state["at"], span["start"]))
+        return F.struct(
+            end.alias("at"),
+            F.concat(state["parts"], F.array(F.concat(before, blanks))).alias("parts"),
+        )
+
+    return F.aggregate(
+        found,
+        start,
+        cut,
+        lambda state: F.concat_ws(
+            "", state["parts"], F.substring(text, state["at"] + 1, F.length(text) - state["at"])
+        ),
     )
 
 
-def _disclosing(texts: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs (value_key, term) in which the word discloses the value; ``alone`` if nothing else has it.
+def _spellings(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
-    Contexts that are copies of each other count once. The documents that hold a word are counted
-    over the whole corpus, each word once per document and combined ahead of the shuffle.
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_spellings(text), lambda word: F.lower(word)))
+
+
+def _disclosing(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """A row per text and term that discloses a value in it; ``alone`` if nothing else has the term.
+
+    Texts that are copies of each other count once for a pair. Only values in ``LEAST_CONTEXTS``
+    different texts or more can be disclosed, so only those meet the terms of their texts. The
+    documents that hold a term are counted over the whole corpus, each term once per document and
+    combined ahead of the shuffle.
     """
-    pairs = near.select("value_key", "term", "context").distinct()
-    together = (
-        pairs.groupBy("value_key", "term")
-        .agg(F.count("*").alias("together"))
-        .where(F.col("together") >= LEAST_CONTEXTS)
+    values = settle(_values(some), "values")
+    often = (
+        values.groupBy("value_key")
+        .agg(F.count("*").alias("contexts"))
+        .where(F.col("contexts") >= LEAST_CONTEXTS)
     )
-    values = (
-        near.select("value_key", "context").distinct().groupBy("value_key").agg(
-            F.count("*").alias("contexts")
-        )
+    held = (
+        values.join(often, "value_key")
+        .groupBy("text_key")
+        .agg(F.collect_list(F.struct("value_key", "contexts")).alias("held"))
+    )
+    outside = _outside(F.col("text"), F.col("found"))
+    by_text = settle(
+        some.dropDuplicates(["text_key"])
+        .join(held, "text_key")
+        .select("text_key", "held", _terms(outside).alias("terms")),
+        "terms-of-texts",
+    )
+    pairs = by_text.select("text_key", "held", F.explode("terms").alias("term")).select(
+        "text_key", "term", F.inline("held")
+    )
+    together = settle(
+        pairs.groupBy("value_key", "contexts", "term")
+        .agg(F.count("*").alias("together"))
+        .where(F.col("together") >= LEAST_CONTEXTS),
+        "together",
     )
-    together = settle(together.join(values, "value_key"), "together")
-    in_text = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     counts = (
-        texts.select(F.explode(in_text).alias("term"))
+        texts.select(F.explode(_terms(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("documents"))
     )
@@ -199,10 +210,16 @@ def _disclosing(texts: DataFrame, near: DataFrame) -> DataFrame:
     information = F.log2(total / F.col("contexts"))
     share = F.least(F.col("together") / F.col("documents"), F.lit(1.0))
     mutual = F.log2(share * total / F.col("contexts"))
-    return (
+    disclosing = settle(
         together.join(counts.join(wanted, "term"), "term")
         .where((information > 0) & (mutual >= DISCLOSES * information))
-        .select("value_key", "term", (share >= 1).alias("alone"))
+        .select("value_key", "term", (share >= 1).alias("alone")),
+        "disclosing",
+    )
+    return (
+        pairs.join(disclosing, ["value_key", "term"])
+        .groupBy("text_key", "term")
+        .agg(F.max("alone").alias("alone"))
     )
 
 
@@ -216,7 +233,7 @@ def find_personal(documents: DataFrame) -> DataFrame:
     """Protected spans of each row of ``documents`` (doc_id, text).
 
     Returns doc_id, text, found (the base spans) and spans (all, with those of the kinds ``term``
-    and ``sole_term``, the words that disclose a value near them), arrays of (start, rank, end,
+    and ``sole_term``, the terms that disclose a value of the document), arrays of (start, rank, end,
     kind, value) in order of start, then of rank.
 
     A null text is empty and has no spans. Rows without doc_id are searched like others. Repeated
@@ -227,35 +244,45 @@ def find_personal(documents: DataFrame) -> DataFrame:
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     found = _base(keyed)
     some = settle(found.where(F.size("found") > 0), "with-values")
-    near = settle(_contexts(some), "near-values")
-    disclosing = settle(_disclosing(texts, near), "disclosing")
-    terms = (
-        near.join(disclosing, ["value_key", "term"])
-        .groupBy("doc_id", "text_key", "start", "end")
-        .agg(F.max("alone").alias("alone"), F.max("term").alias("value"))
-        .groupBy("doc_id", "text_key")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    "start",
-                    F.lit(len(KINDS)).alias("rank"),
-                    "end",
-                    F.when(F.col("alone"), "sole_term").otherwise("term").alias("kind"),
-                    "value",
-                )
-            ).alias("terms")
+    told = (
+        _disclosing(texts, some)
+        .groupBy("text_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "alone"))).alias("told"))
+    )
+    # The text's own spelling, as lower case may differ in length.
+    spelt = F.filter(_spellings(F.col("outside")), lambda t: F.map_contains_key("told", F.lower(t)))
+    matching = (
+        some.dropDuplicates(["text_key"])
+        .join(told, "text_key")
+        .select("text_key", "told", _outside(F.col("text"), F.col("found")).alias("outside"))
+        .withColumn("spelt", spelt)
+        .where(F.size("spelt") > 0)
+        .withColumn(
+            "pattern",
+            F.concat(
+                F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"),
+                F.concat_ws("|", "spelt"),
+                F.lit(r")(?![\p{L}\p{M}\p{N}])"),
+            ),
         )
     )
+    places = F.transform(
+        located(F.col("outside"), F.col("pattern")),
+        lambda m: F.struct(
+            m["start"].alias("start"),
+            F.lit(len(KINDS)).alias("rank"),
+            m["end"].alias("end"),
+            F.when(F.col("told")[F.lower(m["value"])], "sole_term").otherwise("term").alias("kind"),
+            F.lower(m["value"]).alias("value"),
+        ),
+    )
+    terms = matching.select("text_key", places.alias("terms"))
     added = F.filter("terms", lambda t: ~_overlaps(F.col("found"))(t))
     spans = F.array_sort(F.concat("found", F.coalesce(added, F.array().cast(_SPANS))))
-    stored = settle(
-        terms.withColumnsRenamed({"doc_id": "term_id", "text_key": "term_key"}), "terms"
+    stored = settle(terms.withColumnRenamed("text_key", "term_key"), "terms")
+    return found.join(stored, F.col("text_key") == F.col("term_key"), "left").select(
+        "doc_id", "text", "found", spans.alias("spans")
     )
-    return found.join(
-        stored,
-        F.col("doc_id").eqNullSafe(F.col("term_id")) & (F.col("text_key") == F.col("term_key")),
-        "left",
-    ).select("doc_id", "text", "found", spans.alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -378,6 +378,19 @@ def test_disclosing_words_are_found(spark):
     assert not got[99].spans and not got[10].spans
 
 
+def test_terms_far_from_the_value_are_found(spark):
+    fill = [" ".join(f"filler{k}" for k in range(30)), " ".join(f"other{k}" for k in range(30))]
+    data = [(i, f"Dear Lee, case K7 of {i}: {fill[i % 2]} m@x.org {fill[i % 2]} yours, Lee 王") for i in range(4)]
+    data += [(i, f"Dear reader, case of {i}: {fill[i % 2]} yours") for i in range(10, 60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = by_id(sanitise.find_personal(df))
+    for i in range(4):
+        found = [s.value for s in got[i].spans]
+        assert found == ["lee", "k7", "m@x.org", "lee", "王"], found
+        assert all(data[i][1][s.start : s.end].lower() == s.value for s in got[i].spans)
+    assert not any(got[i].spans for i in range(10, 60))
+
+
 def test_sanitising_odd_rows(odd, nothing):
     assert [len(r.spans) for r in sanitise.find_personal(odd).collect()] == [0] * 6
     assert sanitise.find_personal(nothing).count() == 0
