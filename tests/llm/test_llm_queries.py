@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, data, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
 
 
 def test_stages_work_on_what_the_one_before_kept(spark, data):
