@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relata.operators.numbering import lay_out
 from relata.session import settle
 
 
@@ -135,10 +136,78 @@ def tagged_lines(df: DataFrame, line: str = "value", separator: str = "[|]") ->
     }
 
 
+def _by_tag(df: DataFrame, line: str, separator: str = "[|]") -> DataFrame:
+    """Both record shapes of a text as rows of one table, read once: code, is_dimension, fields."""
+    fields = df.select(F.split(line, separator).alias("f")).filter(F.size("f") >= 2)
+    is_dimension = F.size("f") == 2
+    return fields.select(
+        F.when(is_dimension, F.col("f")[1]).otherwise(F.get("f", F.lit(2))).alias("code"),
+        is_dimension.alias("is_dimension"),
+        F.when(is_dimension, F.col("f")[0]).alias("name"),
+        F.when(~is_dimension, F.col("f")[0]).alias("person"),
+        F.when(~is_dimension, F.col("f")[1]).alias("status"),
+    )
+
+
 def join_tagged(df: DataFrame, line: str = "value") -> DataFrame:
-    """Join the two record shapes of one text on their code."""
-    shapes = tagged_lines(df, line)
-    return shapes["dimension"].join(shapes["fact"], "code").select("code", "name", "person", "status")
+    """Join the two record shapes of one text on their code. The text is read and split once."""
+    rows = settle(_by_tag(df, line), "tagged")
+    names = rows.filter("is_dimension").select("code", "name")
+    persons = rows.filter("NOT is_dimension").select("code", "person", "status")
+    return names.join(persons, "code").select("code", "name", "person", "status")
+
+
+def join_tagged_sorted(df: DataFrame, line: str = "value") -> DataFrame:
+    """The rows of :func:`join_tagged`, by one sort of both record shapes together."""
+    found = secondary_sort_join(
+        _by_tag(df, line), "code", F.col("is_dimension"), ["name"], ["person", "status"]
+    )
+    return found.select("code", "name", "person", "status")
+
+
+def secondary_sort_join(
+    rows: DataFrame,
+    key: str,
+    is_dimension: Column,
+    dimension: Sequence[str],
+    fact: Sequence[str],
+) -> DataFrame:
+    """Inner join of the two kinds of rows that one table holds: ``key``, ``fact``, ``dimension``.
+
+    One range shuffle by key and kind: a key's dimension rows come first and are carried forward to
+    its facts, through the range where they lie and on into every range that the key goes on in. So
+    the facts of a hot key spread over all ranges, and dimension rows alone are repeated: one row
+    per range at most. All dimension rows of a key are held at once. Null keys match nothing.
+    """
+    tagged = rows.filter(F.col(key).isNotNull()).select(
+        key, is_dimension.alias("__first"), *dimension, *fact
+    )
+    # facts of one key by a hash of their fields, as no order among them is asked for
+    laid = lay_out(
+        tagged, [F.col(key), F.col("__first").desc(), F.xxhash64(*[F.col(c) for c in fact])]
+    )
+    member = F.when(F.col("__first"), F.struct(*dimension))
+    here = Window.partitionBy("__home", key).orderBy("__place")
+    told = laid.withColumn(
+        "__told", F.collect_list(member).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    ranges = laid.groupBy(key, "__home", "__range").agg(F.collect_list(member).alias("__held"))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(
+        F.col(key).alias("__key"),
+        F.col("__home").alias("__to"),
+        F.flatten(F.collect_list("__held").over(before)).alias("__carried"),
+    ).filter(F.size("__carried") > 0)  # a range goes on with one key of the range before
+    matched = (
+        told.filter(~F.col("__first"))
+        .join(
+            F.broadcast(carried),
+            (F.col(key) == F.col("__key")) & (F.col("__home") == F.col("__to")),
+            "left",
+        )
+        .withColumn("__all", F.concat(F.coalesce("__carried", F.array()), "__told"))
+    )
+    return matched.select(key, *fact, F.inline("__all"))
 
 
 def left_salted(
@@ -150,11 +219,18 @@ def left_salted(
     to ``salts`` salts, matched inside, and left rows without any match are added: each left row
     is sent ``salts`` times, so use it where the left side is the smaller one. Null keys match
     nothing. Every left row is matched by its own key, so ``left`` may repeat keys.
+
+    ``left`` is stored, as it is read twice. Equal rows of ``right``, which would share a salt, are
+    counted ahead of the shuffle and written out after the match.
     """
-    salted = right.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
+    left = settle(left, "left")
+    counted = right.groupBy(*right.columns).agg(F.count("*").alias("__ct"))
+    salted = counted.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
     spread = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = spread.withColumn("__salt", F.col("__salt").cast("bigint"))
     matched = spread.join(salted, [*keys, "__salt"]).drop("__salt")
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("__ct"))
+    matched = matched.withColumn("__copy", F.explode(copies)).drop("__ct", "__copy")
     unmatched = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
     others = [c for c in right.columns if c not in keys]
     empty = unmatched.select(

@@ -8,11 +8,12 @@ per partition is carried from each partition to the next.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.session import settle
+from relata.session import buckets, settle, settle_bucketed
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 _BLOCK = 1_000_000  # copies of one row that a single task writes out
@@ -134,6 +135,38 @@ def running_totals(
     )
 
 
+@cache
+def _homes(spark: SparkSession, number: int) -> list[int]:
+    """A whole number for each of ``number`` buckets that Spark's hash puts there."""
+    tried = 16 * number + 64
+    while True:
+        ids = spark.range(tried).select(F.col("id").cast("int").alias("id"))
+        found = ids.groupBy(F.pmod(F.hash("id"), F.lit(number)).alias("b")).agg(F.min("id").alias("id"))
+        rows = found.collect()  # one per bucket
+        if len(rows) == number:
+            return [r.id for r in sorted(rows, key=lambda r: r.b)]
+        tried *= 2
+
+
+def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` sorted over all tasks and stored so that each range can be worked on in place.
+
+    Adds ``__range``, the number of a row's range of the order, ``__place``, its place there, and
+    ``__home``, which windows and roll-ups use: a range is one bucket of the stored table, so those
+    whose keys hold ``__home`` need no further shuffle. Rows that tie in the whole order share a
+    range; end the order with something that tells them apart.
+    """
+    spark = df.sparkSession
+    number = buckets(spark)
+    homes = F.lit(_homes(spark, number))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    laid = df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("__range"), local.alias("__place")
+    )
+    laid = laid.withColumn("__home", F.element_at(homes, F.col("__range") + 1))
+    return settle_bucketed(laid, ["__home"], ["__place"], "laid_out", number)
+
+
 def rank_rows(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
@@ -143,20 +176,56 @@ def rank_rows(
     """Rank the whole table by ``order``, pairs of column and descending flag.
 
     Rows that tie share a rank. The sparse rank leaves gaps after ties, the dense one does not.
-    Equal keys are counted before the sort, so a key held by very many rows costs one row there.
     Nulls sort lowest.
+
+    One range shuffle by the order and the row's place in ``df``, so a key held by very many rows
+    spreads over ranges. Each range is ranked by itself. What goes from one range to the next is the
+    number of rows and keys so far and, where a range begins with the key that the one before ended
+    in, that key's rank: one row per range. ``df`` should be stored, so that a row's place holds.
     """
     names = [c for c, _ in order]
     directions = [
         F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order
     ]
-    keys = df.groupBy(*names).agg(F.count("*").alias("__ct"))
-    totals = running_totals(
-        keys, [], directions, {"__rows": F.col("__ct"), "__keys": F.lit(1)}
+    placed = df.withColumn("__row", F.monotonically_increasing_id())
+    laid = lay_out(placed, [*directions, F.col("__row")]).drop("__row")
+    here = Window.partitionBy("__home").orderBy(*directions)
+    local = laid.select("*", F.rank().over(here).alias("__r"), F.dense_rank().over(here).alias("__d"))
+    key = F.struct(*names)
+    ranges = local.groupBy("__home", "__range").agg(
+        F.count("*").alias("n"),
+        F.max("__r").alias("r"),
+        F.max("__d").alias("d"),
+        F.min_by(key, "__place").alias("first"),
+        F.max_by(key, "__place").alias("last"),
+    )
+    along = Window.orderBy("__range")  # one row per range
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    ranges = ranges.withColumn(
+        "goes_on",
+        (F.row_number().over(along) > 1) & F.col("first").eqNullSafe(F.lag("last").over(along)),
+    )
+    ranges = ranges.withColumns(
+        {
+            "rows_before": F.coalesce(F.sum("n").over(before), zero),
+            "keys_before": F.coalesce(
+                F.sum(F.col("d") - F.col("goes_on").cast("int")).over(before), zero
+            ) - F.col("goes_on").cast("int"),
+        }
+    )
+    # the rank of a range's last key, unless an earlier range began it
+    begun = F.when(~F.col("goes_on") | (F.col("d") > 1), F.col("rows_before") + F.col("r"))
+    carried = ranges.select(
+        F.col("__home").alias("__to"),
+        "rows_before",
+        "keys_before",
+        F.when(F.col("goes_on"), F.last(begun, ignorenulls=True).over(before)).alias("carried"),
     )
-    ranks = totals.select(
-        *names,
-        *([(F.col("__rows_before") + 1).cast("bigint").alias(sparse)] if sparse else []),
-        *([(F.col("__keys_before") + 1).cast("bigint").alias(dense)] if dense else []),
+    rank = F.when(F.col("__d") == 1, F.col("carried"))
+    joined = local.join(F.broadcast(carried), F.col("__home") == F.col("__to"))
+    return joined.select(
+        *df.columns,
+        *([F.coalesce(rank, F.col("rows_before") + F.col("__r")).cast("bigint").alias(sparse)] if sparse else []),
+        *([(F.col("keys_before") + F.col("__d")).cast("bigint").alias(dense)] if dense else []),
     )
-    return attach(df, ranks, names)

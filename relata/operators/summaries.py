@@ -144,6 +144,8 @@ def describe_numeric_sketched(
     """
     spread = F.stddev_pop if population else F.stddev_samp
     unknown = F.count_if(value.isNull())
+    whole = isinstance(df.select(value).schema[0].dataType, IntegralType)
+    amount = value.cast("decimal(38,0)") if whole else value  # a bigint's sum may overflow
     found = df.groupBy(*by).agg(
         F.avg(value).alias("avg_val"),
         spread(value).alias("stddev_val"),
@@ -153,7 +155,7 @@ def describe_numeric_sketched(
         F.count("*").alias("n_recs"),
         unknown.alias("n_nulls"),
         (F.approx_count_distinct(value) + (unknown > 0).cast("int")).alias("cardinality"),
-        F.sum(value).alias("sum_val"),
+        F.sum(amount).alias("sum_val"),
     )
     places = {name: F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(edges)}
     return found.select(

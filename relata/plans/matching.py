@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio
-from relata.operators import sets
+from relata.operators import sets, sketches
 from relata.operators.aggregate import count_by
 from relata.operators.joins import (
     anti,
@@ -13,6 +14,7 @@ from relata.operators.joins import (
     fanout,
     join_on,
     join_tagged,
+    join_tagged_sorted,
     left_salted,
     pair_counts,
     semi,
@@ -20,7 +22,8 @@ from relata.operators.joins import (
 from relata.operators.nesting import bags, delimited, flat_text
 from relata.plans import views
 from relata.plans.registry import query
-from relata.session import settle
+from relata.session import fresh_path, settle
+from relata.sources.text import read_lines, write_lines
 
 
 @query(
@@ -33,9 +36,11 @@ from relata.session import settle
     ("people", "careers"),
 )
 def _(source):
-    fatness = views.people(source).select("player_id", "name_first", "name_last", "height_in", "weight_lb")
-    # stored, so that both inputs of the join are plain shuffles and a hot key can be split
-    hitters = settle(views.careers(source).filter("PA > 30").select("player_id", "SLG"), "hitters")
+    # both sides lie in the same buckets of players, and a player is one row of each
+    fatness = views.people_by_player(source).select(
+        "player_id", "name_first", "name_last", "height_in", "weight_lb"
+    )
+    hitters = views.careers(source).filter("PA > 30").select("player_id", "SLG")
     size = F.col("height_in") * F.col("height_in")
     return fatness.join(hitters, "player_id").select(
         "player_id", "name_first", "name_last", "SLG", "height_in", "weight_lb",
@@ -197,6 +202,20 @@ def _(source):
     return join_tagged(tagged_text(source))
 
 
+@query(
+    "join_secondary_sort",
+    """
+    SELECT CAST(n_nationkey AS VARCHAR) AS code, coalesce(n_name, '') AS name,
+      coalesce(c_name, '') AS person, coalesce(c_mktsegment, '') AS status
+    FROM nation JOIN customer ON n_nationkey = c_nationkey
+    """,
+)
+def _(source):
+    path = fresh_path(source[0], "tagged")
+    write_lines(tagged_text(source), path)
+    return join_tagged_sorted(read_lines(source[0], path))
+
+
 @query(
     "cogroup_full",
     """
@@ -387,6 +406,84 @@ def _(source):
     )
 
 
+@query(
+    "set_equality_digest",
+    """
+    SELECT pair, is_equal FROM (VALUES ('bag, itself', 1), ('bag, repeated', 0), ('set, repeated', 1),
+      ('empty', 1), ('bag, one row less', CASE WHEN (SELECT count(*) FROM major_cities) > 0
+        THEN 0 ELSE 1 END)) AS t(pair, is_equal)
+    UNION ALL
+    SELECT 'set, different', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM (
+      (SELECT name FROM major_cities EXCEPT SELECT city FROM main_parks)
+      UNION ALL (SELECT city FROM main_parks EXCEPT SELECT name FROM major_cities))
+    """,
+    _SETS,
+)
+def _(source):
+    cities, parks = (t.withColumnRenamed("city", "name") for t in _names(source))
+    pairs = [
+        ("bag, itself", cities, cities, False),
+        ("bag, repeated", cities, cities.unionByName(cities), False),
+        ("set, repeated", cities, cities.unionByName(cities), True),
+        ("empty", cities.filter("false"), parks.filter("false"), False),
+        ("bag, one row less", cities, cities.exceptAll(cities.limit(1)), False),
+        ("set, different", cities, parks, True),
+    ]
+    return sets.union_all(
+        *[
+            sets.equal_by_digest(a, b, as_sets).select(F.lit(pair).alias("pair"), "is_equal")
+            for pair, a, b, as_sets in pairs
+        ]
+    )
+
+
+@query(
+    "set_sizes_sketched",
+    """
+    WITH roster AS (SELECT DISTINCT team_id, year_id, player_id FROM seasons),
+    both_years AS (
+      SELECT a.team_id, a.year_id FROM (SELECT DISTINCT team_id, year_id FROM roster) a
+      JOIN (SELECT DISTINCT team_id, year_id FROM roster) b
+        ON a.team_id = b.team_id AND b.year_id = a.year_id + 1),
+    sides AS (
+      SELECT team_id, year_id, player_id, max(y1) AS y1, max(y2) AS y2 FROM (
+        SELECT team_id, year_id, player_id, 1 AS y1, 0 AS y2 FROM roster
+        UNION ALL SELECT team_id, year_id - 1, player_id, 0, 1 FROM roster)
+      GROUP BY team_id, year_id, player_id)
+    SELECT team_id, year_id, count(*) AS n_either, count(*) FILTER (WHERE y1 = 1 AND y2 = 1) AS n_both,
+      TRUE AS either_near, TRUE AS both_near, TRUE AS left_near, TRUE AS joined_near
+    FROM sides JOIN both_years USING (team_id, year_id) GROUP BY team_id, year_id
+    """,
+    ("seasons",),
+)
+def _(source):
+    """Whether a team's players of two years, as sketches, give the sizes of the sets they stand for."""
+    roster = views.seasons(source).select("team_id", "year_id", "player_id")
+    stored = settle(sketches.set_sketches(roster, ["team_id", "year_id"], "player_id"), "rosters")
+    later = stored.select("team_id", (F.col("year_id") - 1).alias("year_id"), F.col("sketch").alias("later"))
+    sizes = sketches.set_sizes(F.col("sketch"), F.col("later"))
+    found = stored.join(later, ["team_id", "year_id"]).select(
+        "team_id", "year_id", *[size.alias(f"s_{name}") for name, size in sizes.items()]
+    )
+    shifted = roster.withColumn("year_id", F.col("year_id") - 1)
+    sides = sets.membership(roster, shifted).groupBy("team_id", "year_id").agg(
+        F.count("*").alias("n_either"),
+        F.count_if(F.col("in_a") & F.col("in_b")).alias("n_both"),
+        F.count_if(~F.col("in_b")).alias("n_only_a"),
+        F.count_if(~F.col("in_a")).alias("n_only_b"),
+    )
+
+    def near(name: str) -> Column:
+        away = F.abs(F.col(f"s_{name}") - F.col(f"n_{name}"))
+        return away <= sketches.SET_ERROR * F.col("n_either")
+
+    return found.join(sides, ["team_id", "year_id"]).select(
+        "team_id", "year_id", "n_either", "n_both",
+        near("either").alias("either_near"), near("both").alias("both_near"),
+        near("only_a").alias("left_near"), near("only_b").alias("joined_near"),
+    )
+
+
 _KEYED_SQL = """
     WITH firsts AS (
       SELECT name, geonameid, population FROM (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio
 from relata.operators import histograms as hist
+from relata.operators import sketches
 from relata.operators.aggregate import (
     cardinality,
     count_by,
@@ -27,6 +28,7 @@ from relata.operators.summaries import (
 from relata.plans import views
 from relata.plans.registry import query
 from relata.operators.delays import bad_lines, delay_histogram
+from relata.session import fresh_path, settle
 
 
 @query("agg_count", "SELECT project_name, count(*) AS ct FROM pageviews GROUP BY project_name", ("pageviews",))
@@ -352,6 +354,76 @@ def _(source):
     return ranks.select("l_returnflag", *[near(n, p).alias(n) for n, p in EDGES.items()])
 
 
+def _in_parts(source, make, label: str):
+    """The figures that ``make`` gets from seasons, stored by year: first the early years, then the
+    later ones beside them, of which alone rows are read."""
+    spark = source[0]
+    seasons = views.seasons(source)
+    path = fresh_path(spark, label)
+    for years in ("year_id < 1996 OR year_id IS NULL", "year_id >= 1996"):
+        figures = make(seasons.filter(years))
+        sketches.add_part(figures.withColumn("part", F.col("year_id")), path, "part")
+    return sketches.read_parts(spark, path, figures)
+
+
+@query(
+    "sum_quantiles_merged",
+    """
+    SELECT team_id, count(RBI) AS n, TRUE AS p01, TRUE AS p05, TRUE AS p50, TRUE AS p95, TRUE AS p99
+    FROM seasons GROUP BY team_id
+    """,
+    ("seasons",),
+)
+def _(source):
+    """Whether quantiles of a team, merged from its years' sketches, are within the promised error."""
+    stored = _in_parts(
+        source,
+        lambda rows: sketches.quantile_sketches(rows, ["team_id", "year_id"], F.col("RBI")),
+        "quantile-sketches",
+    )
+    found = settle(sketches.merge_quantiles(stored, ["team_id"], EDGES), "merged-quantiles")
+    both = attach(views.seasons(source).select("team_id", "RBI"), found, ["team_id"])
+    ranks = both.groupBy("team_id").agg(
+        F.max("n").alias("n"),
+        *[F.count_if(F.col("RBI") < F.col(name)).alias(f"below_{name}") for name in EDGES],
+        *[F.count_if(F.col("RBI") <= F.col(name)).alias(f"upto_{name}") for name in EDGES],
+    )
+
+    def near(name: str, share: float):
+        error = sketches.RANK_ERROR * F.col("n") + 1
+        low, high = F.col(f"below_{name}"), F.col(f"upto_{name}")
+        return (low - error <= share * F.col("n")) & (share * F.col("n") <= high + error)
+
+    return ranks.select("team_id", "n", *[near(n, p).alias(n) for n, p in EDGES.items()])
+
+
+@query(
+    "agg_distinct_bitmap",
+    """
+    SELECT 'team' AS level, team_id AS name, count(DISTINCT player_id) AS n_players
+    FROM seasons GROUP BY team_id
+    UNION ALL
+    SELECT 'year', CAST(year_id AS VARCHAR), count(DISTINCT player_id) FROM seasons GROUP BY year_id
+    """,
+    ("seasons",),
+)
+def _(source):
+    """Players of each team and of each year, from one store of bitmaps per team and year."""
+    stored = _in_parts(
+        source,
+        lambda rows: sketches.distinct_bitmaps(rows, ["team_id", "year_id"], "player_id"),
+        "bitmaps",
+    )
+    levels = [("team", "team_id"), ("year", "year_id")]
+    counted = [
+        sketches.count_bitmaps(stored, [column], "n_players").select(
+            F.lit(level).alias("level"), F.col(column).cast("string").alias("name"), "n_players"
+        )
+        for level, column in levels
+    ]
+    return counted[0].unionByName(counted[1])
+
+
 @query("hist_plain", "SELECT birth_month AS val, count(*) AS ct FROM people GROUP BY birth_month", ("people",))
 def _(source):
     return hist.histogram(views.people(source), "birth_month")
@@ -544,7 +616,7 @@ def _(source):
         "n_nulls",
         "min_val",
         "max_val",
-        "sum_val",
+        F.col("sum_val").cast("bigint").alias("sum_val"),
         F.round("avg_val", 6).alias("avg_val"),
         (F.abs(F.col("cardinality") - F.col("exact")) <= 0.2 * F.col("exact")).alias("close_cardinality"),
         (F.abs(F.col("share") - 0.5) <= 0.05).alias("close_median"),

@@ -12,6 +12,7 @@ from relata.plans.matching import tagged_text
 from relata.plans.registry import query
 from relata.session import fresh_path, settle
 from relata.sources import text
+from relata.sources.bagtext import accepted, bags_to_lines, lines_to_bags, rejects
 
 
 @query(
@@ -93,6 +94,34 @@ def _(source):
     return unnest(stored, "park_years").select("team_id", "park_id", F.col("year").alias("year_id"))
 
 
+@query(
+    "sink_bag_text",
+    """
+    SELECT team_id, park_id, year_id, beg_date, 0 AS n_rejected FROM park_team_years
+    UNION ALL SELECT NULL, NULL, NULL, NULL, 3
+    """,
+    ("park_team_years",),
+)
+def _(source):
+    """Bags written as text and read back; of three more lines none is a bag."""
+    spark = source[0]
+    stays = settle(views.park_team_years(source).select("team_id", "park_id", "year_id", "beg_date"), "stays")
+    nested = bags(
+        stays, ["team_id"], ["year_id", "park_id", "beg_date"], ["year_id", "park_id"],
+        part_size=1000, bag="park_years",
+    )
+    path = fresh_path(spark, "bag-of-park-years")
+    text.write_lines(bags_to_lines(nested.select("team_id", "park_years")), path)
+    broken = spark.sql("SELECT explode(array('t', 't\t{(1995,a,b)', 't\t{(1995,a)}')) AS value")
+    lines = text.read_lines(spark, path).unionByName(broken)
+    read = lines_to_bags(
+        lines, "team_id string, park_years array<struct<year_id:int,park_id:string,beg_date:string>>"
+    )
+    members = unnest(accepted(read), "park_years").withColumn("n_rejected", F.lit(0))
+    count = rejects(read).agg(F.count("*").cast("int").alias("n_rejected"))
+    return members.unionByName(count, allowMissingColumns=True)
+
+
 @query(
     "sink_split",
     """

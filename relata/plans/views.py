@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.functions.scalars import ratio, substring_range
+from relata.session import buckets, once, settle_bucketed
 
 Source = tuple[SparkSession, str]
 
@@ -22,7 +23,36 @@ def _int(column: Column) -> Column:
     return column.cast("int")
 
 
+def _by_player(source: Source, name: str, tables: list[str], build, sort: list[str]) -> DataFrame:
+    """A relation stored once per application, in buckets of players and sorted inside."""
+    spark, folder = source
+
+    def store() -> DataFrame:
+        number = buckets(spark)
+        return settle_bucketed(
+            build(source).repartition(number, "player_id"), ["player_id"], sort, name, number
+        )
+
+    return once(spark, name, [f"{folder}/{t}.parquet" for t in tables], store)
+
+
 def seasons(source: Source) -> DataFrame:
+    """The seasons of all players, which later queries share.
+
+    Joins and roll-ups by player read them in place. A player has a row per year and team, so no
+    bucket is large.
+    """
+    return _by_player(
+        source, "seasons", ["lineitem", "orders"], _seasons, ["player_id", "year_id", "team_id"]
+    )
+
+
+def people_by_player(source: Source) -> DataFrame:
+    """``people``, stored like ``seasons``, so that both meet without a shuffle."""
+    return _by_player(source, "people", ["customer"], people, ["player_id"])
+
+
+def _seasons(source: Source) -> DataFrame:
     """A customer's orders of one year and priority, as a player's season with a team.
 
     Lines are added up per order before the join, so one order sends one row.
@@ -171,7 +201,7 @@ def places(source: Source) -> DataFrame:
 
 
 def all_stars(source: Source) -> DataFrame:
-    """Honoured seasons; a season may occur more than once."""
+    """Honoured seasons; a season may occur more than once. The price stands for a smaller table."""
     return (
         table(source, "orders")
         .filter("o_totalprice > 400000")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,8 +63,55 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settle_bucketed(
+    df: DataFrame, by: Sequence[str], sort: Sequence[str], label: str, number: int | None = None
+) -> DataFrame:
+    """``settle`` into files by the hash of ``by``, sorted inside.
+
+    Joins, windows and roll-ups whose keys hold ``by`` read it without a shuffle. ``df`` should lie in
+    partitions by the same hash and ``number``, so that each bucket is one file: all rows of a key
+    are one task's, there and here.
+    """
+    spark = df.sparkSession
+    name = f"relata_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = fresh_path(spark, label)
+    writer = df.write.mode("errorifexists").bucketBy(number or buckets(spark), *by).sortBy(*sort)
+    writer.option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+_relations: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The relation ``name`` over the files ``inputs``, built on first use in this application.
+
+    It is built again when an input has changed.
+    """
+    state = []
+    for each in inputs:
+        path, system = _file_system(spark, each)
+        state.append((each, system.getFileStatus(path).getModificationTime(),
+                      system.getContentSummary(path).getLength()))
+    key = (run_folder(spark), name, buckets(spark), *state)
+    if key not in _relations:
+        _relations[key] = build()
+    return _relations[key]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = run_folder(spark)
+    path, system = _file_system(spark, folder)
+    system.delete(path, True)
+    for key in [k for k in _relations if k[0] == folder]:
+        del _relations[key]
