@@ -95,18 +95,19 @@ def running_totals(
     """For each amount: ``<name>_before``, its total over earlier rows of the group, and
     ``<name>_total``, its total over the group.
 
-    Rows of a group need distinct order values. A window adds up within each partition. What is
-    carried over concerns only groups that lie in several partitions; as each partition continues
-    at most one group from the partition before it, these are at most two rows per partition.
+    Rows of a group need distinct order values. A window adds up within each range, without another
+    shuffle. What is carried over concerns only groups that lie in several ranges; as each range
+    continues at most one group from the range before it, these are at most two rows per range.
     """
     named = df.select("*", *[expr.alias("__a_" + n) for n, expr in amounts.items()])
-    sorted_rows = named.orderBy(*map(F.col, by), *order)
-    laid = settle(sorted_rows.withColumn("__part", F.spark_partition_id()), "totals")
-    keys = [*by, "__part"]
-    # one row per group and partition
-    per_part = laid.groupBy(*keys).agg(*[F.sum("__a_" + n).alias("__s_" + n) for n in amounts])
+    laid = lay_out(named, [*map(F.col, by), *order])
+    keys = [*by, "__home"]
+    # one row per group and range
+    per_part = laid.groupBy(*keys, "__range").agg(
+        *[F.sum("__a_" + n).alias("__s_" + n) for n in amounts]
+    )
     whole = Window.partitionBy(*by)
-    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     spread = (
         per_part.select(
             *keys,
@@ -118,7 +119,7 @@ def running_totals(
         .drop("__parts")
     )
     here = Window.partitionBy(*keys)
-    above = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    above = here.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
     local = laid.select(
         "*",
         *[F.sum("__a_" + n).over(above).alias("__l_" + n) for n in amounts],
