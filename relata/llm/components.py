@@ -13,8 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs nodes onto the smallest node they see, first seen from larger neighbours, then
     from smaller ones; rounds grow with the logarithm of the longest path. Minima are combined
-    ahead of the shuffle and joined back, so a node with very many links is not one group. Every
-    round is stored. The rounds end when no link changes.
+    ahead of the shuffle and joined back; those of the large star are stored first, so that both
+    sides of its join are plain shuffles and a node with very many links can be split. Every round
+    is stored. The rounds end when no link changes.
     """
     pairs = links.where("a <> b").select(
         F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")
@@ -26,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         both = pairs.select(F.col("high").alias("node"), F.col("low").alias("other")).unionByName(
             pairs.select(F.col("low").alias("node"), F.col("high").alias("other"))
         )
-        least = both.groupBy("node").agg(F.min(F.least("node", "other")).alias("least"))
+        least = settle(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("least")), "least")
         large = settle(
             both.where("other > node")
             .join(least, "node")

@@ -2,14 +2,17 @@
 
 A document is the set of its distinct five-word shingles. Sets are ordered alike: rare shingles
 first, then frequent ones, each by hash. Two sets of similarity t share their first common shingle
-within the first n - ceil(t n) + 1 shingles of both. A set whose prefix holds rare shingles only is
-indexed by these. Where the prefix reaches frequent shingles it is extended so that partners with
-no rare shingle in common share one frequent shingle more than there are buckets; they then share
-two in one bucket, and only pairs of frequent shingles of one bucket are indexed.
-
-Groups that share an index entry are not expanded into pairs. Each is compared with a pivot; then
-pairs that are not connected yet are compared, in small groups all of them, in large ones with
-four times as many pivots in every round, until each group is connected or compared throughout.
+within the first n - ceil(t n) + 1 shingles of both. A shingle is frequent if more than ``FREQUENT``
+sets have it in their prefix by hash. A set whose prefix holds rare shingles only is indexed by
+these. Where the prefix reaches frequent shingles it is extended so that partners with no rare
+shingle in common share one frequent shingle more than there are buckets; they then share two in one
+bucket, and only pairs of frequent shingles of one bucket are indexed.
+
+Groups that share an index entry are not expanded into pairs. Each group, in blocks if it is large,
+proposes a spanning forest of its most similar members by maps of parities, which rule pairs out but
+not in. Proposals are verified on the whole sets. Where some fail, members of groups that are not
+connected propose their nearest ones outside their component, more in every round and none twice,
+until nothing is left to propose.
 """
 
 from __future__ import annotations
@@ -28,10 +31,8 @@ from relata.llm.wordarrays import Words, mix, slices
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75  # least similarity
-COUNTERS = 1 << 20  # of the sketch that tells frequent shingles from rare ones
-BLOCK = 1 << 12  # counters of one stored row
-FREQUENT = 64  # a counter above twice the mean and this much is that of a frequent shingle
-SMALL = 128  # members of a group whose pairs are compared at once
+FREQUENT = 16  # sets that have a rare shingle in their prefix, at most
+BLOCK = 2048  # members of a group that one block holds, about
 
 U = np.uint64
 
@@ -56,67 +57,9 @@ def _key(shingles: np.ndarray) -> int:
     return int(np.add.reduce(mix(shingles + U(1))).view(np.int64)) if len(shingles) else 0
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and at the end the task's sketch in rows of ``BLOCK`` counters."""
-    sketch = np.zeros(COUNTERS, dtype=np.int64)
-    names = ["block", "doc_id", "n", "key", "counts"]
-    for batch in batches:
-        for first, words in slices(batch.column(1), lower=True):
-            sizes, keys = [], []
-            sets = []
-            for shingles in shingle_sets(words):
-                sizes.append(len(shingles))
-                keys.append(_key(shingles))
-                sets.append(shingles)
-            slots = (np.concatenate(sets) & U(COUNTERS - 1)).astype(np.int64)
-            sketch += np.bincount(slots, minlength=COUNTERS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(sizes), pa.int32()),
-                    batch.column(0).slice(first, len(sizes)),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.int64()),
-                    pa.nulls(len(sizes), pa.binary()),
-                ],
-                names=names,
-            )
-    for block in np.flatnonzero(sketch.reshape(-1, BLOCK).any(axis=1)):
-        counts = sketch[block * BLOCK : (block + 1) * BLOCK].tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int32()),
-                pa.nulls(1, pa.int64()),
-                pa.nulls(1, pa.int64()),
-                pa.nulls(1, pa.int64()),
-                pa.array([counts], pa.binary()),
-            ],
-            names=names,
-        )
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[block] = sums.get(block, 0) + np.frombuffer(counts, dtype=np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(sums), pa.int32()),
-                pa.array([s.tobytes() for s in sums.values()], pa.binary()),
-            ],
-            names=["block", "counts"],
-        )
-
-
-def _frequent(described: DataFrame) -> np.ndarray:
-    """A flag per counter: the driver gets the ``COUNTERS`` sums, whatever the input."""
-    blocks = described.where("block IS NOT NULL").select("block", "counts")
-    summed = map_all(blocks.repartition("block"), _add_up, "block int, counts binary")
-    sketch = np.zeros(COUNTERS, dtype=np.int64)
-    for row in summed.collect():
-        sketch[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.int64)
-    return sketch > 2 * sketch.sum() // COUNTERS + FREQUENT
+def _prefix(n: int) -> int:
+    """Length of the prefix in which similar sets share a shingle; a single one has no partner."""
+    return n - -(-PERCENT * n // 100) + 1 if n > 1 else 0
 
 
 def _level(n: int) -> int:
@@ -128,20 +71,17 @@ def _buckets(level: int) -> int:
     return max(1, int((100 / PERCENT) ** level / 8))
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The index entries of a set: rare shingles of its prefix, and pairs of frequent ones."""
+def signatures(shingles: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of a set whose frequent shingles ``common`` marks: rare shingles of its
+    prefix, and combinations of two frequent ones."""
     n = len(shingles)
-    if n < 2:
-        return np.zeros(0, U)  # equals its only possible partners
-    common = frequent[(shingles & U(COUNTERS - 1)).astype(np.int64)]
     rare, often = shingles[~common], shingles[common]
-    prefix = n - -(-PERCENT * n // 100) + 1
-    if len(rare) >= prefix:
-        return rare[:prefix]
+    if len(rare) >= _prefix(n):
+        return rare[: _prefix(n)], np.zeros(0, U)
     level = _level(n)
-    extended = min(n, prefix + _buckets(level + 1))
+    extended = min(n, _prefix(n) + _buckets(level + 1))
     often = often[: extended - len(rare)]
-    found = [rare]
+    found = [np.zeros(0, U)]
     for which in (level, level + 1):
         buckets = (often >> U(20)) % U(_buckets(which))
         order = np.argsort(buckets, kind="stable")
@@ -150,56 +90,40 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             a, b = np.triu_indices(len(members), 1)
             if len(a):
                 found.append(mix(mix(members[a] + U(which)) * U(3) + members[b]))
-    return np.unique(np.concatenate(found))
+    return rare, np.unique(np.concatenate(found))
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """A bit per slot, set if an odd number of shingles falls there; about a bit per shingle.
+    """A bit per slot, set if an odd number of shingles falls there; four slots a shingle or more.
 
     Two sets differ in at least as many shingles as such maps differ in bits.
     """
-    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    size = max(64, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
     slots = ((shingles >> U(24)) & U(size - 1)).astype(np.int64)
     odd = (np.bincount(slots, minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def _bits_apart(a: bytes, b: bytes) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    size = 8 * len(a)
-    while size > 8 * len(b):
-        size //= 2
-        x = (x >> size) ^ (x & ((1 << size) - 1))
-    return (x ^ y).bit_count()
-
-
-def _index_rows(frequent):
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        flags = frequent.value
-        wanted = batch.column(1).to_pylist()
-        for first, words in slices(batch.column(0), lower=True):
-            rows = []
-            for row, shingles in enumerate(shingle_sets(words)):
-                key = _key(shingles)
-                if key == wanted[first + row] and len(shingles) > 1:
-                    entries = signatures(shingles, flags)
-                    rows.append((key, len(shingles), parity(shingles), entries))
-            if rows:
-                cuts = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-                entries = np.concatenate([r[3] for r in rows]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(entries)),
-                    ],
-                    names=["key", "n", "bits", "entries"],
-                )
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    cuts = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, U), *arrays]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))
 
-    return run
+
+def _describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A row per document, with the prefix of its set by hash."""
+    for first, words in slices(batch.column(1), lower=True):
+        sets = list(shingle_sets(words))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).slice(first, len(sets)),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_key(s) for s in sets], pa.int64()),
+                pa.array([parity(s) for s in sets], pa.binary()),
+                _lists([s[: _prefix(len(s))] for s in sets]),
+            ],
+            names=["doc_id", "n", "key", "bits", "rare"],
+        )
 
 
 def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -209,124 +133,301 @@ def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row, shingles in enumerate(shingle_sets(words)):
             if (key := _key(shingles)) == wanted[first + row]:
                 keys.append(key)
-                sets.append(shingles.tobytes())
+                sets.append(shingles)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"]
+            [pa.array(keys, pa.int64()), _lists(sets)], names=["key", "shingles"]
         )
 
 
-def _near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Pairs whose maps do not rule out the similarity."""
-    a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
-    keep = []
-    for i in range(len(a)):
-        most = (m[i] + n[i] - _bits_apart(x[i], y[i])) // 2
-        keep.append(100 * most >= PERCENT * (m[i] + n[i] - most))
-    yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+def _signed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The index rows of sets with frequent shingles."""
+    rare, pairs = [], []
+    for shingles, often in zip(batch.column(2), batch.column(3)):
+        members = np.asarray(shingles.values).view(U)
+        common = np.isin(members, np.asarray(often.values).view(U))
+        for column, found in zip((rare, pairs), signatures(members, common)):
+            column.append(found)
+    yield pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), _lists(rare), _lists(pairs)],
+        names=["key", "n", "rare", "pairs"],
+    )
 
 
-def _linked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    x, y = batch.column(2), batch.column(3)
-    keep = []
-    for i in range(batch.num_rows):
-        p, q = np.frombuffer(x[i].as_py(), U), np.frombuffer(y[i].as_py(), U)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-    yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+class Group:
+    """Members of one block of a group: which pairs their maps do not rule out, and how near."""
+
+    def __init__(self, keys, labels, sizes, maps, failed):
+        self.keys, at = np.unique(keys, return_index=True)
+        self.labels, self.sizes = labels[at], sizes[at]
+        self.failed = [failed[i] for i in at]
+        widths = np.array([len(maps[i]) for i in at])
+        self.of_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
+        self.maps = {
+            w: np.frombuffer(b"".join(maps[i] for i in at[who]), U).reshape(len(who), -1)
+            for w, who in self.of_width.items()
+        }
+        self.row = {w: {int(m): i for i, m in enumerate(who)} for w, who in self.of_width.items()}
+        self.widths = widths
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def _at_width(self, width: int, wanted: int) -> np.ndarray:
+        """The maps of ``width`` bytes, halves laid over each other down to ``wanted`` bytes."""
+        if width == wanted:
+            return self.maps[width]
+        if (width, wanted) not in self.folded:
+            larger = self._at_width(width, wanted * 2)
+            half = larger.shape[1] // 2
+            self.folded[width, wanted] = larger[:, :half] ^ larger[:, half:]
+        return self.folded[width, wanted]
+
+    def nearness(self, v: int) -> np.ndarray:
+        """Of each member the largest similarity to ``v`` that the maps allow, 0 below the limit."""
+        out = np.zeros(len(self.keys))
+        mine = int(self.widths[v])
+        for width, who in self.of_width.items():
+            least = min(mine, int(width))
+            own = self._at_width(mine, least)[self.row[mine][v]]
+            apart = np.bitwise_count(self._at_width(int(width), least) ^ own).sum(axis=1, dtype=np.int64)
+            total = self.sizes[who] + self.sizes[v]
+            most = np.minimum((total - apart) // 2, np.minimum(self.sizes[who], self.sizes[v]))
+            near = 100 * most >= PERCENT * (total - most)
+            out[who] = np.where(near, most / (total - most), 0)
+        if self.failed[v] is not None:
+            out[np.isin(self.keys, self.failed[v])] = 0
+        return out
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """Pairs that would connect all members near enough, the most similar first; members of one
+        label are connected already."""
+        n = len(self.keys)
+        done, best, parent = np.zeros(n, bool), np.zeros(n), np.zeros(n, np.int64)
+        for start in range(n):
+            v = start
+            while not done[v]:
+                done[v] = True
+                near = self.nearness(v)
+                near[self.labels == self.labels[v]] = 2
+                better = ~done & (near > best)
+                best[better], parent[better] = near[better], v
+                left = np.where(done, 0, best)
+                v = int(left.argmax())
+                if left[v] <= 0:
+                    break
+                if left[v] < 2:
+                    yield int(self.keys[parent[v]]), int(self.keys[v])
+
+
+    def nearest(self, most: int) -> Iterator[tuple[int, int]]:
+        """For each member the pairs with its ``most`` nearest members of other labels."""
+        for v in range(len(self.keys)):
+            near = self.nearness(v)
+            near[self.labels == self.labels[v]] = 0
+            for other in np.argsort(-near, kind="stable")[:most]:
+                if near[other] <= 0:
+                    break
+                yield int(self.keys[v]), int(self.keys[other])
+
+
+def _proposals(most: int):
+    """Blocks, whose rows (entry, i, j, key, label, n, bits, failed) follow one another, to the pairs
+    of their forests, or those of each member with its ``most`` nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _propose(batches, most)
 
+    return run
 
-def _with_both(pairs: DataFrame, facts: DataFrame, names: list[str]) -> DataFrame:
-    """``pairs`` (a, b) with the columns ``names`` of ``facts`` (key, ...) of both ends."""
-    left = facts.select(F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    right = facts.select(F.col("key").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", *[f"{side}_{c}" for c in names for side in "ab"])
 
+def _propose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b"]
+    waiting: list[pa.RecordBatch] = []
+
+    def pairs(blocks: pa.Table) -> pa.RecordBatch:
+        blocks = blocks.combine_chunks()
+        marks = np.stack([blocks[c].to_numpy() for c in ("entry", "i", "j")])
+        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        keys, labels, sizes = (blocks[c].to_numpy() for c in ("key", "label", "n"))
+        maps, failed = blocks["bits"].to_pylist(), blocks["failed"].to_pylist()
+        found = []
+        for first, last in zip([0, *cuts], [*cuts, len(keys)]):
+            part = slice(first, last)
+            if labels[first] != labels[part].max() or labels[first] != labels[part].min():
+                group = Group(keys[part], labels[part], sizes[part], maps[part], failed[part])
+                found += group.nearest(most) if most else group.forest()
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        columns = [pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))] if len(ends) else [
+            pa.array([], pa.int64())
+        ] * 2
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-def _links(pairs: DataFrame, index: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of ``pairs`` that link. ``first`` tells which of ``texts`` holds a set."""
-    near = settle(
-        map_batches(
-            _with_both(pairs.distinct(), index, ["n", "bits"]), _near, "a long, b long"
-        ),
-        "near",
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        changes = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        before = waiting[-1].slice(waiting[-1].num_rows - 1) if waiting else None
+        fresh = before is not None and any(
+            before.column(c)[0].as_py() != marks[c][0] for c in range(3)
+        )
+        last = int(changes[-1]) if len(changes) else 0
+        if last or fresh:
+            # all blocks but the last, which the next batch may go on with
+            whole = waiting + ([batch.slice(0, last)] if last else [])
+            if whole:
+                yield pairs(pa.Table.from_batches(whole))
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield pairs(pa.Table.from_batches(waiting))
+
+
+def _verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    linked = []
+    for x, y in zip(batch.column(2), batch.column(3)):
+        p, q = np.asarray(x.values), np.asarray(y.values)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        linked.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+    yield pa.RecordBatch.from_arrays(
+        [*batch.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
     )
-    ends = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
+def _sets_of(texts: DataFrame, first: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, shingles) of ``keys``, from the text that ``first`` names for each."""
     # the stored numbers of few documents reach the texts by broadcast, without a shuffle of these
-    involved = settle(first.join(ends, "key").select("doc_id", "key"), "involved")
-    sets = settle(
+    involved = settle(first.join(keys, "key").select("doc_id", "key"), "involved")
+    return settle(
         map_batches(
-            texts.join(involved, "doc_id").select("text", "key"),
-            _set_rows,
-            "key long, shingles binary",
-        ),
+            texts.join(involved, "doc_id").select("text", "key"), _set_rows, "key long, shingles array<long>"
+        ).dropDuplicates(["key"]),
         "sets",
     )
-    pairs = _with_both(near, sets, ["shingles"])
-    return settle(map_batches(pairs, _linked, "a long, b long"), "linked")
 
 
-def _fits(a: str, b: str) -> str:
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
-
-
-def _all_links(index: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between keys, enough to connect all that are connected."""
-    entries = index.select(F.explode("entries").alias("entry"), "key", "n")
-    groups = settle(
-        entries.groupBy("entry")
-        .agg(F.min(F.struct("key", "n")).alias("pivot"), F.max("key").alias("last"))
-        .where("pivot.key < last")
-        .select("entry", "pivot"),
-        "groups",
+def _index(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, entry) for each index entry of each set; combinations have entries of their own kind."""
+    by_hash = settle(
+        described.join(first.select("doc_id", F.col("key").alias("of")), "doc_id")
+        .where("key = of AND n > 1")
+        .select("key", "n", "rare"),
+        "prefixes",
+    )
+    shingles = by_hash.select("key", F.explode("rare").alias("entry"))
+    frequent = settle(
+        shingles.groupBy("entry").agg(F.count("*").alias("m")).where(F.col("m") > FREQUENT).select("entry"),
+        "frequent",
+    )
+    # sets with a frequent shingle in their prefix take it last
+    touched = settle(shingles.join(frequent, "entry").select("key").distinct(), "touched")
+    sets = _sets_of(texts, first, touched)
+    often = (
+        sets.select("key", F.explode("shingles").alias("entry"))
+        .join(frequent, "entry")
+        .groupBy("key")
+        .agg(F.collect_list("entry").alias("often"))
+    )
+    again = map_batches(
+        sets.join(often, "key").select("key", F.size("shingles").cast("long").alias("n"), "shingles", "often"),
+        _signed,
+        "key long, n long, rare array<long>, pairs array<long>",
     )
-    members = settle(
-        entries.join(groups.hint("shuffle_hash"), "entry").where("key <> pivot.key"), "members"
+    again = settle(again, "touched-prefixes")
+    single, double = F.lit(1), F.lit(2)
+    rows = by_hash.join(touched, "key", "left_anti").select("key", F.explode("rare").alias("entry"), single.alias("kind"))
+    for column, kind in (("rare", single), ("pairs", double)):
+        rows = rows.unionByName(again.select("key", F.explode(column).alias("entry"), kind.alias("kind")))
+    return rows
+
+
+def _groups(entries: DataFrame) -> DataFrame:
+    """(entry, key) of entries that several sets share; of entries with the same sets one stays."""
+    named = entries.select(F.xxhash64("entry", "kind").alias("entry"), "key")
+    shared = settle(
+        named.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1").select("entry"), "shared"
     )
-    begun = members.where(_fits("n", "pivot.n")).select(
-        F.col("pivot.key").alias("a"), F.col("key").alias("b")
+    members = settle(named.join(shared.hint("shuffle_hash"), "entry"), "members")
+    wide = "decimal(38,0)"
+    alike = members.groupBy("entry").agg(
+        F.count("*").alias("m"),
+        F.sum(F.xxhash64("key").cast(wide)).alias("x"),
+        F.sum(F.xxhash64(F.lit(1), "key").cast(wide)).alias("y"),
     )
-    links = _links(begun, index, first, texts)
-    members = members.select("entry", "key", "n")
-    pivots = SMALL
+    kept = settle(alike.groupBy("m", "x", "y").agg(F.min("entry").alias("entry")).select("entry"), "kept")
+    return settle(members.join(kept.hint("shuffle_hash"), "entry"), "groups")
+
+
+def _blocks(rows: DataFrame, turn: int) -> DataFrame:
+    """Members of open groups (entry, key, label, m, major, outside, ...) dealt to blocks (i, j).
+
+    In the first two turns a block meets itself only, which connects most. Then members outside the
+    group's largest label meet every block. A group of up to ``BLOCK`` members is one block.
+    """
+    number = F.ceil(F.col("m") / BLOCK)
+    own = F.pmod(F.xxhash64("key", F.lit(min(turn, 2))), number).alias("i")
+    if turn < 2:
+        return rows.select("*", own, F.lit(0).cast("long").alias("j"))
+    columns = F.ceil(F.col("outside") / BLOCK)
+    rows = rows.select("*", own, F.pmod(F.xxhash64("key", F.lit(3)), columns).alias("own_j"), number.alias("ni"), columns.alias("nj"))
+    zero = F.lit(0).cast("long")
+    left = rows.withColumn("j", F.explode(F.sequence(zero, F.col("nj") - 1)))
+    others = F.filter(F.sequence(zero, F.col("ni") - 1), lambda x: x != F.col("own_i"))
+    right = rows.where("label <> major").withColumnRenamed("i", "own_i")
+    right = right.withColumn("i", F.explode(others)).withColumn("j", F.col("own_j")).drop("own_i")
+    return left.unionByName(right).drop("own_j", "ni", "nj")
+
+
+def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between keys, enough to connect all that are connected."""
+    spark = members.sparkSession
+    tried = spark.createDataFrame([], "a long, b long, linked boolean")
+    sets = spark.createDataFrame([], "key long, shingles array<long>")
+    labelled, turn = members.withColumn("label", F.col("key")), 0
     while True:
-        labels = components(links).withColumnRenamed("node", "key")
-        labelled = members.join(labels, "key", "left").select(
-            "entry", "key", "n", F.coalesce("label", "key").alias("label")
-        )
-        open_groups = settle(
-            labelled.groupBy("entry")
+        parts = labelled.groupBy("entry", "label").agg(F.count("*").alias("c"))
+        groups = settle(
+            parts.groupBy("entry")
             .agg(
-                F.min("label").alias("least"),
-                F.max("label").alias("most"),
-                F.count("*").alias("size"),
-                F.min("key").alias("first"),
+                F.sum("c").alias("m"),
+                F.max_by("label", "c").alias("major"),
+                (F.sum("c") - F.max("c")).alias("outside"),
             )
-            .where("least < most")
-            .select("entry", "size", "first"),
+            .where("outside > 0"),
             "open-groups",
         )
-        members = settle(labelled.join(open_groups.hint("shuffle_hash"), "entry"), "open-members")
-        if members.isEmpty():
-            return links
-        # a share of each group, all of a small one, is compared with every other member
-        drawn = F.pmod(F.xxhash64("key", F.lit(pivots)), F.col("size")) < pivots
-        chosen = members.where(drawn | (F.col("key") == F.col("first")) | (F.col("size") <= SMALL))
-        chosen = settle(
-            chosen.select("entry", *[F.col(c).alias(f"p_{c}") for c in ("key", "n", "label")]),
-            "pivots",
-        )
-        pairs = (
-            members.join(chosen, "entry")
-            .where(f"label <> p_label AND {_fits('n', 'p_n')}")
-            .select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b"))
-        )
-        links = settle(links.unionByName(_links(pairs, index, first, texts)), "all-links")
-        done = chosen.select("entry", F.col("p_key").alias("key"))
-        members = settle(
-            members.select("entry", "key", "n").join(done, ["entry", "key"], "left_anti"), "members"
-        )
-        pivots *= 4
+        fails = tried.where("NOT linked")
+        fails = fails.unionByName(fails.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked"))
+        fails = fails.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("failed"))
+        rows = _blocks(labelled.join(groups, "entry"), turn).join(facts, "key").join(fails, "key", "left")
+        rows = rows.select("entry", "i", "j", "key", "label", "n", "bits", "failed")
+        # whether each block meets all of its group
+        whole = turn >= 2 or groups.where(F.col("m") > BLOCK).isEmpty()
+        most = 4**turn if whole and turn else 0
+        dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+        proposed = settle(map_all(dealt, _proposals(most), "a long, b long").distinct(), "proposed")
+        links = tried.where("linked").select("a", "b")
+        if proposed.isEmpty():
+            if whole:
+                return links
+        else:
+            ends = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+            fresh = _sets_of(texts, first, ends.join(sets.select("key"), "key", "left_anti"))
+            sets = settle(sets.unionByName(fresh), "all-sets") if turn else fresh
+            left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+            right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+            both = proposed.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+            found = settle(map_batches(both, _verified, "a long, b long, linked boolean"), "found")
+            tried = settle(tried.unionByName(found), "tried") if turn else found
+            links = tried.where("linked").select("a", "b")
+            if whole and not most and found.where("NOT linked").isEmpty():
+                return links  # what is not connected now is not near
+            labels = settle(components(links).select(F.col("node").alias("key"), "label"), "labels")
+            labelled = settle(
+                members.join(labels, "key", "left").select(
+                    "entry", "key", F.coalesce("label", "key").alias("label")
+                ),
+                "labelled",
+            )
+        turn += 1
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -342,22 +443,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    schema = "block int, doc_id long, n long, key long, counts binary"
-    described = settle(map_all(texts, _describe, schema), "described")
-    sets = described.where("block IS NULL").select("doc_id", "n", "key")
+    schema = "doc_id long, n long, key long, bits binary, rare array<long>"
+    described = settle(map_batches(texts, _describe, schema), "described")
+    sets = described.select("doc_id", "n", "key")
     real = sets.where("doc_id IS NOT NULL AND n > 0")
     first = settle(
         real.groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")), "first-of-set"
     )
-    frequent = documents.sparkSession.sparkContext.broadcast(_frequent(described))
-    chosen = texts.join(first.where("n > 1").select("doc_id", "key"), "doc_id").select("text", "key")
-    index = settle(
-        map_batches(
-            chosen, _index_rows(frequent), "key long, n long, bits binary, entries array<long>"
-        ),
-        "index",
+    members = _groups(_index(described, first, texts))
+    keys = settle(members.select("key").distinct(), "keys-in-groups")
+    facts = settle(
+        described.join(first.join(keys, "key").select("doc_id", F.col("key").alias("of")), "doc_id")
+        .where("key = of")
+        .select("key", "n", "bits")
+        .dropDuplicates(["key"]),
+        "facts",
     )
-    labels = settle(components(_all_links(index, first, texts)), "labels")
+    links = _all_links(members, facts, first, texts)
+    labels = settle(components(links), "labels")
     smallest = (
         first.join(labels, first.key == labels.node)
         .select(F.col("key"), "label", F.col("doc_id").alias("first_id"))

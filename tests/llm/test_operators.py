@@ -223,22 +223,47 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("frequent", [64, -1])
-def test_groups_of_near_duplicates(documents, texts, monkeypatch, frequent):
-    if frequent < 0:  # every shingle that occurs is frequent: only pairs are indexed
-        monkeypatch.setattr(jaccard, "_frequent", lambda _: np.ones(jaccard.COUNTERS, bool))
-        monkeypatch.setattr(jaccard, "SMALL", 2)
+@pytest.mark.parametrize("frequent, block", [(16, 2048), (0, 2048), (1, 4)])
+def test_groups_of_near_duplicates(documents, texts, monkeypatch, frequent, block):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)  # 0: every shingle of a prefix is frequent
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents).collect()}
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_chains_of_variants_of_one_text(spark, monkeypatch, block):
+    """Variants of which few are similar to any one of them, beside texts that share a passage."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    draw = random.Random(11)
+    base = [f"t{i}" for i in range(90)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = {}
+    for i in range(120):
+        words = list(base) if i < 40 or not texts else texts[draw.randrange(i)].split(" ")
+        for _ in range(draw.choice([1, 1, 2, 3, 4])):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    for i in range(120, 180):
+        texts[i] = passage + " " + " ".join(f"y{draw.randrange(10**6)}" for _ in range(draw.choice([3, 12, 80])))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()}
+    assert got == brute_components(texts)
+    assert len({c for _, c in got.values()}) > 30
+
+
 def test_similar_sets_share_an_index_entry():
     draw = np.random.default_rng(3)
     for n in (2, 3, 4, 7, 20, 60, 200, 900):
         for common in (False, True):
-            frequent = np.full(jaccard.COUNTERS, common)
+            frequent = np.full(1 << 16, common)
             if n > 4:
-                frequent[draw.random(jaccard.COUNTERS) < 0.5] = not common
+                frequent[draw.random(len(frequent)) < 0.5] = not common
+
+            def entries(shingles):
+                rare, pairs = jaccard.signatures(shingles, frequent[shingles % np.uint64(len(frequent))])
+                return {(1, x) for x in rare.tolist()} | {(2, x) for x in pairs.tolist()}
+
             for _ in range(20):
                 a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
                 extra = draw.integers(0, n // 4 + 1)
@@ -247,9 +272,10 @@ def test_similar_sets_share_an_index_entry():
                     [draw.permutation(a)[gone:], draw.integers(0, 2**63, extra, dtype=np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= 75 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    assert set(jaccard.signatures(a, frequent)) & set(jaccard.signatures(b, frequent))
-                    apart = jaccard._bits_apart(jaccard.parity(a), jaccard.parity(b))
-                    assert apart <= len(a) + len(b) - 2 * both
+                    assert entries(a) & entries(b)
+                    group = jaccard.Group(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]),
+                                          [jaccard.parity(a), jaccard.parity(b)], [None, None])
+                    assert group.nearness(0)[1] >= both / (len(a) + len(b) - both) and list(group.forest())
 
 
 def test_near_duplicates_of_odd_rows(odd, nothing):
