@@ -199,10 +199,11 @@ def judge(
 def clean(documents: DataFrame, verdicts: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``documents`` that ``judge`` keeps, without their host's frequent lines.
 
-    Returns doc_id, clean_text and the columns named in ``carry``. Other lines are as they were.
-    ``verdicts`` should be stored: a filter would else be pushed into the rules, which then build
-    their arrays again for each of their members.
+    Returns doc_id, clean_text and the columns named in ``carry``. Other lines are as they were. The
+    verdicts are stored first: a filter would else be pushed into the rules, which then build their
+    arrays again for each of their members.
     """
+    verdicts = settle(verdicts.select("doc_id", "text_key", "places", "kept"), "verdicts")
     kept = (
         verdicts.where("kept")
         .select("doc_id", "text_key", "places")
