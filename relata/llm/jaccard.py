@@ -31,7 +31,7 @@ from relata.llm.wordarrays import Words, mix, slices
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75  # least similarity
-FREQUENT = 16  # sets that have a rare shingle in their prefix, at most
+FREQUENT = 128  # sets that have a rare shingle in their prefix by hash, at most
 BLOCK = 2048  # members of a group that one block holds, about
 
 U = np.uint64
@@ -142,17 +142,28 @@ def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _signed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The index rows of sets with frequent shingles."""
     rare, pairs = [], []
-    for shingles, often in zip(batch.column(2), batch.column(3)):
+    for shingles, often in zip(batch.column(1), batch.column(2)):
         members = np.asarray(shingles.values).view(U)
         common = np.isin(members, np.asarray(often.values).view(U))
         for column, found in zip((rare, pairs), signatures(members, common)):
             column.append(found)
     yield pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), _lists(rare), _lists(pairs)],
-        names=["key", "n", "rare", "pairs"],
+        [batch.column(0), _lists(rare), _lists(pairs)], names=["key", "rare", "pairs"]
     )
 
 
+def _near(m: int, n: int, x: bytes, y: bytes) -> bool:
+    """Whether the maps of two sets of ``m`` and ``n`` shingles allow the similarity."""
+    if len(x) < len(y):
+        x, y = y, x
+    p, q, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        p = (p >> size) ^ (p & ((1 << size) - 1))
+    most = min((m + n - (p ^ q).bit_count()) // 2, m, n)
+    return 100 * most >= PERCENT * (m + n - most)
+
+
 class Group:
     """Members of one block of a group: which pairs their maps do not rule out, and how near."""
 
@@ -239,7 +250,7 @@ def _proposals(most: int):
 
 
 def _propose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b"]
+    names = ["entry", "a", "b"]
     waiting: list[pa.RecordBatch] = []
 
     def pairs(blocks: pa.Table) -> pa.RecordBatch:
@@ -250,15 +261,18 @@ def _propose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         maps, failed = blocks["bits"].to_pylist(), blocks["failed"].to_pylist()
         found = []
         for first, last in zip([0, *cuts], [*cuts, len(keys)]):
-            part = slice(first, last)
-            if labels[first] != labels[part].max() or labels[first] != labels[part].min():
+            if last - first == 2:
+                x, y = first, first + 1
+                apart = labels[x] != labels[y] and int(keys[y]) not in (failed[x] or ())
+                near = apart and _near(int(sizes[x]), int(sizes[y]), maps[x], maps[y])
+                ends = [(keys[x], keys[y])] if near else []
+            else:
+                part = slice(first, last)
                 group = Group(keys[part], labels[part], sizes[part], maps[part], failed[part])
-                found += group.nearest(most) if most else group.forest()
-        ends = np.array(found, np.int64).reshape(-1, 2)
-        columns = [pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))] if len(ends) else [
-            pa.array([], pa.int64())
-        ] * 2
-        return pa.RecordBatch.from_arrays(columns, names=names)
+                ends = group.nearest(most) if most else group.forest()
+            found += [(marks[0][first], min(a, b), max(a, b)) for a, b in ends]
+        columns = np.array(found, np.int64).reshape(-1, 3).T
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -299,24 +313,22 @@ def _sets_of(texts: DataFrame, first: DataFrame, keys: DataFrame) -> DataFrame:
     return settle(
         map_batches(
             texts.join(involved, "doc_id").select("text", "key"), _set_rows, "key long, shingles array<long>"
-        ).dropDuplicates(["key"]),
+        ),
         "sets",
     )
 
 
-def _index(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, entry) for each index entry of each set; combinations have entries of their own kind."""
-    by_hash = settle(
-        described.join(first.select("doc_id", F.col("key").alias("of")), "doc_id")
-        .where("key = of AND n > 1")
-        .select("key", "n", "rare"),
-        "prefixes",
-    )
-    shingles = by_hash.select("key", F.explode("rare").alias("entry"))
-    frequent = settle(
-        shingles.groupBy("entry").agg(F.count("*").alias("m")).where(F.col("m") > FREQUENT).select("entry"),
-        "frequent",
+def _members(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entry, key) for the sets of each index entry that several sets share.
+
+    Entries of the same sets propose the same pairs, so that one of them stays.
+    """
+    alone = described.join(first.select("doc_id"), "doc_id", "left_semi").where("n > 1")
+    shingles = alone.select("key", F.explode("rare").alias("entry"))
+    shared = settle(
+        shingles.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1"), "shared-shingles"
     )
+    frequent = settle(shared.where(F.col("m") > FREQUENT).select("entry"), "frequent")
     # sets with a frequent shingle in their prefix take it last
     touched = settle(shingles.join(frequent, "entry").select("key").distinct(), "touched")
     sets = _sets_of(texts, first, touched)
@@ -324,36 +336,33 @@ def _index(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFram
         sets.select("key", F.explode("shingles").alias("entry"))
         .join(frequent, "entry")
         .groupBy("key")
-        .agg(F.collect_list("entry").alias("often"))
+        .agg(F.collect_set("entry").alias("often"))
     )
     again = map_batches(
-        sets.join(often, "key").select("key", F.size("shingles").cast("long").alias("n"), "shingles", "often"),
+        sets.join(often, "key").select("key", "shingles", "often"),
         _signed,
-        "key long, n long, rare array<long>, pairs array<long>",
+        "key long, rare array<long>, pairs array<long>",
     )
     again = settle(again, "touched-prefixes")
-    single, double = F.lit(1), F.lit(2)
-    rows = by_hash.join(touched, "key", "left_anti").select("key", F.explode("rare").alias("entry"), single.alias("kind"))
-    for column, kind in (("rare", single), ("pairs", double)):
-        rows = rows.unionByName(again.select("key", F.explode(column).alias("entry"), kind.alias("kind")))
-    return rows
-
-
-def _groups(entries: DataFrame) -> DataFrame:
-    """(entry, key) of entries that several sets share; of entries with the same sets one stays."""
-    named = entries.select(F.xxhash64("entry", "kind").alias("entry"), "key")
-    shared = settle(
-        named.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1").select("entry"), "shared"
-    )
-    members = settle(named.join(shared.hint("shuffle_hash"), "entry"), "members")
+    moved = again.select("key", F.explode("rare").alias("entry"))
+    # of the other sets only shingles that meet another set are needed
+    wanted = shared.select("entry").unionByName(moved.select("entry").distinct()).distinct()
+    wanted = settle(wanted, "wanted")
+    kept = shingles.join(touched, "key", "left_anti").join(wanted.hint("shuffle_hash"), "entry")
+    pairs = again.select("key", F.explode("pairs").alias("entry"))
+    rows = kept.select("key", F.xxhash64("entry", F.lit("one")).alias("entry")).unionByName(
+        moved.select("key", F.xxhash64("entry", F.lit("one")).alias("entry"))
+    ).unionByName(pairs.select("key", F.xxhash64("entry", F.lit("two")).alias("entry")))
+    members = settle(rows, "members")
     wide = "decimal(38,0)"
     alike = members.groupBy("entry").agg(
         F.count("*").alias("m"),
         F.sum(F.xxhash64("key").cast(wide)).alias("x"),
         F.sum(F.xxhash64(F.lit(1), "key").cast(wide)).alias("y"),
     )
-    kept = settle(alike.groupBy("m", "x", "y").agg(F.min("entry").alias("entry")).select("entry"), "kept")
-    return settle(members.join(kept.hint("shuffle_hash"), "entry"), "groups")
+    one = alike.where("m > 1").groupBy("m", "x", "y").agg(F.min("entry").alias("entry"))
+    one = settle(one.select("entry"), "groups")
+    return settle(members.join(one.hint("shuffle_hash"), "entry"), "members-of-groups")
 
 
 def _blocks(rows: DataFrame, turn: int) -> DataFrame:
@@ -400,33 +409,41 @@ def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: Da
         rows = _blocks(labelled.join(groups, "entry"), turn).join(facts, "key").join(fails, "key", "left")
         rows = rows.select("entry", "i", "j", "key", "label", "n", "bits", "failed")
         # whether each block meets all of its group
-        whole = turn >= 2 or groups.where(F.col("m") > BLOCK).isEmpty()
+        large = groups.where(F.col("m") > BLOCK).select("entry")
+        whole = turn >= 2 or large.isEmpty()
         most = 4**turn if whole and turn else 0
         dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-        proposed = settle(map_all(dealt, _proposals(most), "a long, b long").distinct(), "proposed")
+        proposed = settle(map_all(dealt, _proposals(most), "entry long, a long, b long"), "proposed")
+        if whole and proposed.isEmpty():
+            return tried.where("linked").select("a", "b")
+        ends = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        fresh = _sets_of(texts, first, ends.join(sets.select("key"), "key", "left_anti"))
+        sets = settle(sets.unionByName(fresh), "all-sets") if turn else fresh
+        left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+        both = proposed.select("a", "b").distinct().join(left, "a").join(right, "b")
+        found = settle(
+            map_batches(both.select("a", "b", "x", "y"), _verified, "a long, b long, linked boolean"), "found"
+        )
+        tried = settle(tried.unionByName(found), "tried") if turn else found
         links = tried.where("linked").select("a", "b")
-        if proposed.isEmpty():
-            if whole:
-                return links
-        else:
-            ends = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-            fresh = _sets_of(texts, first, ends.join(sets.select("key"), "key", "left_anti"))
-            sets = settle(sets.unionByName(fresh), "all-sets") if turn else fresh
-            left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-            right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-            both = proposed.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-            found = settle(map_batches(both, _verified, "a long, b long, linked boolean"), "found")
-            tried = settle(tried.unionByName(found), "tried") if turn else found
-            links = tried.where("linked").select("a", "b")
-            if whole and not most and found.where("NOT linked").isEmpty():
-                return links  # what is not connected now is not near
-            labels = settle(components(links).select(F.col("node").alias("key"), "label"), "labels")
-            labelled = settle(
-                members.join(labels, "key", "left").select(
-                    "entry", "key", F.coalesce("label", "key").alias("label")
-                ),
-                "labelled",
-            )
+        # a group goes on if what it proposed has failed, or may have been more
+        again = proposed.select("entry")
+        if not most:
+            again = proposed.join(found.where("NOT linked"), ["a", "b"]).select("entry")
+        if not whole:
+            again = again.unionByName(large)
+        again = settle(again.distinct(), "again")
+        if again.isEmpty():
+            return links
+        labels = settle(components(links).select(F.col("node").alias("key"), "label"), "labels")
+        members = settle(members.join(again, "entry", "left_semi"), "members-left")
+        labelled = settle(
+            members.join(labels, "key", "left").select(
+                "entry", "key", F.coalesce("label", "key").alias("label")
+            ),
+            "labelled",
+        )
         turn += 1
 
 
@@ -450,7 +467,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     first = settle(
         real.groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")), "first-of-set"
     )
-    members = _groups(_index(described, first, texts))
+    members = _members(described, first, texts)
     keys = settle(members.select("key").distinct(), "keys-in-groups")
     facts = settle(
         described.join(first.join(keys, "key").select("doc_id", F.col("key").alias("of")), "doc_id")
