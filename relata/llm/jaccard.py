@@ -140,16 +140,19 @@ def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The index rows of sets with frequent shingles."""
-    rare, pairs = [], []
-    for shingles, often in zip(batch.column(1), batch.column(2)):
-        members = np.asarray(shingles.values).view(U)
-        common = np.isin(members, np.asarray(often.values).view(U))
-        for column, found in zip((rare, pairs), signatures(members, common)):
-            column.append(found)
-    yield pa.RecordBatch.from_arrays(
-        [batch.column(0), _lists(rare), _lists(pairs)], names=["key", "rare", "pairs"]
-    )
+    """The index rows of sets with frequent shingles, from (text, key, often)."""
+    often = batch.column(2)
+    for first, words in slices(batch.column(0), lower=True):
+        keys, rare, pairs = [], [], []
+        for row, shingles in enumerate(shingle_sets(words), first):
+            if (key := _key(shingles)) == batch.column(1)[row].as_py():
+                common = np.isin(shingles, np.asarray(often[row].values).view(U))
+                keys.append(key)
+                for column, found in zip((rare, pairs), signatures(shingles, common)):
+                    column.append(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), _lists(rare), _lists(pairs)], names=["key", "rare", "pairs"]
+        )
 
 
 def _near(m: int, n: int, x: bytes, y: bytes) -> bool:
@@ -306,16 +309,15 @@ def _verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _sets_of(texts: DataFrame, first: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) of ``keys``, from the text that ``first`` names for each."""
+def _texts_of(texts: DataFrame, first: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text, key) of ``keys``, the text that ``first`` names for each."""
     # the stored numbers of few documents reach the texts by broadcast, without a shuffle of these
     involved = settle(first.join(keys, "key").select("doc_id", "key"), "involved")
-    return settle(
-        map_batches(
-            texts.join(involved, "doc_id").select("text", "key"), _set_rows, "key long, shingles array<long>"
-        ),
-        "sets",
-    )
+    return texts.join(involved, "doc_id").select("text", "key")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    return map_batches(texts, _set_rows, "key long, shingles array<long>")
 
 
 def _members(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
@@ -325,42 +327,45 @@ def _members(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFr
     """
     alone = described.join(first.select("doc_id"), "doc_id", "left_semi").where("n > 1")
     shingles = alone.select("key", F.explode("rare").alias("entry"))
-    shared = settle(
-        shingles.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1"), "shared-shingles"
-    )
-    frequent = settle(shared.where(F.col("m") > FREQUENT).select("entry"), "frequent")
+    counts = shingles.groupBy("entry").agg(F.count("*").alias("m"))
+    frequent = settle(counts.where(F.col("m") > FREQUENT).select("entry"), "frequent")
     # sets with a frequent shingle in their prefix take it last
     touched = settle(shingles.join(frequent, "entry").select("key").distinct(), "touched")
-    sets = _sets_of(texts, first, touched)
-    often = (
-        sets.select("key", F.explode("shingles").alias("entry"))
+    theirs = _texts_of(texts, first, touched)
+    often = settle(
+        _sets(theirs)
+        .select("key", F.explode("shingles").alias("entry"))
         .join(frequent, "entry")
         .groupBy("key")
-        .agg(F.collect_set("entry").alias("often"))
+        .agg(F.collect_set("entry").alias("often")),
+        "frequent-of-set",
     )
-    again = map_batches(
-        sets.join(often, "key").select("key", "shingles", "often"),
-        _signed,
-        "key long, rare array<long>, pairs array<long>",
+    again = settle(
+        map_batches(
+            theirs.join(often, "key").select("text", "key", "often"),
+            _signed,
+            "key long, rare array<long>, pairs array<long>",
+        ),
+        "touched-prefixes",
+    )
+
+    def entries(rows: DataFrame, column: str, kind: str) -> DataFrame:
+        found = rows.select("key", F.explode(column).alias("entry"))
+        return found.select("key", F.xxhash64("entry", F.lit(kind)).alias("entry"))
+
+    rows = entries(alone.join(touched, "key", "left_anti"), "rare", "one")
+    rows = rows.unionByName(entries(again, "rare", "one")).unionByName(entries(again, "pairs", "two"))
+    shared = settle(
+        rows.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1").select("entry"), "shared"
     )
-    again = settle(again, "touched-prefixes")
-    moved = again.select("key", F.explode("rare").alias("entry"))
-    # of the other sets only shingles that meet another set are needed
-    wanted = shared.select("entry").unionByName(moved.select("entry").distinct()).distinct()
-    wanted = settle(wanted, "wanted")
-    kept = shingles.join(touched, "key", "left_anti").join(wanted.hint("shuffle_hash"), "entry")
-    pairs = again.select("key", F.explode("pairs").alias("entry"))
-    rows = kept.select("key", F.xxhash64("entry", F.lit("one")).alias("entry")).unionByName(
-        moved.select("key", F.xxhash64("entry", F.lit("one")).alias("entry"))
-    ).unionByName(pairs.select("key", F.xxhash64("entry", F.lit("two")).alias("entry")))
-    members = settle(rows, "members")
+    members = settle(rows.join(shared.hint("shuffle_hash"), "entry"), "members")
     wide = "decimal(38,0)"
     alike = members.groupBy("entry").agg(
         F.count("*").alias("m"),
         F.sum(F.xxhash64("key").cast(wide)).alias("x"),
         F.sum(F.xxhash64(F.lit(1), "key").cast(wide)).alias("y"),
     )
-    one = alike.where("m > 1").groupBy("m", "x", "y").agg(F.min("entry").alias("entry"))
+    one = alike.groupBy("m", "x", "y").agg(F.min("entry").alias("entry"))
     one = settle(one.select("entry"), "groups")
     return settle(members.join(one.hint("shuffle_hash"), "entry"), "members-of-groups")
 
@@ -417,8 +422,9 @@ def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: Da
         if whole and proposed.isEmpty():
             return tried.where("linked").select("a", "b")
         ends = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        fresh = _sets_of(texts, first, ends.join(sets.select("key"), "key", "left_anti"))
-        sets = settle(sets.unionByName(fresh), "all-sets") if turn else fresh
+        ends = ends.join(sets.select("key"), "key", "left_anti")
+        fresh = settle(_sets(_texts_of(texts, first, ends)), "sets")
+        sets = sets.unionByName(fresh) if turn else fresh
         left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
         both = proposed.select("a", "b").distinct().join(left, "a").join(right, "b")
