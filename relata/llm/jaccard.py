@@ -94,11 +94,11 @@ def signatures(shingles: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """A bit per slot, set if an odd number of shingles falls there; four slots a shingle or more.
+    """A bit per slot, set if an odd number of shingles falls there; two slots a shingle or more.
 
     Two sets differ in at least as many shingles as such maps differ in bits.
     """
-    size = max(64, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
     slots = ((shingles >> U(24)) & U(size - 1)).astype(np.int64)
     odd = (np.bincount(slots, minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -416,7 +416,7 @@ def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: Da
         # whether each block meets all of its group
         large = groups.where(F.col("m") > BLOCK).select("entry")
         whole = turn >= 2 or large.isEmpty()
-        most = 4**turn if whole and turn else 0
+        most = 16**turn if whole and turn else 0
         dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
         proposed = settle(map_all(dealt, _proposals(most), "entry long, a long, b long"), "proposed")
         if whole and proposed.isEmpty():
