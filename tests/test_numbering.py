@@ -82,5 +82,5 @@ def test_a_hot_group_is_spread_when_totals_are_taken(spark):
     df, _ = hot_table(spark)
     totals = running_totals(df.filter("k = 0"), ["k"], [F.col("id")], {"n": F.lit(1)})
     plan = totals._jdf.queryExecution().toString()
-    # the windows group by the partition of the sorted table as well as by the key
-    assert "__part" in plan.split("Window", 1)[1].split("\n", 1)[0]
+    # the windows group by the range of the sorted table as well as by the key
+    assert "__home" in plan.split("Window", 1)[1].split("\n", 1)[0]
