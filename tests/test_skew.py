@@ -76,7 +76,7 @@ def test_a_hot_key_is_ranked_by_many_tasks(spark, hot):
         ranked = rank_rows(hot, [("k", True)])
         tasks = ranked.where("k = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()
     rows_of_key = sum(t["count"] for t in tasks)
-    assert rows_of_key > 30_000 and len(tasks) >= 4
+    assert rows_of_key > 30_000 and len(tasks) >= 3  # half of the rows, so half of the ranges
     assert max(t["count"] for t in tasks) < rows_of_key / 2
     assert ranked.count() == 60_000
 
