@@ -68,10 +68,21 @@ def holder_of_max(
     )
 
 
-def shuffle_rows(df: DataFrame, key: Sequence[str], seed: str, name: str = "row_no") -> DataFrame:
-    """Rows in an order that depends on the seed and the key alone, numbered from 1."""
+def shuffle_rows(
+    df: DataFrame,
+    key: Sequence[str],
+    seed: str = "",
+    name: str = "row_no",
+    digest: Column | None = None,
+) -> DataFrame:
+    """Rows in an order that depends on the seed and the key alone, numbered from 1.
+
+    ``digest`` is a seeded hash of the key to order by instead, e.g. by ``functions.hashing``.
+    """
     # rows that share a key are told apart by their columns, and equal rows go as one
-    digest = key_digest(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], seed=seed)
+    if digest is None:
+        parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+        digest = key_digest(*parts, seed=seed)
     hashed = df.withColumn("__hash", digest)
     rest = [c for c in df.columns if c not in key]
     order = [F.col("__hash"), *[F.col(c).asc_nulls_first() for c in [*key, *rest]]]

@@ -37,10 +37,20 @@ def prefix_sample(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 
 def hash_sample(
-    df: DataFrame, key: str, digit: str = "0", seed: str = "", name: str = "keep_hash"
+    df: DataFrame,
+    key: str,
+    digit: str = "0",
+    seed: str = "",
+    name: str = "keep_hash",
+    digest: Column | None = None,
 ) -> DataFrame:
-    """Rows whose key digest begins with a hex digit (1/16 of the keys), digest column first."""
-    hashed = df.select(key_digest(F.col(key), seed=seed).alias(name), "*")
+    """Rows whose key digest begins with a hex digit (1/16 of the keys), digest column first.
+
+    ``digest`` is a hash of the key in hex to take instead, e.g. by ``functions.hashing``.
+    """
+    if digest is None:
+        digest = key_digest(F.col(key), seed=seed)
+    hashed = df.select(digest.alias(name), "*")
     return hashed.filter(F.col(name).startswith(digit))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relata.functions.dates import date_of, date_of_text, instant
+from relata.functions.hashing import bytes_in_hex, murmur3_long, murmur3_sql
 from relata.functions.scalars import (
     ratio,
     round_half_up,
@@ -295,6 +296,24 @@ def _(source):
     return hash_sample(rows, "player_id")
 
 
+def _murmur3_sample_sql() -> str:
+    hashed = murmur3_sql("player_id", "(SELECT player_id, year_id, team_id, PA FROM seasons)")
+    digits = "lpad(lower(hex(hash)), 8, '0')"
+    swapped = " || ".join(f"substr({digits}, {at}, 2)" for at in (7, 5, 3, 1))
+    return f"""
+    SELECT * FROM (
+      SELECT {swapped} AS keep_hash, player_id, year_id, team_id, PA FROM ({hashed})
+    ) WHERE substr(keep_hash, 1, 1) = '0'
+    """
+
+
+@query("sample_murmur3", _murmur3_sample_sql(), ("seasons",))
+def _(source):
+    rows = views.seasons(source).select("player_id", "year_id", "team_id", "PA")
+    digest = bytes_in_hex(murmur3_long(F.col("player_id")), 4)
+    return hash_sample(rows, "player_id", digest=digest)
+
+
 @query(
     "sample_random",
     "SELECT TRUE AS share_is_near, TRUE AS all_from_table, count(*) AS n_rows FROM customer",

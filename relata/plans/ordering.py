@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from relata.functions.hashing import siphash_long, siphash_sql
 from relata.operators.nesting import delimited
 from relata.operators.numbering import number_copies, number_rows, rank_rows
 from relata.operators.ranking import holder_of_max, nest_top, shuffle_rows, top, top_per_group
@@ -199,3 +200,21 @@ def _(source):
 )
 def _(source):
     return shuffle_rows(views.table(source, "customer").select("c_custkey", "c_name"), ["c_custkey"], "7")
+
+
+# the key of a keyed shuffle: another key gives another order
+SHUFFLE_KEY = bytes(range(16))
+
+
+@query(
+    "shuffle_siphash",
+    f"""
+    SELECT row_number() OVER (ORDER BY hash >= {1 << 63}::HUGEINT DESC, hash, c_custkey) AS row_no,
+           c_custkey, c_name
+    FROM ({siphash_sql("c_custkey", "(SELECT c_custkey, c_name FROM customer)", SHUFFLE_KEY)})
+    """,
+)
+def _(source):
+    """Customers in the order of a keyed hash, compared as a signed number."""
+    rows = views.table(source, "customer").select("c_custkey", "c_name")
+    return shuffle_rows(rows, ["c_custkey"], digest=siphash_long(F.col("c_custkey"), SHUFFLE_KEY))
