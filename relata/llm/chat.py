@@ -148,18 +148,26 @@ WITH turns AS (
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')
       AS loss,
+    string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a'
+      ELSE 'x' END, '' ORDER BY turn, role, text) AS roles,
     sum(length(role) + 24 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS formatted
   FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
-  sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars
+  sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars,
+  regexp_full_match(roles, 's?u(au)*a?') AS valid,
+  CASE WHEN roles = 's' THEN 'told' WHEN NOT regexp_full_match(roles, 's?u(au)*a?') THEN 'none'
+    WHEN roles LIKE '%a' THEN 'answered' ELSE 'asked' END AS final_state
 FROM said
 """
 
 
 @query("op10_chat_formatting", SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    """All conversations and one that quotes control strings, formatted and read back."""
+    """All conversations and one that quotes control strings, formatted and read back.
+
+    ``valid`` and ``final_state`` are the verdict of the machine over roles.
+    """
     probe = spark.sql(
         "SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :probe AS text"
         " UNION ALL SELECT -1L, 1L, 'assistant', :probe",
@@ -169,6 +177,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     done = format_conversations(turns.unionByName(probe))
     texts = done.select(
         "conv_id",
+        "valid",
+        "final_state",
         formatted(F.col("segments")).alias("formatted"),
         under_loss(F.col("segments")).alias("loss"),
     )
@@ -183,4 +193,6 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "final_state",
     )

@@ -15,6 +15,7 @@ from relata.llm.registry import query, table
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what a word is
 SYMBOLS = "[#*$%&|<>]"  # fixed value: characters that count as symbols
+LINE_SHARE = 0.001  # of a host's documents that a frequent line is in, beside the least number
 
 
 def _shift(value: Column, bits: Column, way: str) -> Column:
@@ -111,7 +112,7 @@ def _prepare(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def frequent_lines(
-    documents: DataFrame, least_documents: int = 20, share: float = 0.4
+    documents: DataFrame, least_documents: int = 20, share: float = LINE_SHARE
 ) -> DataFrame:
     """Lines (host, line_key) in at least ``least_documents`` and over ``share`` of a host's documents.
 
@@ -149,7 +150,7 @@ def _removed(texts: DataFrame, frequent: DataFrame) -> DataFrame:
 def judge(
     documents: DataFrame,
     least_documents: int = 20,
-    share: float = 0.4,
+    share: float = LINE_SHARE,
     least_left: float = 0.5,
 ) -> DataFrame:
     """Counts and verdict of each row of ``documents`` (doc_id, text, source).
@@ -253,7 +254,7 @@ WITH texts AS (
   SELECT l.host, l.line FROM line l
     JOIN (SELECT host, count(DISTINCT doc_id) AS n FROM texts GROUP BY host) h USING (host)
   WHERE line != '' GROUP BY l.host, l.line, h.n
-  HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.4 * h.n
+  HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.001 * h.n
 ), removed AS (
   SELECT doc_id, sum(len(string_split(line, ' '))) AS removed_words
   FROM line JOIN frequent USING (host, line) GROUP BY doc_id
