@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -657,6 +658,61 @@ def test_template_of_a_host(spark):
     assert got[4] == " ".join(f"w4x{k}" for k in range(40)) + "\nmore 4"
 
 
+ROLE_WORDS = [
+    ("<body class='has-sidebar'><article><p>kept words</article>", "kept words"),
+    ("<article class='post social-share'>kept words</article>", "kept words"),
+    ("<main id='search-results'>kept words</main>", "kept words"),
+    ("<div class='content-with-comments'><article>kept words</article></div>", "kept words"),
+    ("<div class='sidebar'><article>kept words</article></div>", "kept words"),
+    ("<article>kept <a class='share'>words</a><p><a class=share>Share</a></p></article>", "kept words"),
+    ("<div>kept words</div><div class=comments><article>a much longer comment</article></div>", "kept words"),
+    ("<div>kept words</div><div class=sidebar><article>teaser</article></div>", "kept words"),
+    ("<article>kept words<div class='comment-list'>a reader</div><div class=ad-container>Buy</div></article>", "kept words"),
+    ("<article>kept <b>words</b><span class=ad></article><aside><article>not this one</article></aside>", "kept words"),
+]
+
+
+def test_role_words_hide_what_they_name_only(spark):
+    data = [(i, f"http://h{i}.org/", html) for i, (html, _) in enumerate(ROLE_WORDS)]
+    data.append((0, data[0][1], data[0][2]))  # a repeated row
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = pages.main_text(df).collect()
+    assert len(got) == len(data)
+    for row in got:
+        assert row.text == ROLE_WORDS[row.page_id][1], row.page_id
+
+
+ODD_PAGES = {
+    "unclosed": ("x<a " * 250_000, None),
+    "unclosed with quotes": ("<a '\"x" * 200_000, None),
+    "declarations": ("<!x" * 300_000, None),
+    "scripts": ("<script " * 100_000, None),
+    "deep": ("<div>" * 50_000 + "deep", "deep"),
+    "deep with text": ("<div class='a long name of a class'>t" * 50_000 + "</x>" * 50_000, "\n".join("t" * 50_000)),
+    "inline": ("<b class=ad>" * 50_000 + "</i>" * 50_000 + "x", ""),
+    "paragraphs": ("<p>x" * 100_000, "\n".join("x" * 100_000)),
+    "hidden articles": ("<div class=ad><article>" * 30_000, ""),
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_a_long_or_deep_page_takes_seconds(name):
+    source, text = ODD_PAGES[name]
+    began = time.monotonic()
+    page = pages._page(source)
+    assert time.monotonic() - began < 5
+    assert sum(map(len, page.tree)) <= len(page.tree) * (pages.LONG + 1)
+    if text is not None:
+        assert "\n".join(filter(None, (pages._spoken(runs) for _, runs in page.blocks))) == text
+
+
+def test_paths_of_deep_elements_differ():
+    page = pages._page("<div class='some words'>" * 300 + "<article>x</article>" + "</div>" * 300)
+    assert len(page.tree) == 301 and page.sizes()[""] == 1
+    assert page.tree[page.own_main()][1:] == ("article", 301)
+    assert len(page.within(page.own_main())) == 1
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.main_text(df).count() == 0
