@@ -17,6 +17,7 @@ from relata.operators.aggregate import (
 )
 from relata.operators.nesting import flat_text
 from relata.operators.numbering import attach, number_rows
+from relata.operators.selection import quantiles_by_selection
 from relata.operators.summaries import (
     EDGES,
     describe_numeric,
@@ -314,6 +315,16 @@ def _(source):
     return quantiles(lines, F.col("l_extendedprice"), ["l_returnflag"])
 
 
+@query(
+    "sum_quantiles_selected",
+    "SELECT "
+    + _quantile_sql("o_totalprice", {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
+    + " FROM orders",
+)
+def _(source):
+    return quantiles_by_selection(views.table(source, "orders"), F.col("o_totalprice"))
+
+
 @query(
     "sum_quantiles_dates",
     "SELECT o_orderpriority, "
