@@ -11,8 +11,8 @@ bucket, and only pairs of frequent shingles of one bucket are indexed.
 Groups that share an index entry are not expanded into pairs. Each group, in blocks if it is large,
 proposes a spanning forest of its most similar members by maps of parities, which rule pairs out but
 not in. Proposals are verified on the whole sets. Where some fail, members of groups that are not
-connected propose their nearest ones outside their component, more in every round and none twice,
-until nothing is left to propose.
+connected propose their nearest ones outside their component, more in every round and none twice.
+A group leaves when its members have proposed all whom the maps allow.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm.arrow import map_all, map_batches, settle
@@ -33,6 +33,7 @@ WIDTH = 5  # words of a shingle
 PERCENT = 75  # least similarity
 FREQUENT = 128  # sets that have a rare shingle in their prefix by hash, at most
 BLOCK = 2048  # members of a group that one block holds, about
+NEAREST = FREQUENT  # that a member proposes when forests have failed, 16 times as many every round
 
 U = np.uint64
 
@@ -94,11 +95,11 @@ def signatures(shingles: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """A bit per slot, set if an odd number of shingles falls there; two slots a shingle or more.
+    """A bit per slot, set if an odd number of shingles falls there; a slot per shingle or more.
 
     Two sets differ in at least as many shingles as such maps differ in bits.
     """
-    size = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    size = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
     slots = ((shingles >> U(24)) & U(size - 1)).astype(np.int64)
     odd = (np.bincount(slots, minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -167,6 +168,13 @@ def _near(m: int, n: int, x: bytes, y: bytes) -> bool:
     return 100 * most >= PERCENT * (m + n - most)
 
 
+def _with_neighbours(sizes: np.ndarray) -> np.ndarray:
+    """The members that are not alone with their size."""
+    order = np.argsort(sizes, kind="stable")
+    close = 100 * sizes[order[:-1]] >= PERCENT * sizes[order[1:]]
+    return order[np.append(close, False) | np.append(False, close)]
+
+
 class Group:
     """Members of one block of a group: which pairs their maps do not rule out, and how near."""
 
@@ -200,6 +208,8 @@ class Group:
         mine = int(self.widths[v])
         for width, who in self.of_width.items():
             least = min(mine, int(width))
+            if max(mine, int(width)) > 2 * least:
+                continue  # sizes of similar sets differ by less
             own = self._at_width(mine, least)[self.row[mine][v]]
             apart = np.bitwise_count(self._at_width(int(width), least) ^ own).sum(axis=1, dtype=np.int64)
             total = self.sizes[who] + self.sizes[v]
@@ -210,7 +220,7 @@ class Group:
             out[np.isin(self.keys, self.failed[v])] = 0
         return out
 
-    def forest(self) -> Iterator[tuple[int, int]]:
+    def forest(self) -> Iterator[tuple[int, int, bool]]:
         """Pairs that would connect all members near enough, the most similar first; members of one
         label are connected already."""
         n = len(self.keys)
@@ -228,39 +238,29 @@ class Group:
                 if left[v] <= 0:
                     break
                 if left[v] < 2:
-                    yield int(self.keys[parent[v]]), int(self.keys[v])
-
+                    yield int(self.keys[parent[v]]), int(self.keys[v]), False
 
-    def nearest(self, most: int) -> Iterator[tuple[int, int]]:
-        """For each member the pairs with its ``most`` nearest members of other labels."""
+    def nearest(self, most: int) -> Iterator[tuple[int, int, bool]]:
+        """For each member the pairs with its ``most`` nearest members of other labels, and whether
+        there are more."""
         for v in range(len(self.keys)):
             near = self.nearness(v)
             near[self.labels == self.labels[v]] = 0
-            for other in np.argsort(-near, kind="stable")[:most]:
-                if near[other] <= 0:
-                    break
-                yield int(self.keys[v]), int(self.keys[other])
-
+            left = int((near > 0).sum())
+            for other in np.argsort(-near, kind="stable")[: min(most, left)]:
+                yield int(self.keys[v]), int(self.keys[other]), left > most
 
-def _proposals(most: int):
-    """Blocks, whose rows (entry, i, j, key, label, n, bits, failed) follow one another, to the pairs
-    of their forests, or those of each member with its ``most`` nearest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _propose(batches, most)
-
-    return run
-
-
-def _propose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    names = ["entry", "a", "b"]
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, whose rows (entry, i, j, key, label, n, bits, failed, most) follow one another, to the
+    pairs (entry, a, b, more) of their forests, or those of each member with its ``most`` nearest."""
     waiting: list[pa.RecordBatch] = []
 
     def pairs(blocks: pa.Table) -> pa.RecordBatch:
         blocks = blocks.combine_chunks()
         marks = np.stack([blocks[c].to_numpy() for c in ("entry", "i", "j")])
         cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-        keys, labels, sizes = (blocks[c].to_numpy() for c in ("key", "label", "n"))
+        keys, labels, sizes, most = (blocks[c].to_numpy() for c in ("key", "label", "n", "most"))
         maps, failed = blocks["bits"].to_pylist(), blocks["failed"].to_pylist()
         found = []
         for first, last in zip([0, *cuts], [*cuts, len(keys)]):
@@ -268,14 +268,20 @@ def _propose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 x, y = first, first + 1
                 apart = labels[x] != labels[y] and int(keys[y]) not in (failed[x] or ())
                 near = apart and _near(int(sizes[x]), int(sizes[y]), maps[x], maps[y])
-                ends = [(keys[x], keys[y])] if near else []
+                ends = [(keys[x], keys[y], False)] if near else []
             else:
+                # a forest's pairs are never all: the group goes on if one of them fails
                 part = slice(first, last)
-                group = Group(keys[part], labels[part], sizes[part], maps[part], failed[part])
-                ends = group.nearest(most) if most else group.forest()
-            found += [(marks[0][first], min(a, b), max(a, b)) for a, b in ends]
-        columns = np.array(found, np.int64).reshape(-1, 3).T
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                part = first + _with_neighbours(sizes[part])
+                group = Group(
+                    keys[part], labels[part], sizes[part], [maps[i] for i in part], [failed[i] for i in part]
+                )
+                ends = group.nearest(int(most[first])) if most[first] else group.forest()
+            found += [(marks[0][first], min(a, b), max(a, b), more) for a, b, more in ends]
+        columns = np.array(found, np.int64).reshape(-1, 4).T
+        return pa.RecordBatch.from_arrays(
+            [*map(pa.array, columns[:3]), pa.array(columns[3].astype(bool))], names=["entry", "a", "b", "more"]
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -373,16 +379,18 @@ def _members(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFr
 def _blocks(rows: DataFrame, turn: int) -> DataFrame:
     """Members of open groups (entry, key, label, m, major, outside, ...) dealt to blocks (i, j).
 
-    In the first two turns a block meets itself only, which connects most. Then members outside the
-    group's largest label meet every block. A group of up to ``BLOCK`` members is one block.
+    A group of up to ``BLOCK`` members is one block. In the first two turns the blocks of a larger one
+    meet themselves only, which connects most. Then members outside its largest label meet every block.
     """
     number = F.ceil(F.col("m") / BLOCK)
+    zero = F.lit(0).cast("long")
     own = F.pmod(F.xxhash64("key", F.lit(min(turn, 2))), number).alias("i")
     if turn < 2:
-        return rows.select("*", own, F.lit(0).cast("long").alias("j"))
+        return rows.select("*", own, zero.alias("j"))
     columns = F.ceil(F.col("outside") / BLOCK)
-    rows = rows.select("*", own, F.pmod(F.xxhash64("key", F.lit(3)), columns).alias("own_j"), number.alias("ni"), columns.alias("nj"))
-    zero = F.lit(0).cast("long")
+    columns = F.when(F.col("m") > BLOCK, columns).otherwise(1)
+    own_j = F.pmod(F.xxhash64("key", F.lit(3)), columns).alias("own_j")
+    rows = rows.select("*", own, own_j, number.alias("ni"), columns.alias("nj"))
     left = rows.withColumn("j", F.explode(F.sequence(zero, F.col("nj") - 1)))
     others = F.filter(F.sequence(zero, F.col("ni") - 1), lambda x: x != F.col("own_i"))
     right = rows.where("label <> major").withColumnRenamed("i", "own_i")
@@ -390,11 +398,19 @@ def _blocks(rows: DataFrame, turn: int) -> DataFrame:
     return left.unionByName(right).drop("own_j", "ni", "nj")
 
 
-def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between keys, enough to connect all that are connected."""
+def _most(turn: int) -> Column:
+    """How many of its nearest ones a member of a group proposes; 0 for the forest of its block."""
+    small = NEAREST * 16 ** (turn - 1) if turn else 0
+    large = NEAREST * 16 ** (turn - 2) if turn > 1 else 0
+    return F.when(F.col("m") > BLOCK, large).otherwise(small).cast("long")
+
+
+def _labels(members: DataFrame, facts: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) for the keys that have links: the smallest key of those that links reach."""
     spark = members.sparkSession
     tried = spark.createDataFrame([], "a long, b long, linked boolean")
     sets = spark.createDataFrame([], "key long, shingles array<long>")
+    labels = spark.createDataFrame([], "node long, label long")
     labelled, turn = members.withColumn("label", F.col("key")), 0
     while True:
         parts = labelled.groupBy("entry", "label").agg(F.count("*").alias("c"))
@@ -412,15 +428,13 @@ def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: Da
         fails = fails.unionByName(fails.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked"))
         fails = fails.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("failed"))
         rows = _blocks(labelled.join(groups, "entry"), turn).join(facts, "key").join(fails, "key", "left")
-        rows = rows.select("entry", "i", "j", "key", "label", "n", "bits", "failed")
-        # whether each block meets all of its group
-        large = groups.where(F.col("m") > BLOCK).select("entry")
-        whole = turn >= 2 or large.isEmpty()
-        most = 16**turn if whole and turn else 0
+        rows = rows.select(
+            "entry", "i", "j", "key", "label", "n", "bits", "failed", _most(turn).alias("most")
+        )
         dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-        proposed = settle(map_all(dealt, _proposals(most), "entry long, a long, b long"), "proposed")
-        if whole and proposed.isEmpty():
-            return tried.where("linked").select("a", "b")
+        proposed = settle(
+            map_all(dealt, _propose, "entry long, a long, b long, more boolean"), "proposed"
+        )
         ends = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         ends = ends.join(sets.select("key"), "key", "left_anti")
         fresh = settle(_sets(_texts_of(texts, first, ends)), "sets")
@@ -431,21 +445,27 @@ def _all_links(members: DataFrame, facts: DataFrame, first: DataFrame, texts: Da
         found = settle(
             map_batches(both.select("a", "b", "x", "y"), _verified, "a long, b long, linked boolean"), "found"
         )
-        tried = settle(tried.unionByName(found), "tried") if turn else found
-        links = tried.where("linked").select("a", "b")
-        # a group goes on if what it proposed has failed, or may have been more
-        again = proposed.select("entry")
-        if not most:
-            again = proposed.join(found.where("NOT linked"), ["a", "b"]).select("entry")
-        if not whole:
-            again = again.unionByName(large)
+        links = found.where("linked").select("a", "b")
+        if not links.isEmpty():
+            # labels stand for the links of earlier turns
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            labels = settle(components(links), "labels")
+        # A forest that fails goes on, as do members who have more to propose, and groups whose blocks
+        # have not met each other yet.
+        failed = found.where("NOT linked").select("a", "b")
+        again = proposed.where("more").select("entry")
+        again = again.unionByName(
+            proposed.join(groups.where(_most(turn) == 0), "entry").join(failed, ["a", "b"]).select("entry")
+        )
+        if turn < 2:
+            again = again.unionByName(groups.where(F.col("m") > BLOCK).select("entry"))
         again = settle(again.distinct(), "again")
         if again.isEmpty():
-            return links
-        labels = settle(components(links).select(F.col("node").alias("key"), "label"), "labels")
+            return labels
+        tried = settle(tried.unionByName(found), "tried") if turn else found
         members = settle(members.join(again, "entry", "left_semi"), "members-left")
         labelled = settle(
-            members.join(labels, "key", "left").select(
+            members.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
                 "entry", "key", F.coalesce("label", "key").alias("label")
             ),
             "labelled",
@@ -482,8 +502,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .dropDuplicates(["key"]),
         "facts",
     )
-    links = _all_links(members, facts, first, texts)
-    labels = settle(components(links), "labels")
+    labels = _labels(members, facts, first, texts)
     smallest = (
         first.join(labels, first.key == labels.node)
         .select(F.col("key"), "label", F.col("doc_id").alias("first_id"))
