@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 import relata
 from relata import session
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+# What a step is run with: shuffle files go when it ends, and texts travel to Python in batches that
+# stay small beside an executor's memory, as several tasks hold some at both ends at a time.
+STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 _shipped: set[str] = set()
 
@@ -56,14 +60,17 @@ def map_batches(
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """``session.settle``, after which Spark deletes the shuffle files of this step.
+    """``session.settle`` under ``STEP``.
 
-    The stored table takes their place, so disk use follows the largest step and not the sum.
+    The stored table takes the place of the shuffle files, so disk use follows the largest step and
+    not the sum.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {name: conf.get(name) for name in STEP}
+    for name, value in STEP.items():
+        conf.set(name, value)
     try:
         return session.settle(df, label)
     finally:
-        conf.set(CLEANUP, before)
+        for name, value in before.items():
+            conf.set(name, value)
