@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import map_batches
+from relata.llm.arrow import map_batches, settle
 from relata.llm.registry import query, table
 from relata.llm.wordarrays import Words, slices
 
@@ -30,6 +30,7 @@ SHINGLE = 3  # words of a shingle of the question
 LEAST_PASSAGE = 32  # words; the longest item if that is longer
 ITEMS_IN_BLOCK = 16
 PART_CHARS = 8 << 20  # item text indexed and broadcast at a time
+BOUNDS = 2 << 20  # weights of terms in blocks that a task adds up at a time
 
 
 @dataclass
@@ -150,7 +151,8 @@ def _passages(words: Words, hashes: np.ndarray, index: Index):
     kept = alive[passages]
     order = np.argsort(passages[kept], kind="stable")
     passages, members = passages[kept][order], members[kept][order]
-    for some in np.array_split(np.unique(passages), max(1, len(passages) // 20_000)):
+    chunks = len(passages) * index.block_largest.shape[1] // BOUNDS + 1
+    for some in np.array_split(np.unique(passages), chunks):
         if not len(some):
             continue
         low, high = np.searchsorted(passages, [some[0], some[-1] + 1])
@@ -261,7 +263,9 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
             rows, max(LEAST_PASSAGE, totals.longest), totals.n, totals.mean, frequency
         )
         shared = spark.sparkContext.broadcast(index)
-        found = found.unionByName(map_batches(texts, _search(shared), schema))
+        # stored part by part, so that one index at a time is in memory
+        found = found.unionByName(settle(map_batches(texts, _search(shared), schema), "leaks"))
+        shared.unpersist()
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"),
         F.max("question_overlap").alias("question_overlap"),
