@@ -47,6 +47,7 @@ class Vocabulary:
     types: int
     discount: float
     other_types: int
+    unseen_types: float  # estimated
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in ``hashes`` and whether it is there."""
@@ -248,6 +249,10 @@ def build_vocabulary(counts: DataFrame, training_rows: int) -> Vocabulary:
     head = numbers[:HEAD]
     other = int(totals.tokens - head.sum())
     once, twice = totals.once, totals.twice
+    discount = min(max(once / (once + 2 * twice) if once else 0.0, 0.1), 0.9)
+    other_types = totals.types - len(head)
+    # after Chao; and so many that none is likelier than a word seen once
+    unseen = max(1.0, once, once * once / (2 * max(twice, 1)), discount * other_types / (1 - discount))
     return Vocabulary(
         hashes[order],
         numbers[order],
@@ -256,8 +261,9 @@ def build_vocabulary(counts: DataFrame, training_rows: int) -> Vocabulary:
         np.concatenate([[training_rows, other], head]).astype(np.int64),
         int(totals.tokens) + training_rows,
         totals.types + (training_rows > 0),
-        min(max(once / (once + 2 * twice) if once else 0.0, 0.1), 0.9),
-        totals.types - len(head),
+        discount,
+        other_types,
+        unseen,
     )
 
 
@@ -285,11 +291,14 @@ def _inside_other(counts: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def unseen_in_other(vocabulary: Vocabulary) -> float:
-    """log10 probability, within their class, of all words without training counts."""
-    if not vocabulary.other_types:
-        return 0.0
-    mass = vocabulary.discount * vocabulary.other_types / int(vocabulary.class_counts[OTHER])
-    return float(np.log10(mass))
+    """log10 probability, within their class, of one word without training counts.
+
+    The discounts of all words of the class are shared by the estimated number of unseen words.
+    """
+    mass = 1.0
+    if vocabulary.other_types:
+        mass = vocabulary.discount * vocabulary.other_types / int(vocabulary.class_counts[OTHER])
+    return float(np.log10(mass / vocabulary.unseen_types))
 
 
 def _score(shared):

@@ -553,7 +553,7 @@ def test_chunks_of_odd_rows(odd, nothing):
 def test_model_is_normalised_and_learns(texts):
     counts = np.array([20, 30, 50, 40, 10])
     vocabulary = bilinear.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 5,
-                                     counts, 150, 40, 0.5, 30)
+                                     counts, 150, 40, 0.5, 30, 15.0)
     parameters = bilinear.Parameters.start(vocabulary)
     again = bilinear.Parameters.unflat(parameters.flat(), 5)
     assert np.allclose(again.positions, parameters.positions) and np.allclose(again.bias, parameters.bias)
@@ -571,6 +571,19 @@ def test_model_is_normalised_and_learns(texts):
     assert scorer(one, two, target).mean() > before + 0.02
 
 
+@pytest.mark.parametrize("once, twice, more", [(900, 20, 400), (0, 0, 1600), (3, 700, 900), (1500, 0, 0)])
+def test_no_unseen_word_is_likelier_than_one_seen_once(spark, once, twice, more):
+    numbers = [1] * once + [2] * twice + [9] * more
+    counts = spark.createDataFrame(list(enumerate(numbers)), "word long, n long")
+    vocabulary = bilinear.build_vocabulary(counts, 50)
+    seen = bilinear._inside_other(np.array([1, 2, 9]), vocabulary)
+    unseen = bilinear.unseen_in_other(vocabulary)
+    assert unseen <= seen[0] + 1e-9
+    inside = sorted(numbers, reverse=True)[bilinear.HEAD :]
+    known = sum(10.0 ** bilinear._inside_other(np.array(inside), vocabulary))
+    assert known + vocabulary.unseen_types * 10.0**unseen == pytest.approx(1)
+
+
 def test_scores(documents, texts):
     import zlib
 
