@@ -221,14 +221,16 @@ def left_salted(
     nothing. Every left row is matched by its own key, so ``left`` may repeat keys.
 
     ``left`` is stored, as it is read twice. Equal rows of ``right``, which would share a salt, are
-    counted ahead of the shuffle and written out after the match.
+    counted ahead of the shuffle and written out after the match. The salted sides meet by a sort:
+    the optimizer takes ``left`` for as small after the salts as before, and would broadcast all its
+    ``salts`` copies through the driver.
     """
     left = settle(left, "left")
     counted = right.groupBy(*right.columns).agg(F.count("*").alias("__ct"))
     salted = counted.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)))
     spread = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = spread.withColumn("__salt", F.col("__salt").cast("bigint"))
-    matched = spread.join(salted, [*keys, "__salt"]).drop("__salt")
+    matched = spread.hint("merge").join(salted, [*keys, "__salt"]).drop("__salt")
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("__ct"))
     matched = matched.withColumn("__copy", F.explode(copies)).drop("__ct", "__copy")
     unmatched = left.join(right.select(*keys).distinct(), list(keys), "left_anti")
