@@ -90,7 +90,11 @@ def number_copies(
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], amounts: Mapping[str, Column]
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    amounts: Mapping[str, Column],
+    ranges: int | None = None,
 ) -> DataFrame:
     """For each amount: ``<name>_before``, its total over earlier rows of the group, and
     ``<name>_total``, its total over the group.
@@ -98,9 +102,10 @@ def running_totals(
     Rows of a group need distinct order values. A window adds up within each range, without another
     shuffle. What is carried over concerns only groups that lie in several ranges; as each range
     continues at most one group from the range before it, these are at most two rows per range.
+    ``ranges`` is their number, as in :func:`lay_out`.
     """
     named = df.select("*", *[expr.alias("__a_" + n) for n, expr in amounts.items()])
-    laid = lay_out(named, [*map(F.col, by), *order])
+    laid = lay_out(named, [*map(F.col, by), *order], ranges)
     keys = [*by, "__home"]
     # one row per group and range
     per_part = laid.groupBy(*keys, "__range").agg(
@@ -149,19 +154,25 @@ def _homes(spark: SparkSession, number: int) -> list[int]:
         tried *= 2
 
 
-def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def lay_out(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
     """``df`` sorted over all tasks and stored so that each range can be worked on in place.
 
     Adds ``__range``, the number of a row's range of the order, ``__place``, its place there, and
     ``__home``, which windows and roll-ups use: a range is one bucket of the stored table, so those
     whose keys hold ``__home`` need no further shuffle. Rows that tie in the whole order share a
-    range; end the order with something that tells them apart.
+    range; end the order with something that tells them apart. ``ranges`` is the number of ranges
+    where the caller knows how many rows there are; without it, adaptive execution makes ranges of a
+    size of its own.
     """
     spark = df.sparkSession
-    number = buckets(spark)
+    number = ranges or buckets(spark)
     homes = F.lit(_homes(spark, number))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    laid = df.orderBy(*order).select(
+    if ranges:
+        laid = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    else:
+        laid = df.orderBy(*order)
+    laid = laid.select(
         "*", F.spark_partition_id().alias("__range"), local.alias("__place")
     )
     laid = laid.withColumn("__home", F.element_at(homes, F.col("__range") + 1))
