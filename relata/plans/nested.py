@@ -13,6 +13,7 @@ from relata.operators.nesting import (
     flat_text,
     set_change_totals,
     set_changes,
+    tasks_for,
     unnest,
 )
 from relata.operators.ranking import nest_top
@@ -365,7 +366,10 @@ _PARK = "coalesce(park_id, '')"
 )
 def _(source):
     by = ["team_id", "year_id"]
-    members = settle(set_changes(views.park_team_years(source), ["team_id"], "park_id", "year_id"), "members")
+    # a stay is one row of its team, park and year, and counts for two years
+    stays = settle(views.park_team_years(source).select(*by, "park_id"), "stays")
+    tasks = tasks_for(2 * stays.count())
+    members = settle(set_changes(stays, ["team_id"], "park_id", "year_id", tasks=tasks), "members")
     listed = bags(
         members,
         by,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relata.operators import nesting
-from relata.operators.nesting import bag_text, bags, tasks_for
+from relata.operators.nesting import bag_text, bags, set_changes, tasks_for
 from tests.conftest import rows
 from tests.test_nesting import expected_parts, member_rows
 
@@ -53,3 +53,11 @@ def test_texts_of_large_groups_equal_those_of_whole_ones(spark, monkeypatch):
 def test_no_rows_give_no_bags(spark):
     df = spark.createDataFrame([], "g string, m int")
     assert bags(df, ["g"], ["m"], ["m"], part_size=3, totals={"n": F.count("*")}).collect() == []
+
+
+def test_changes_of_sets_do_not_depend_on_tasks(spark):
+    data = [("a", 1, "x"), ("a", 2, "x"), ("a", 2, "y"), (None, 1, None), ("b", None, "z"), ("b", 3, "z"), ("b", 3, "z")]
+    df = spark.createDataFrame(data, "g string, y int, m string")
+    dealt = set_changes(df, ["g"], "m", "y", tasks=5)
+    assert rows(dealt) == rows(set_changes(df, ["g"], "m", "y"))
+    assert dealt.rdd.getNumPartitions() == 5
