@@ -114,9 +114,9 @@ def _(source):
     text.write_lines(bags_to_lines(nested.select("team_id", "park_years")), path)
     broken = spark.sql("SELECT explode(array('t', 't\t{(1995,a,b)', 't\t{(1995,a)}')) AS value")
     lines = text.read_lines(spark, path).unionByName(broken)
-    read = lines_to_bags(
-        lines, "team_id string, park_years array<struct<year_id:int,park_id:string,beg_date:string>>"
-    )
+    schema = "team_id string, park_years array<struct<year_id:int,park_id:string,beg_date:string>>"
+    # stored, so that lines are checked once for the bags and for the rejects
+    read = settle(lines_to_bags(lines, schema), "read")
     members = unnest(accepted(read), "park_years").withColumn("n_rejected", F.lit(0))
     count = rejects(read).agg(F.count("*").cast("int").alias("n_rejected"))
     return members.unionByName(count, allowMissingColumns=True)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from relata.operators import nesting
 from relata.operators.nesting import bag_text, bags, set_changes, tasks_for
+from relata.plans import stores  # noqa: F401
+from relata.plans.registry import QUERIES
 from tests.conftest import rows
 from tests.test_nesting import expected_parts, member_rows
 
@@ -61,3 +63,9 @@ def test_changes_of_sets_do_not_depend_on_tasks(spark):
     dealt = set_changes(df, ["g"], "m", "y", tasks=5)
     assert rows(dealt) == rows(set_changes(df, ["g"], "m", "y"))
     assert dealt.rdd.getNumPartitions() == 5
+
+
+def test_lines_of_bags_are_checked_once(spark, data):
+    """The bags and the number of rejects come from one stored reading of the lines."""
+    plan = QUERIES["sink_bag_text"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan text" not in plan
