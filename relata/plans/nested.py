@@ -458,7 +458,9 @@ def _(source):
 )
 def _(source):
     by = ["team_id", "year_id"]
-    cities = views.park_cities(source).groupBy(*by, "city").agg(
+    # stored, so that no task holds its stays and its cities at once
+    stays = settle(views.park_cities(source).select(*by, "city", "n_games"), "stays")
+    cities = stays.groupBy(*by, "city").agg(
         F.sum("n_games").alias("n_city_games"), F.max("n_games").alias("max_in_city")
     )
     stats = settle(cities, "cities")

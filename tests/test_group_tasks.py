@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relata.operators import nesting
 from relata.operators.nesting import bag_text, bags, set_changes, tasks_for
+from relata.plans import nested as nested_plans
 from relata.plans import stores  # noqa: F401
 from relata.plans.registry import QUERIES
 from tests.conftest import rows
@@ -69,3 +70,11 @@ def test_lines_of_bags_are_checked_once(spark, data):
     """The bags and the number of rejects come from one stored reading of the lines."""
     plan = QUERIES["sink_bag_text"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "FileScan text" not in plan
+
+
+def test_cities_are_added_up_from_stored_stays(spark, data, monkeypatch):
+    labels = []
+    settle = nested_plans.settle
+    monkeypatch.setattr(nested_plans, "settle", lambda df, label: labels.append(label) or settle(df, label))
+    QUERIES["park_farhome_json"](spark, data)
+    assert labels == ["stays", "cities"]
