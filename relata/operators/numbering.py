@@ -200,7 +200,9 @@ def rank_rows(
         F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order
     ]
     placed = df.withColumn("__row", F.monotonically_increasing_id())
-    laid = lay_out(placed, [*directions, F.col("__row")]).drop("__row")
+    # a number of ranges that holds: put together, two could have half of a hot key's rows each
+    ranges = buckets(df.sparkSession)
+    laid = lay_out(placed, [*directions, F.col("__row")], ranges).drop("__row")
     here = Window.partitionBy("__home").orderBy(*directions)
     local = laid.select("*", F.rank().over(here).alias("__r"), F.dense_rank().over(here).alias("__d"))
     key = F.struct(*names)
