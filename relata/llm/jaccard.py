@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.arrow import map_all, map_batches, settle
+from relata.llm.arrow import map_all, map_batches, settle, settle_by
 from relata.llm.components import components
 from relata.llm.registry import query, table
 from relata.llm.wordarrays import Words, mix, slices
@@ -112,18 +112,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A row per document, with the prefix of its set by hash."""
+    """A row per document, with its text and the prefix of its set by hash."""
     for first, words in slices(batch.column(1), lower=True):
         sets = list(shingle_sets(words))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).slice(first, len(sets)),
+                batch.column(1).slice(first, len(sets)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_key(s) for s in sets], pa.int64()),
                 pa.array([parity(s) for s in sets], pa.binary()),
                 _lists([s[: _prefix(len(s))] for s in sets]),
             ],
-            names=["doc_id", "n", "key", "bits", "rare"],
+            names=["doc_id", "text", "n", "key", "bits", "rare"],
         )
 
 
@@ -315,51 +316,90 @@ def _verified(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _texts_of(texts: DataFrame, first: DataFrame, keys: DataFrame) -> DataFrame:
+def _described(texts: DataFrame) -> DataFrame:
+    """What ``_describe`` finds, in buckets of ``home``, which is the doc_id.
+
+    Texts and prefixes are dealt out once; later joins on ``home`` move ids alone. Rows without doc_id
+    are dealt by their number. Texts that have no partner, for lack of an id or of shingles, are left out.
+    """
+    schema = "doc_id long, text string, n long, key long, bits binary, rare array<long>"
+    pairs_up = F.col("doc_id").isNotNull() & (F.col("n") > 1)
+    rows = map_batches(texts, _describe, schema).select(
+        F.coalesce("doc_id", F.monotonically_increasing_id()).alias("home"),
+        "doc_id",
+        F.when(pairs_up, F.col("text")).alias("text"),
+        "n",
+        "key",
+        "bits",
+        "rare",
+    )
+    return settle_by(rows, "home", "described")
+
+
+def _with_texts(described: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` (home, key, ...) but home, and the texts of that home."""
+    # the numbers meet the texts in their buckets; a sort would be one of the texts
+    texts = described.where("text IS NOT NULL").select("home", "text")
+    return texts.join(wanted.hint("shuffle_hash"), "home").drop("home")
+
+
+def _texts_of(described: DataFrame, first: DataFrame, keys: DataFrame) -> DataFrame:
     """(text, key) of ``keys``, the text that ``first`` names for each."""
-    # the stored numbers of few documents reach the texts by broadcast, without a shuffle of these
-    involved = settle(first.join(keys, "key").select("doc_id", "key"), "involved")
-    return texts.join(involved, "doc_id").select("text", "key")
+    involved = first.join(keys, "key").select(F.col("doc_id").alias("home"), "key")
+    return _with_texts(described, settle(involved, "involved"))
+
+
+def _is_of() -> Column:
+    """Whether key and of are equal, told in a way that deals no rows out by them: home does that."""
+    return F.col("key").bitwiseXOR(F.col("of")) == 0
 
 
 def _sets(texts: DataFrame) -> DataFrame:
     return map_batches(texts, _set_rows, "key long, shingles array<long>")
 
 
-def _members(described: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+def _members(described: DataFrame, first: DataFrame) -> DataFrame:
     """(entry, key) for the sets of each index entry that several sets share.
 
     Entries of the same sets propose the same pairs, so that one of them stays.
     """
-    alone = described.join(first.select("doc_id"), "doc_id", "left_semi").where("n > 1")
-    shingles = alone.select("key", F.explode("rare").alias("entry"))
+    alone = described.where("doc_id IS NOT NULL AND n > 1").join(
+        first.select(F.col("doc_id").alias("home")).hint("shuffle_hash"), "home", "left_semi"
+    )
+    shingles = alone.select("home", "key", F.explode("rare").alias("entry"))
     counts = shingles.groupBy("entry").agg(F.count("*").alias("m"))
     frequent = settle(counts.where(F.col("m") > FREQUENT).select("entry"), "frequent")
     # sets with a frequent shingle in their prefix take it last
-    touched = settle(shingles.join(frequent, "entry").select("key").distinct(), "touched")
-    theirs = _texts_of(texts, first, touched)
+    touched = settle(shingles.join(frequent, "entry").select("home", "key").distinct(), "touched")
     often = settle(
-        _sets(theirs)
+        _sets(_with_texts(described, touched).select("text", "key"))
         .select("key", F.explode("shingles").alias("entry"))
         .join(frequent, "entry")
         .groupBy("key")
-        .agg(F.collect_set("entry").alias("often")),
+        .agg(F.collect_set("entry").alias("often"))
+        .join(touched, "key")
+        .select("home", "key", "often"),
         "frequent-of-set",
     )
     again = settle(
         map_batches(
-            theirs.join(often, "key").select("text", "key", "often"),
+            _with_texts(described, often).select("text", "key", "often"),
             _signed,
             "key long, rare array<long>, pairs array<long>",
         ),
         "touched-prefixes",
     )
+    untouched = alone.join(
+        touched.select("home", F.col("key").alias("of")).hint("shuffle_hash"),
+        (alone.home == touched.home) & _is_of(),
+        "left_anti",
+    )
 
     def entries(rows: DataFrame, column: str, kind: str) -> DataFrame:
         found = rows.select("key", F.explode(column).alias("entry"))
         return found.select("key", F.xxhash64("entry", F.lit(kind)).alias("entry"))
 
-    rows = entries(alone.join(touched, "key", "left_anti"), "rare", "one")
+    rows = entries(untouched, "rare", "one")
     rows = rows.unionByName(entries(again, "rare", "one")).unionByName(entries(again, "pairs", "two"))
     shared = settle(
         rows.groupBy("entry").agg(F.count("*").alias("m")).where("m > 1").select("entry"), "shared"
@@ -405,7 +445,7 @@ def _most(turn: int) -> Column:
     return F.when(F.col("m") > BLOCK, large).otherwise(small).cast("long")
 
 
-def _labels(members: DataFrame, facts: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+def _labels(members: DataFrame, facts: DataFrame, first: DataFrame, described: DataFrame) -> DataFrame:
     """(node, label) for the keys that have links: the smallest key of those that links reach."""
     spark = members.sparkSession
     tried = spark.createDataFrame([], "a long, b long, linked boolean")
@@ -437,7 +477,7 @@ def _labels(members: DataFrame, facts: DataFrame, first: DataFrame, texts: DataF
         )
         ends = proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         ends = ends.join(sets.select("key"), "key", "left_anti")
-        fresh = settle(_sets(_texts_of(texts, first, ends)), "sets")
+        fresh = settle(_sets(_texts_of(described, first, ends)), "sets")
         sets = sets.unionByName(fresh) if turn else fresh
         left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
@@ -486,23 +526,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    schema = "doc_id long, n long, key long, bits binary, rare array<long>"
-    described = settle(map_batches(texts, _describe, schema), "described")
+    described = _described(texts)
     sets = described.select("doc_id", "n", "key")
     real = sets.where("doc_id IS NOT NULL AND n > 0")
     first = settle(
         real.groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")), "first-of-set"
     )
-    members = _members(described, first, texts)
+    members = _members(described, first)
     keys = settle(members.select("key").distinct(), "keys-in-groups")
+    theirs = first.join(keys, "key").select(F.col("doc_id").alias("home"), F.col("key").alias("of"))
     facts = settle(
-        described.join(first.join(keys, "key").select("doc_id", F.col("key").alias("of")), "doc_id")
-        .where("key = of")
+        described.select("home", "doc_id", "key", "n", "bits")
+        .where("doc_id IS NOT NULL")
+        .join(settle(theirs, "homes").hint("shuffle_hash"), "home")
+        .where(_is_of())
         .select("key", "n", "bits")
         .dropDuplicates(["key"]),
         "facts",
     )
-    labels = _labels(members, facts, first, texts)
+    labels = _labels(members, facts, first, described)
     smallest = (
         first.join(labels, first.key == labels.node)
         .select(F.col("key"), "label", F.col("doc_id").alias("first_id"))

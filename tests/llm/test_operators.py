@@ -285,6 +285,43 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert jaccard.near_duplicates(nothing).count() == 0
 
 
+def test_texts_and_prefixes_of_near_duplicates_are_dealt_out_once(documents, texts, monkeypatch):
+    """Joins move ids, also where no table is small enough for a broadcast."""
+    spark, dealt = documents.sparkSession, []
+    store = jaccard.settle
+
+    def watched(df, label):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan):
+            if {c.split("#")[0] for c in columns.split(", ")} & {"text", "rare", "bits"}:
+                dealt.append((label, columns))
+        return store(df, label)
+
+    monkeypatch.setattr(jaccard, "settle", watched)
+    monkeypatch.setattr(jaccard, "FREQUENT", 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute_components(texts)
+    # maps meet their groups, and no text or prefix is dealt out again
+    assert {label for label, _ in dealt} <= {"facts", "proposed"}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a doc_id but not a text keep their own sets."""
+    base = [f"w{i}" for i in range(40)]
+    other = [f"v{i}" for i in range(40)]
+    data = [(5, base), (5, other), (3, other[:-1]), (7, [*base, "z"]), (None, base), (0, base[:2])]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    got = rows(jaccard.near_duplicates(frame))
+    assert got == rows_sorted(
+        [(None, 36, None), (0, 1, 0), (3, 35, 3), (5, 36, 5), (5, 36, 3), (7, 37, 5)]
+    )
+
+
 def rows_sorted(data):
     return sorted(data, key=lambda r: [(v is not None, str(type(v)), v) for v in r])
 
